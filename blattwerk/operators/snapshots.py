@@ -128,11 +128,11 @@ def containers(states: DataFrame, snapshot: str) -> DataFrame:
 
 def container_changes(cells: DataFrame, snapshot: str) -> DataFrame:
     """Compare each snapshot's containers with those of the snapshot numbered one less: (bucket, ordinal, snapshot, art)."""
-    bounds = cells.agg(F.min(snapshot).alias("_first"), F.max(snapshot).alias("_last"))
+    first, last = cells.agg(F.min(snapshot), F.max(snapshot)).first()  # two numbers
     after = cells.select("bucket", "behaelter", F.col(snapshot), F.col("karte").alias("k2"), F.col("werte").alias("w2"))
     before = cells.select("bucket", "behaelter", (F.col(snapshot) + 1).cast(dict(cells.dtypes)[snapshot]).alias(snapshot), F.col("karte").alias("k1"), F.col("werte").alias("w1"))
-    pairs = before.join(after, ["bucket", "behaelter", snapshot], "full").join(F.broadcast(bounds))  # one row
-    pairs = pairs.where((F.col(snapshot) > F.col("_first")) & (F.col(snapshot) <= F.col("_last"))).drop("_first", "_last")
+    inside = (F.col(snapshot) > F.lit(first)) & (F.col(snapshot) <= F.lit(last))
+    pairs = before.join(after, ["bucket", "behaelter", snapshot], "full").where(inside)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
