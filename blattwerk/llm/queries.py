@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, glyphs, mixing, neighbourhood
+from . import encoding, glyphs, mixing, neighbourhood, readability
 
 _QUERIES = {
     "p2_found": neighbourhood.p2_found,
@@ -17,6 +17,8 @@ _QUERIES = {
     "p6_rueckweg": encoding.p6_rueckweg,
     "p7_mischung": mixing.p7_mischung,
     "p7_anteile": mixing.p7_anteile,
+    "p8_found": readability.p8_found,
+    "p8_profil": readability.p8_profil,
 }
 
 _SQL: dict[str, str] = {}
