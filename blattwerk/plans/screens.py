@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import moments
@@ -93,8 +93,7 @@ def newest_n(spark, folder):
 
 def digest_7d(spark, folder):
     first = _news(spark, folder).select("nr", "eingang").orderBy(F.desc("eingang"), F.desc("nr")).limit(40)
-    last = first.agg(F.max("eingang").alias("bis"))
-    recent = first.crossJoin(F.broadcast(last)).where(F.col("eingang") >= F.col("bis") - F.expr("INTERVAL 7 DAYS"))  # one row each way: 40 and 1
+    recent = first.withColumn("bis", F.max("eingang").over(Window.partitionBy())).where(F.col("eingang") >= F.col("bis") - F.expr("INTERVAL 7 DAYS"))  # of 40 rows
     return recent.orderBy(F.desc("eingang"), F.desc("nr")).limit(10).select("nr")
 
 
