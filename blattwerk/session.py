@@ -14,6 +14,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
@@ -21,14 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="blattwerk-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="blattwerk-"))
+        folder = _OWN[0]
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_place(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; it is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -42,24 +54,19 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that ``new_place`` gave."""
-    if path.startswith("file://") or "://" not in path:
-        import shutil
-
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a path below the shared folder."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
 
 
-def local_session(name: str = "blattwerk", cores: int | None = None) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(name: str = "blattwerk", cores: int | None = None, **conf: str) -> SparkSession:
+    """A session for tests and benchmarks on one machine; further settings with _ for the dots."""
     cores = cores or min(8, os.cpu_count() or 1)
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
+    for key, value in conf.items():
+        builder = builder.config(key.replace("_", "."), value)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(name)
-        .config("spark.sql.shuffle.partitions", str(cores))
+        builder.config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
