@@ -1,9 +1,9 @@
 """Reading level of texts from classic readability formulas, combined by the median of several grade estimates.
 
 Per text only counts are kept: sentences, clauses, words, letters, syllables (by hyphenation-style rules), words of one,
-three and more syllables, long words. Each formula's value is read as a grade on a scale set per language by a
-bounded sample of graded texts; the median of the formulas that agree best with the sample is the estimate. Mean
-values over all sentences are used, so single easier or harder sentences do not decide.
+three and more syllables, long words. The coefficients of each formula are refitted per language to a bounded sample of
+graded texts, as they once were to school books; the median of the formulas' grades is the estimate. Mean values over all
+sentences are used, so single easier or harder sentences do not decide.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from ..session import table, written
 SAMPLE = 20_000
 #: Graded texts a language needs for a scale of its own; others share one.
 LEAST = 15
-#: Formulas whose median is taken.
-COMBINED = 3
 #: Characters a text must have to get a level.
 SHORTEST = 200
 LEVELS = (1, 2, 3, 4, 5)
@@ -88,74 +86,92 @@ def counts(text: str, lang: str, known: dict[str, tuple[int, int]] | None = None
     return out
 
 
-def formulas(c: np.ndarray) -> dict[str, np.ndarray]:
-    """The formulas' values over rows of counts; all rise with difficulty. The formulas' public coefficients."""
+#: What each formula measures: the terms of the public formula it descends from, with clauses beside sentences, since
+#: layout and run-on sentences make the length of sentences alone unreliable.
+FORMULAS = {
+    "Flesch-Kincaid": ("teilsatzlaenge", "satzlaenge", "silben", "einsilbig"),
+    "Wiener Sachtextformel": ("teilsatzlaenge", "zeichen", "dreisilbig", "einsilbig"),
+    "LIX": ("teilsatzlaenge", "silben", "zeichen", "lang"),
+    "ARI": ("teilsatzlaenge", "satzlaenge", "silben", "zeichen", "einsilbig"),
+    "Coleman-Liau": ("teilsatzlaenge", "satzlaenge", "silben", "zeichen", "einsilbig", "dreisilbig", "lang"),
+}
+#: Weight that keeps refitted coefficients small.
+RIDGE = 0.3
+
+
+def terms(c: np.ndarray) -> dict[str, np.ndarray]:
+    """The formulas' terms over rows of counts: logarithms of lengths, shares and means per word."""
+    words = np.maximum(c[:, 2], 1.0)
+    out = {"satzlaenge": np.log(words / np.maximum(c[:, 0], 1)), "teilsatzlaenge": np.log(words / np.maximum(c[:, 1], 1))}
+    return out | dict(zip(("zeichen", "silben", "einsilbig", "dreisilbig", "lang"), (c[:, k] / words for k in range(3, 8)), strict=True))
+
+
+def school_years(c: np.ndarray) -> np.ndarray:
+    """The Flesch-Kincaid grade. Its public coefficients."""
     words = np.maximum(c[:, 2], 1.0)
-    letters, syl, one, three, long = (c[:, k] / words for k in (3, 4, 5, 6, 7))
-    out = {}
-    sentence, clause = words / np.maximum(c[:, 0], 1), words / np.maximum(c[:, 1], 1)
-    for tag, n in (("", sentence), (" je Teilsatz", clause), (" gemischt", np.sqrt(sentence * clause))):
-        out |= {
-            "Flesch" + tag: 1.015 * n + 84.6 * syl,
-            "Flesch-Amstad" + tag: n + 58.5 * syl,
-            "Kandel-Moles" + tag: 1.15 * n + 68.0 * syl,
-            "Flesch-Kincaid" + tag: 0.39 * n + 11.8 * syl - 15.59,
-            "Fog" + tag: 0.4 * (n + 100 * three),
-            "SMOG" + tag: 1.043 * np.sqrt(30 * three * n) + 3.1291,
-            "ARI" + tag: 4.71 * letters + 0.5 * n - 21.43,
-            "LIX" + tag: n + 100 * long,
-            "WSTF1" + tag: 19.35 * three + 0.1672 * n + 12.97 * long - 3.27 * one - 0.875,
-            "WSTF2" + tag: 20.07 * three + 0.1682 * n + 13.73 * long - 2.779,
-            "WSTF4" + tag: 27.44 * three + 0.2656 * n - 1.693,
-        }
-    return out | {"Coleman-Liau": 5.88 * letters - 29.6 / sentence - 15.8}
+    return 0.39 * words / np.maximum(c[:, 0], 1) + 11.8 * c[:, 4] / words - 15.59
 
 
 @dataclass
-class Scale:
-    """How formula values become levels in one language: per formula the median value of each level, then four cuts."""
+class Formula:
+    """A formula whose coefficients were refitted to graded texts, and the values its grades have at each level."""
+
+    names: tuple[str, ...]
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    at: np.ndarray = field(default_factory=lambda: np.array([1.0, 5.0]))
+    level: np.ndarray = field(default_factory=lambda: np.array([1.0, 5.0]))
+
+    def _design(self, t: dict[str, np.ndarray]) -> np.ndarray:
+        z = np.clip((np.column_stack([t[n] for n in self.names]) - self.mean) / self.spread, -3, 3)
+        pairs = [z[:, i] * z[:, j] for i in range(z.shape[1]) for j in range(i, z.shape[1])]
+        return np.column_stack([np.ones(len(z)), z, *pairs])
+
+    @classmethod
+    def fitted(cls, names: tuple[str, ...], t: dict[str, np.ndarray], level: np.ndarray) -> Formula:
+        x = np.column_stack([t[n] for n in names])
+        out = cls(names, x.mean(axis=0), x.std(axis=0) + 1e-9)
+        d = out._design(t)
+        out.weights = np.linalg.solve(d.T @ d + RIDGE * np.eye(d.shape[1]), d.T @ level)
+        value, seen = d @ out.weights, [k for k in LEVELS if (level == k).any()]
+        out.at = np.maximum.accumulate([np.median(value[level == k]) for k in seen]) + np.arange(len(seen)) * 1e-6
+        out.level = np.array(seen, float)
+        return out
+
+    def grades(self, t: dict[str, np.ndarray]) -> np.ndarray:
+        """Grades: between the levels' medians in proportion, beyond the outer ones by half a level at most."""
+        v = self._design(t) @ self.weights
+        grade = np.interp(v, self.at, self.level)
+        return grade + np.clip((v - self.at[-1]) / (self.at[-1] - self.at[-2]), 0, 0.5) - np.clip((self.at[0] - v) / (self.at[1] - self.at[0]), 0, 0.5)
+
 
-    points: dict[str, list[tuple[float, float]]] = field(default_factory=dict)
-    cuts: list[float] = field(default_factory=lambda: [1.5, 2.5, 3.5, 4.5])
+@dataclass
+class Scale:
+    """How texts of one language get levels: refitted formulas, whose median is cut in four places. Without formulas: school years."""
 
-    def grades(self, values: dict[str, np.ndarray], name: str) -> np.ndarray:
-        """Grades by one formula: between the levels' medians in proportion, beyond the outer ones by half a level at most."""
-        at, level = (np.array(x, float) for x in zip(*self.points[name], strict=True))
-        v = values[name]
-        grade = np.interp(v, at, level)
-        if len(at) > 1:
-            grade = grade + np.clip((v - at[-1]) / (at[-1] - at[-2]), 0, 0.5) - np.clip((at[0] - v) / (at[1] - at[0]), 0, 0.5)
-        return grade
+    formulas: list[Formula] = field(default_factory=list)
+    cuts: tuple[float, ...] = (5.0, 9.0, 13.0, 17.0)
 
-    def estimate(self, values: dict[str, np.ndarray]) -> np.ndarray:
-        return np.median(np.column_stack([self.grades(values, k) for k in self.points]), axis=1)
+    def estimate(self, c: np.ndarray) -> np.ndarray:
+        if not self.formulas:
+            return school_years(c)
+        t = terms(c)
+        return np.median(np.column_stack([f.grades(t) for f in self.formulas]), axis=1)
 
     def levels(self, c: np.ndarray) -> np.ndarray:
-        return 1 + (self.estimate(formulas(c))[:, None] > np.array(self.cuts)).sum(axis=1)
-
-
-#: Without graded texts: school years by Flesch-Kincaid.
-DEFAULT = Scale({"Flesch-Kincaid": [(3.0, 1.0), (7.0, 2.0), (11.0, 3.0), (15.0, 4.0), (19.0, 5.0)]})
-
-
-def fit(c: np.ndarray, level: np.ndarray, combined: int = COMBINED) -> Scale:
-    """The scale that graded texts set: the ``combined`` formulas nearest to the grades, and the cuts with fewest errors."""
-    values, scale, errors = formulas(c), Scale(), {}
-    seen = [k for k in LEVELS if (level == k).any()]
-    if len(seen) < 2:
-        return DEFAULT
-    for name, v in values.items():
-        medians = np.maximum.accumulate([np.median(v[level == k]) for k in seen])
-        medians = medians + np.arange(len(seen)) * 1e-6 * (1 + abs(medians[-1]))
-        scale.points[name] = [(float(a), float(k)) for a, k in zip(medians, seen, strict=True)]
-        errors[name] = float(np.abs(scale.grades(values, name) - level).mean())
-    best = sorted(errors, key=lambda k: (errors[k], k))[:combined]
-    scale.points = {k: scale.points[k] for k in best}
-    estimate, tries = scale.estimate(values), np.linspace(0.1, 0.9, 33)
-    scale.cuts = [
-        float(k + tries[np.argmin([((estimate > k + t) != (level > k)).sum() + 0.02 * len(level) * abs(t - 0.5) / 10 for t in tries])])
-        for k in LEVELS[:-1]
-    ]
+        return 1 + (self.estimate(c)[:, None] > np.array(self.cuts)).sum(axis=1)
+
+
+def fit(c: np.ndarray, level: np.ndarray) -> Scale:
+    """The scale that graded texts set: coefficients by least squares, cuts with fewest errors; school years if all have one level."""
+    if len(set(level)) < 2:
+        return Scale()
+    t = terms(c)
+    scale = Scale([Formula.fitted(names, t, level) for names in FORMULAS.values()])
+    estimate, tries = scale.estimate(c), np.linspace(0.1, 0.9, 33)
+    off = lambda k, x: ((estimate > k + x) != (level > k)).sum() + 0.002 * len(level) * abs(x - 0.5)
+    scale.cuts = tuple(float(k + tries[np.argmin([off(k, x) for x in tries])]) for k in LEVELS[:-1])
     return scale
 
 
@@ -192,7 +208,7 @@ def graded_sample(features: DataFrame, grades: DataFrame, key: str = "doc_id", l
 
 def scales(sample: pd.DataFrame) -> dict[str, Scale]:
     """A scale per language with enough graded texts, and one for all others under ""."""
-    found = {"": fit(sample[COUNTS].to_numpy(float), sample["_stufe"].to_numpy()) if len(sample) >= LEAST else DEFAULT}
+    found = {"": fit(sample[COUNTS].to_numpy(float), sample["_stufe"].to_numpy()) if len(sample) >= LEAST else Scale()}
     for lang, own in sample.groupby("sprache"):
         if len(own) >= LEAST:
             found[lang] = fit(own[COUNTS].to_numpy(float), own["_stufe"].to_numpy())
