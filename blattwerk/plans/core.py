@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package; each has QUERIES (name -> query) and SQL (name -> text).
-MODULES = ("searching", "versioning", "screens", "graph", "general")
+MODULES = ("searching", "versioning", "screens", "graph", "more", "general")
 
 
 def queries() -> dict[str, Query]:
