@@ -53,13 +53,14 @@ def orphans(refs: DataFrame, target: DataFrame, on: list[tuple[str, str]], match
 
     ``on``: pairs (column of the reference, column of the target). Without ``at`` and ``valid`` grund is ``fehlt``. With
     them it is ``fehlt`` if the key never exists, else ``geloescht`` if a period of it had ended by then, else
-    ``spaeter``. References at no moment (null) are not judged. Repeated references are kept as they come.
+    ``spaeter``. References at no moment (null) are not judged. Repeated references are kept as they come; a column grund is replaced.
     A mask in which all columns are null refers to nothing and is satisfied. The references may be skewed to a few
     keys: the periods of a key are a few rows once merged, and adaptive execution splits the hot side.
     """
     if match not in ("partial", "simple", "full"):
         raise ValueError(f"unknown match semantics: {match}")
     left, right = [a for a, _ in on], [b for _, b in on]
+    refs = refs.drop("grund")
     found = []
     for mask in null_masks(len(on)):
         if all(mask):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 
 K1, B = 1.2, 0.75
 
@@ -54,6 +55,7 @@ def rank(stemmed: DataFrame, index: list[str], key: str, terms: list[str], hidde
     if not terms:
         return stemmed.select(*keys).limit(0).select(*keys, F.lit(0).alias("treffer"), F.lit(0.0).alias("punkte"))
     counted = stemmed.groupBy(*keys).agg(F.count("*").alias("laenge"), *[F.count_if(F.col("stem") == t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    counted = written(counted, "treffer")  # one row of numbers per document: the texts are read once
     totals = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()  # one row of counts
     idf = [F.log1p(F.lit((totals["n"] - totals[f"d{i}"] + 0.5) / (totals[f"d{i}"] + 0.5))) for i in range(len(terms))]
     means = counted.groupBy(*index).agg(F.round(F.avg("laenge"), 2).alias("avgdl")) if index else None

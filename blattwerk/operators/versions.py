@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def item_text(mark: Column, text: Column) -> Column:
     """A list item as text: mark and wording with a blank between, either may be missing."""
@@ -66,7 +68,7 @@ def descendants(nodes: DataFrame, keys: list[str], id_: str = "id", parent: str
     out = level
     for depth in range(1, most + 1):
         level = level.alias("l").join(step.where("_oben is not null").alias("s"), [*[F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("l.oben") == F.col("s._kind")])
-        level = level.select(*[f"l.{k}" for k in keys], F.col("s._oben").alias("oben"), "l.id", F.lit(depth).alias("tiefe"))
+        level = written(level.select(*[f"l.{k}" for k in keys], F.col("s._oben").alias("oben"), "l.id", F.lit(depth).alias("tiefe")), "ebene")
         if level.isEmpty():
             return out
         out = out.unionByName(level)
