@@ -89,7 +89,7 @@ def mix(sizes: DataFrame, shares: list[Share], key: str = "doc_id", seed: int =
     )  # one row per listed source
     most = max([s.documents for s in shares], default=0)
     bins = 1 << max(6, int(most // per_bin).bit_length())
-    placed = sizes.where("tokens > 0").join(F.broadcast(plan), "source")
+    placed = sizes.select(key, "source", "tokens").where("tokens > 0").join(F.broadcast(plan), "source")
     placed = placed.withColumn("_place", pareto_place(uniform(seed, F.col(key)), F.col("_chance")))
     placed = placed.withColumn("_bin", F.least(F.floor(F.col("_place") * bins), F.lit(bins - 1)).cast("int"))
     sums = placed.where("_rest > 0").groupBy("source", "_bin", "_rest").agg(F.sum("tokens").alias("_sum"))
