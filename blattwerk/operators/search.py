@@ -20,7 +20,8 @@ def stems(docs: DataFrame, keys: list[str], *texts: tuple[Column, int]) -> DataF
     """(*keys, stem) for every indexed word of the texts; each text's words count ``weight`` times. Null texts give nothing."""
     parts = [X.words(t) if weight == 1 else F.flatten(F.array_repeat(X.words(t), weight)) for t, weight in texts]
     exploded = docs.select(*keys, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("_w"))
-    return exploded.select(*keys, X.stem(F.col("_w")).alias("stem")).where("stem is not null")
+    # an array of one or no stem instead of a filter: a filter would be pushed below and compute every stem twice
+    return exploded.select(*keys, F.explode(F.array_compact(F.array(X.stem(F.col("_w"))))).alias("stem"))
 
 
 def postings(stemmed: DataFrame, keys: list[str]) -> DataFrame:

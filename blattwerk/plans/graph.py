@@ -13,8 +13,8 @@ from ..session import table
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "verweise")
-    return rows.select("verweis_nr", F.col("von.rw").alias("von_rw"), F.col("von.pfad").alias("von_pfad"), F.col("nach.rw").alias("nach_rw"), F.col("nach.pfad").alias("nach_pfad"), "typ", "quelle", "konfidenz", "erfasst", "beleg").distinct()
+    rows = table(spark, folder, "verweise").dropDuplicates(["verweis_nr"])  # repeated rows are alike
+    return rows.select("verweis_nr", F.col("von.rw").alias("von_rw"), F.col("von.pfad").alias("von_pfad"), F.col("nach.rw").alias("nach_rw"), F.col("nach.pfad").alias("nach_pfad"), "typ", "quelle", "konfidenz", "erfasst", "beleg")
 
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
-from ..session import table
+from ..session import spread, table
 
 SEARCH = "Meldung von Störungen und Prüfung der Auslagerung an Dienstleister"
 TERMS_SQL = "('meld','storung','pruf','auslag','dienstleist')"
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "text"))
 
 
 def _stemmed(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:

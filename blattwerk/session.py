@@ -43,6 +43,12 @@ def new_place(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files have fewer splits than there are cores, so only ever a small input; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
