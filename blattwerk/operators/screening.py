@@ -123,10 +123,11 @@ def similar_titles(items: DataFrame, key: str, title: str, within: list[str] | N
     words = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     ordered = reps.select("klasse", F.size("w").alias("k"), F.explode("w").alias("t")).join(words, "t")
     prefix = F.row_number().over(Window.partitionBy("klasse").orderBy("n", "t"))
-    # Jaccard > 7/10 allows fewer than 3/10 of a set to be missing: k - ceil(7k/10) + 1 rarest words, one less if 7k/10 is whole
-    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 1
-    rare = ordered.withColumn("_p", prefix).where(F.col("_p") <= keep).select("t", "klasse")
-    near = rare.alias("x").join(rare.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.klasse") < F.col("y.klasse"))).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
+    # Jaccard > 7/10 needs more than 7k/10 common words; sets with o common words share two of their k - o + 2 rarest ones
+    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 2
+    rare = written(ordered.withColumn("_p", prefix).where(F.col("_p") <= keep).select("t", "klasse", "_p"), "seltene")
+    two = rare.alias("x").join(rare.alias("y"), (F.col("x.klasse") == F.col("y.klasse")) & (F.col("x._p") < F.col("y._p"))).select(F.col("x.t").alias("t"), F.col("y.t").alias("u"), F.col("x.klasse").alias("klasse"))
+    near = two.alias("x").join(two.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.u") == F.col("y.u")) & (F.col("x.klasse") < F.col("y.klasse"))).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
     sides = near.join(reps.select(F.col("klasse").alias("a"), *[F.col(c).alias(f"_{c}a") for c in within], F.col("w").alias("wa")), "a").join(reps.select(F.col("klasse").alias("b"), *[F.col(c).alias(f"_{c}b") for c in within], F.col("w").alias("wb")), "b")
     for c in within:
         sides = sides.where(F.col(f"_{c}a").eqNullSafe(F.col(f"_{c}b")))
