@@ -61,9 +61,18 @@ def container_content(spark, folder):
 
 
 def citation_export(spark, folder):
-    """A passage with its origin, ready to be quoted."""
-    rows = _passages(spark, folder).where("fassung is not null and id is not null")
-    return rows.select("regelwerk", "fassung", "id", F.concat(X.teaser(F.replace("text", F.lit("\n"), F.lit(" ")), 80), F.lit(" ("), "regelwerk", F.lit(", Fassung "), "fassung", F.lit(")")).alias("zitat"))
+    """The whole text of a locus and of its children by id, with its origin, ready to be quoted.
+
+    A locus without text of its own is quoted by its children's. Children lie one level below, in the same version.
+    """
+    key = ["regelwerk", "fassung", "id"]
+    texts = _passages(spark, folder).where("fassung is not null and id is not null").select(*key, "text")
+    under = table(spark, folder, "knoten").where("eltern <> id").select("regelwerk", "fassung", F.col("id").alias("kind"), "eltern").distinct()
+    below = texts.withColumnRenamed("id", "kind").join(under, ["regelwerk", "fassung", "kind"]).select("regelwerk", "fassung", F.col("eltern").alias("id"), "kind", "text", F.lit(1).alias("stufe"))
+    parts = texts.select(*key, F.col("id").alias("kind"), "text", F.lit(0).alias("stufe")).unionByName(below)
+    whole = V.ordered_text(parts, key, ["stufe", "kind"], F.col("text"), "\n\n")
+    origin = F.concat_ws(", ", "regelwerk", F.concat(F.lit("Fassung "), "fassung"))
+    return whole.select(*key, F.concat("text", F.lit(" ("), origin, F.lit(")")).alias("zitat"))
 
 
 def source_listing(spark, folder):
