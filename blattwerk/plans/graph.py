@@ -91,11 +91,21 @@ def timeline_union(spark, folder):
 
 
 def footnote_match(spark, folder):
-    news = table(spark, folder, "meldungen").select("nr", "themen", "regelwerke")
-    lessons = table(spark, folder, "lektionen").select("id", "themen", F.explode("abschnitte").alias("a"))
-    works = lessons.select("id", F.explode("a.fundstellen").alias("s")).select("id", F.col("s.rw").alias("k"))
-    by_work = news.select("nr", F.explode("regelwerke").alias("k")).distinct().join(works.distinct(), "k").select("nr", "id").distinct()
-    return by_work.groupBy("nr").agg(F.count("*").alias("lektionen"))
+    """Per news item: the lessons that look up one of its works or share a topic with it, each once.
+
+    Topics are counted per distinct set of topics, not per item; added are the lessons that match by work only.
+    """
+    topics = F.array_sort(F.filter(F.array_distinct("themen"), lambda t: t.isNotNull()))
+    news = table(spark, folder, "meldungen").select("nr", topics.alias("themen"), "regelwerke")
+    lessons = table(spark, folder, "lektionen").where("id is not null")
+    of = lessons.select("id", F.explode("themen").alias("thema")).distinct()
+    by_topic = news.select("themen").distinct().select("themen", F.explode("themen").alias("thema")).join(of, "thema").groupBy("themen").agg(F.countDistinct("id").alias("_thema"))
+    works = lessons.select("id", F.explode("abschnitte").alias("a")).select("id", F.explode("a.fundstellen").alias("s")).select("id", F.col("s.rw").alias("k")).distinct()
+    by_work = news.select("nr", "themen", F.explode("regelwerke").alias("k")).join(works, "k").select("nr", "themen", "id").distinct()
+    own = of.groupBy("id").agg(F.collect_set("thema").alias("_eigene"))
+    more = by_work.join(own, "id", "left").where(~F.coalesce(F.arrays_overlap("themen", "_eigene"), F.lit(False))).groupBy("nr").agg(F.count("*").alias("_werk"))
+    both = news.select("nr", "themen").join(by_topic, "themen", "left").join(more, "nr", "left")
+    return both.select("nr", (F.coalesce("_thema", F.lit(0)) + F.coalesce("_werk", F.lit(0))).alias("lektionen")).where("lektionen > 0")
 
 
 def topic_lookup(spark, folder):

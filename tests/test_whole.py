@@ -55,3 +55,23 @@ def test_citation_export_against_sql(spark):
         k AS (SELECT DISTINCT regelwerk, fassung, id, eltern FROM knoten WHERE eltern <> id),
         a AS (SELECT regelwerk, fassung, id, 0 AS n, id AS kind, t FROM p UNION ALL SELECT regelwerk, fassung, k.eltern, 1, id, t FROM p JOIN k USING (regelwerk, fassung, id))
         SELECT regelwerk, fassung, id, string_agg(t, chr(10) || chr(10) ORDER BY n, kind) || ' (' || concat_ws(', ', regelwerk, 'Fassung ' || fassung) || ')' AS zitat FROM a GROUP BY regelwerk, fassung, id""")
+
+
+# --- footnote_match ---------------------------------------------------------------------------------------
+
+LESSONS = "id string, themen array<string>, abschnitte array<struct<fundstellen array<struct<rw string, pfad string>>>>"
+
+
+def test_footnote_match_by_work_or_topic(spark, tmp_path):
+    place = lambda *works: [([(w, None) for w in works],)]
+    lessons = [("l1", ["a"], place("w")), ("l1", ["a"], place("w")), ("l2", ["b", "a"], None), ("l3", None, place("w", "v")), ("l4", [None, "c"], [(None,)])]
+    news = [(1, ["a"], ["w"]), (2, ["b"], []), (3, [], ["v"]), (4, None, None), (5, [None, "d"], ["x"]), (6, ["a", "b"], None), (7, ["c", None], ["v"])]
+    folder = lay(spark, tmp_path, lektionen=(lessons, LESSONS), meldungen=(news, "nr long, themen array<string>, regelwerke array<string>"))
+    assert run(spark, "footnote_match", folder) == {(1, 3), (2, 1), (3, 1), (6, 2), (7, 2)}
+
+
+@given_tables
+def test_footnote_match_against_sql(spark):
+    assert agrees(spark, "footnote_match", """WITH w AS (SELECT DISTINCT id, f.rw AS k FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))), n AS (SELECT nr, unnest(regelwerke) AS k FROM meldungen),
+        l AS (SELECT DISTINCT id, unnest(themen) AS thema FROM lektionen), m AS (SELECT nr, unnest(themen) AS thema FROM meldungen)
+        SELECT nr, count(DISTINCT id) AS lektionen FROM (SELECT nr, id FROM n JOIN w USING (k) UNION ALL SELECT nr, id FROM m JOIN l USING (thema)) GROUP BY nr""")
