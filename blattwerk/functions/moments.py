@@ -169,6 +169,39 @@ def seconds_of(raw: pd.Series, zone: pd.Series) -> pd.Series:
     return pd.Series([seconds_utc(r, z) for r, z in zip(raw, zone, strict=True)], dtype="Int64")
 
 
+_RFC_2822 = re.compile(r"(?:(?P<wd>mon|tue|wed|thu|fri|sat|sun) ?, ?)?(?P<d>\d{1,2}) (?P<mo>jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) (?P<y>\d{2,4}) (?P<h>\d{2}):(?P<mi>\d{2})(?::(?P<s>\d{2}))? (?P<zone>[+-]\d{4}|[a-z]+)(?: ?\([^()]*\))?")
+_RFC_3339 = re.compile(r"(?P<y>\d{4})-(?P<mo>\d{2})-(?P<d>\d{2})[t ](?P<h>\d{2}):(?P<mi>\d{2}):(?P<s>\d{2})(?:\.\d+)?(?P<zone>z|[+-]\d{2}:\d{2})")
+
+
+def feed_seconds(raw: str | None) -> int | None:
+    """Seconds since 1970 UTC of a feed's date, written as in RFC 2822 or RFC 3339; null for any other form.
+
+    Blanks around it are ignored. A day of the week must be that of the date, two-digit years are 1950 to 2049, three-digit
+    ones count from 1900. A single letter is UTC, other names of zones have their usual meaning.
+    """
+    text = "" if raw is None else tidy(raw)
+    m = _RFC_2822.fullmatch(text) or _RFC_3339.fullmatch(text)
+    if not m:
+        return None
+    year = int(m["y"]) + (0 if len(m["y"]) == 4 else 2000 if len(m["y"]) == 2 and int(m["y"]) < 50 else 1900)
+    month = _MONTH.get(m["mo"]) or int(m["mo"])
+    minutes = 0 if len(m["zone"]) == 1 and m["zone"] != "j" else offset(m["zone"])
+    second = int(m["s"] or 0)
+    try:
+        local = dt.datetime(year, month, int(m["d"]), int(m["h"]), int(m["mi"])) + dt.timedelta(seconds=second)
+    except (ValueError, OverflowError):
+        return None
+    if minutes is None or second > 60 or m.groupdict().get("wd") and local.strftime("%a").lower() != m["wd"]:
+        return None
+    return round((local - _EPOCH).total_seconds()) - minutes * 60
+
+
+@F.pandas_udf(T.LongType())
+def feed_seconds_of(raw: pd.Series) -> pd.Series:
+    """``feed_seconds`` over a column."""
+    return pd.Series([feed_seconds(r) for r in raw], dtype="Int64")
+
+
 @F.pandas_udf(T.StringType())
 def day_or_raw(raw: pd.Series) -> pd.Series:
     """A day in any notation as ``YYYY-MM-DD``; null if absent; else the tidied string, so that nothing is lost."""

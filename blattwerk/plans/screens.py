@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import moments
 from ..functions import text as X
 from ..operators import screening as S
-from ..operators import timestamps as T
 from ..session import table
 from .searching import clean_sql
 
@@ -71,16 +70,15 @@ def greedy_dedup_month(spark, folder):
 
 
 def feed_date_parse(spark, folder):
-    rows = T.raw_moments(spark, folder).where("tabelle = 'meldungen' and roh is not null")
-    form = F.trim("roh").rlike(r"^(\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2}))\z")
-    rows = rows.where(form & (F.col("roh") == F.trim("roh")))
-    seconds = moments.seconds_of(F.col("roh"), F.col("zone"))
-    return rows.select("nr", moments.utc_text(seconds).alias("datum")).where("datum is not null")
+    """Every item's date as one UTC moment: RFC 2822, else RFC 3339, else null."""
+    return _news(spark, folder).select("nr", moments.utc_text(moments.feed_seconds_of(F.col("datum"))).alias("datum"))
 
 
 def feed_month_bucket(spark, folder):
-    found = feed_date_parse(spark, folder)
-    return found.groupBy(F.substring("datum", 1, 7).alias("monat")).agg(F.count("*").alias("meldungen"))
+    """Items per month of their date; one that names no date goes into the current month."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM")
+    month = F.coalesce(F.substring("datum", 1, 7), now)
+    return feed_date_parse(spark, folder).groupBy(month.alias("monat")).agg(F.count("*").alias("meldungen"))
 
 
 def month_directory(spark, folder):

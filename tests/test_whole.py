@@ -1,6 +1,9 @@
 """Queries that must do the whole job, against literal cases and independent SQL or brute force."""
 
+import datetime as dt
 import os
+import re
+from email.utils import parsedate_to_datetime
 
 import duckdb
 import pytest
@@ -75,3 +78,44 @@ def test_footnote_match_against_sql(spark):
     assert agrees(spark, "footnote_match", """WITH w AS (SELECT DISTINCT id, f.rw AS k FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))), n AS (SELECT nr, unnest(regelwerke) AS k FROM meldungen),
         l AS (SELECT DISTINCT id, unnest(themen) AS thema FROM lektionen), m AS (SELECT nr, unnest(themen) AS thema FROM meldungen)
         SELECT nr, count(DISTINCT id) AS lektionen FROM (SELECT nr, id FROM n JOIN w USING (k) UNION ALL SELECT nr, id FROM m JOIN l USING (thema)) GROUP BY nr""")
+
+
+# --- feed_date_parse, feed_month_bucket -------------------------------------------------------------------
+
+DATES = {
+    "Tue, 15 Oct 2024 11:53:52 GMT": "2024-10-15T11:53:52Z", " 1 Nov 2024 00:30 +0200\n": "2024-10-31T22:30:00Z", "Fri, 21 Nov 2025 23:58:07 EST": "2025-11-22T04:58:07Z",
+    "15 Oct 24 11:53:52 UT": "2024-10-15T11:53:52Z", "2024-10-15t11:53:52.9-05:00": "2024-10-15T16:53:52Z", "2024-10-15T11:53:52Z": "2024-10-15T11:53:52Z", "29 Nov 2025 10:32:05 CET": "2025-11-29T09:32:05Z",
+    "Wed, 15 Oct 2024 11:53:52 GMT": None, "31 Feb 2024 11:53:52 GMT": None, "2024-10-15T25:00:00Z": None, "2024-10-15 11:53:52": None, "15.10.2024": None, "1733217489": None, "bald": None, "": None,
+}
+
+
+def test_feed_dates_of_both_forms(spark, tmp_path):
+    rows = [*enumerate(DATES, 1), (99, None)]
+    folder = lay(spark, tmp_path, meldungen=(rows, "nr long, datum string"))
+    assert run(spark, "feed_date_parse", folder) == {(n, DATES.get(d)) for n, d in rows}
+    now = dt.datetime.now(dt.UTC).strftime("%Y-%m")
+    assert dict(run(spark, "feed_month_bucket", folder)) == {"2024-10": 5, "2025-11": 2, now: 9}
+
+
+@given_tables
+def test_feed_dates_against_the_mail_parser(spark):
+    raw = dict(duckdb.sql(f"SELECT nr, datum FROM '{FOLDER}/meldungen.parquet'").fetchall())
+    got = dict(run(spark, "feed_date_parse", FOLDER))
+    assert set(got) == set(raw)
+    mail = re.compile(r"[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \S+ (?:[+-]\d{4}|UT|GMT|EST|EDT)")
+    iso = re.compile(r"\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(?:\.\d+)?(?:[Zz]|[+-]\d\d:\d\d)")
+
+    def at(read, d):
+        try:
+            return read(d).astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        except ValueError:  # no such day
+            return None
+
+    seen = 0
+    for nr, d in raw.items():
+        if d and mail.fullmatch(d):
+            assert got[nr] == at(parsedate_to_datetime, d)
+            seen += 1
+        elif d and iso.fullmatch(d):
+            assert got[nr] == at(dt.datetime.fromisoformat, re.sub(r"\.\d+", "", d.upper()))
+    assert seen > 50
