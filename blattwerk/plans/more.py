@@ -121,9 +121,10 @@ def case_walk(spark, folder):
 def feed_scan(spark, folder):
     """News as feed documents and read again: title, address, date and text survive escaping."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    xml = F.concat(F.lit("<rss><channel><item><title>"), esc(F.col("herausgeber")), F.lit("</title><link>"), esc(F.col("url")), F.lit("</link><description>"), esc(F.col("kategorie")), F.lit("</description></item></channel></rss>"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), esc(F.col(c)), F.lit(f"</{name}>"))
+    xml = F.concat(F.lit("<rss><channel><item>"), tag("title", "titel"), tag("link", "url"), tag("pubDate", "datum"), tag("description", "zusammenfassung"), F.lit("</item></channel></rss>"))
     docs = table(spark, folder, "meldungen").select(F.col("nr").cast("string").alias("quelle"), xml.alias("inhalt"))
-    return files.feed_entries(docs).select(F.col("quelle").cast("bigint").alias("nr"), "titel", "url", "text")
+    return files.feed_entries(docs).select(F.col("quelle").cast("bigint").alias("nr"), "titel", "url", "datum", "text")
 
 
 def passages_per_version(spark, folder):

@@ -1,6 +1,7 @@
 """Queries that must do the whole job, against literal cases and independent SQL or brute force."""
 
 import datetime as dt
+import html
 import os
 import re
 from email.utils import parsedate_to_datetime
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from blattwerk.sources.markup import read_html
 from verify import TABLES, plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -119,3 +121,32 @@ def test_feed_dates_against_the_mail_parser(spark):
         elif d and iso.fullmatch(d):
             assert got[nr] == at(dt.datetime.fromisoformat, re.sub(r"\.\d+", "", d.upper()))
     assert seen > 50
+
+
+# --- feed_scan --------------------------------------------------------------------------------------------
+
+ITEM = "nr long, titel string, url string, datum string, zusammenfassung string, herausgeber string, kategorie string"
+
+
+def test_feed_scan_reads_all_four(spark, tmp_path):
+    long = "Satz. " * 300
+    rows = [
+        (1, " Frist & <Folgen> ", "https://a.test/x?a=1&b=2", "15.10.2024", f"<p>Gr&uuml;nbach &amp; Co</p> {long}", "", "K"),
+        (2, "Titel", "https://a.test/y", None, None, None, None),
+        (3, None, "https://a.test/z", "x", "ohne Titel", "H", "K"),
+        (4, "ohne Adresse", None, "x", "y", "H", "K"),
+    ]
+    got = {r[0]: r[1:] for r in run(spark, "feed_scan", lay(spark, tmp_path, meldungen=(rows, ITEM)))}
+    assert set(got) == {1, 2} and got[2] == ("Titel", "https://a.test/y", None, "")
+    assert got[1][:3] == ("Frist & <Folgen>", "https://a.test/x?a=1&b=2", "15.10.2024")
+    assert "Grünbach & Co" in got[1][3] and got[1][3].count("Satz.") == 300
+
+
+@given_tables
+def test_feed_scan_against_brute_force(spark):
+    want = set()
+    for nr, t, u, d, z in duckdb.sql(f"SELECT nr, titel, url, datum, zusammenfassung FROM '{FOLDER}/meldungen.parquet'").fetchall():
+        t, u, d, z = (" ".join((x or "").split()) for x in (t, u, d, z))
+        if t and re.match(r"(?i)https?://.", u):
+            want.add((nr, t, u, d or None, read_html(html.unescape(z)).text()))
+    assert run(spark, "feed_scan", FOLDER) == want and len(want) > 500
