@@ -52,8 +52,10 @@ def node_degree(spark, folder):
 
 
 def prefix_relations(spark, folder):
-    ends = _edges(spark, folder).select(F.col("verweis_nr").alias("id"), F.col("nach_rw").alias("rw"), F.col("nach_pfad").alias("pfad"))
-    return C.touching(ends, _paths(spark, folder)).groupBy("regelwerk", "pfad").agg(F.count("*").alias("beziehungen"))
+    """Per place: the relations that touch it or a place above it with either end, each once."""
+    edges = _edges(spark, folder)
+    ends = [edges.select(F.col("verweis_nr").alias("id"), F.col(f"{side}_rw").alias("rw"), F.col(f"{side}_pfad").alias("pfad")) for side in ("von", "nach")]
+    return C.touching(ends[0].unionByName(ends[1]), _paths(spark, folder)).groupBy("regelwerk", "pfad").agg(F.count("*").alias("beziehungen"))
 
 
 # --- matrices and lookups ---------------------------------------------------------------------------------

@@ -150,3 +150,28 @@ def test_feed_scan_against_brute_force(spark):
         if t and re.match(r"(?i)https?://.", u):
             want.add((nr, t, u, d or None, read_html(html.unescape(z)).text()))
     assert run(spark, "feed_scan", FOLDER) == want and len(want) > 500
+
+
+# --- prefix_relations, mapping_matrix ---------------------------------------------------------------------
+
+PLACE = "struct<rw string, pfad string>"
+EDGES = f"verweis_nr long, von {PLACE}, nach {PLACE}, typ string, quelle string, konfidenz double, erfasst timestamp_ntz, beleg string"
+
+
+def edges(*pairs):
+    return [(n, a, b, "t", "q", 1.0, None, "x") for n, (a, b) in enumerate(pairs, 1)]
+
+
+def test_prefix_relations_in_both_directions(spark, tmp_path):
+    rows = edges((("w", "art/1"), ("v", "art/9")), (("w", None), ("w", "art/1/abs/2")), (("v", "art/9"), ("w", "art/1/abs/2")))
+    places = [("w", "art/1"), ("w", "art/1/abs/2"), ("w", "art/2"), ("v", "art/9"), ("u", "art/1")]
+    folder = lay(spark, tmp_path, verweise=(rows + rows[:1], EDGES), knoten=(places, "regelwerk string, pfad string"))
+    assert run(spark, "prefix_relations", folder) == {("w", "art/1", 2), ("w", "art/1/abs/2", 3), ("w", "art/2", 1), ("v", "art/9", 2)}
+
+
+_TOUCH = " OR ".join(f"(e.{s}.rw = p.regelwerk AND (e.{s}.pfad IS NULL OR p.pfad = e.{s}.pfad OR (starts_with(p.pfad, e.{s}.pfad || '/') AND len(string_split(e.{s}.pfad, '/')) % 2 = 0)))" for s in ("von", "nach"))
+
+
+@given_tables
+def test_prefix_relations_against_sql(spark):
+    assert agrees(spark, "prefix_relations", f"WITH p AS (SELECT DISTINCT regelwerk, pfad FROM knoten WHERE pfad IS NOT NULL) SELECT p.regelwerk, p.pfad, count(DISTINCT e.verweis_nr) AS beziehungen FROM p JOIN verweise e ON {_TOUCH} GROUP BY ALL")
