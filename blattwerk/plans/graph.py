@@ -62,10 +62,12 @@ def prefix_relations(spark, folder):
 
 
 def mapping_matrix(spark, folder):
-    kinds = ["rts", "its", "vo", "rl", "lz"]
+    """Relations by the kinds of the works at their two ends; kinds without a column of their own are counted in ``andere``."""
+    kinds = ["rts", "its", "vo", "rl", "lz", "rs", "kat", "std", "gl", "dvo"]
     kind = lambda c: F.regexp_extract(c, r"-([a-z]+)-\d+$", 1)
-    rows = _edges(spark, folder).select(kind(F.col("von_rw")).alias("von"), kind(F.col("nach_rw")).alias("nach"))
-    return rows.groupBy("von").pivot("nach", kinds).agg(F.count(F.lit(1))).na.fill(0)
+    to = kind(F.col("nach_rw"))
+    rows = _edges(spark, folder).select(kind(F.col("von_rw")).alias("von"), F.when(to.isin(kinds), to).otherwise("andere").alias("nach"))
+    return rows.groupBy("von").pivot("nach", [*kinds, "andere"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def heatmap_stage(spark, folder):

@@ -175,3 +175,19 @@ _TOUCH = " OR ".join(f"(e.{s}.rw = p.regelwerk AND (e.{s}.pfad IS NULL OR p.pfad
 @given_tables
 def test_prefix_relations_against_sql(spark):
     assert agrees(spark, "prefix_relations", f"WITH p AS (SELECT DISTINCT regelwerk, pfad FROM knoten WHERE pfad IS NOT NULL) SELECT p.regelwerk, p.pfad, count(DISTINCT e.verweis_nr) AS beziehungen FROM p JOIN verweise e ON {_TOUCH} GROUP BY ALL")
+
+
+def test_mapping_matrix_counts_every_relation(spark, tmp_path):
+    rows = edges(*[(("a-vo-1", None), (to, None)) for to in ("b-rts-1", "b-gl-2", "b-gl-3", "b-neu-4", "ohne", None)], (("x", None), ("b-dvo-1", None)))
+    df = entry.queries()["mapping_matrix"](spark, lay(spark, tmp_path, verweise=(rows + rows[:1], EDGES)))
+    got = {r.von: r for r in df.collect()}
+    assert (got["vo"].rts, got["vo"].gl, got["vo"].andere, got["vo"].lz, got[""].dvo) == (1, 2, 3, 0, 1)
+    assert sum(sum(r[1:]) for r in got.values()) == 7
+
+
+@given_tables
+def test_mapping_matrix_against_sql(spark):
+    kinds = ["rts", "its", "vo", "rl", "lz", "rs", "kat", "std", "gl", "dvo"]
+    columns = ", ".join(f"count(*) FILTER (nach = '{k}') AS {k}" for k in kinds)
+    assert agrees(spark, "mapping_matrix", f"""WITH k AS (SELECT regexp_extract(von, '-([a-z]+)-\\d+$', 1) AS von, regexp_extract(nach, '-([a-z]+)-\\d+$', 1) AS nach FROM (SELECT DISTINCT verweis_nr, von.rw AS von, nach.rw AS nach FROM verweise))
+        SELECT von, {columns}, count(*) FILTER (nach IS NULL OR nach NOT IN {tuple(kinds)}) AS andere FROM k GROUP BY von""")
