@@ -203,17 +203,18 @@ def entries(recs: DataFrame) -> DataFrame:
 
 
 def _sort_keys() -> Column:
-    figures = F.concat_ws("|", "art", "sache", "nummer", "betrag", "zeitraum")
+    # the kind comes late: an item without one lies beside its twin that has one
+    figures = F.concat_ws("|", "sache", "nummer", "betrag", "zeitraum")
     keys = [
-        F.concat_ws("|", "gegenstand", "art", "nummer", "betrag", "zeitraum", "sache", "wortlaut"),
-        F.concat_ws("|", figures, "gegenstand", "wortlaut"),
-        F.concat_ws("|", figures, F.reverse("gegenstand"), "wortlaut"),
+        F.concat_ws("|", "gegenstand", "nummer", "betrag", "zeitraum", "sache", "art", "wortlaut"),
+        F.concat_ws("|", figures, "gegenstand", "art", "wortlaut"),
+        F.concat_ws("|", figures, F.reverse("gegenstand"), "art", "wortlaut"),
     ]
     return F.explode(F.array(*[F.struct(F.lit(k).alias("ordnung"), key.alias("schluessel")) for k, key in enumerate(keys)]))
 
 
 #: Per entry besides its fields: hashes of what must be equal, so that windows are compared as numbers.
-_CODES = {"figuren": ["art", "nummer", "betrag", "zeitraum"], "wer": ["gegenstand"], "was": ["sache"]}
+_CODES = {"figuren": ["nummer", "betrag", "zeitraum"], "wer": ["gegenstand"], "was": ["sache"]}
 _SORTED = ["ordnung", "schluessel", "nr", "frisch", *_CODES, *FIELDS]
 _SEEN = f"neu bigint, alt bigint, alt_neu boolean, rand int, ordnung int, schluessel string, nr bigint, frisch boolean, figuren bigint, wer bigint, was bigint, {_ENTRY}"
 
@@ -222,11 +223,14 @@ def _candidates(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs within the window that may tell the same: at least one new, nothing certain that differs."""
     order, fresh, sure, figures, who, what = (rows.column(c).to_numpy() for c in ("ordnung", "frisch", "sicher", "figuren", "wer", "was"))
     gap = pc.not_equal(rows.column("wortlaut"), "").to_numpy()
+    kinds = rows.column("art").combine_chunks().dictionary_encode()
+    kind, blank = kinds.indices.to_numpy(), pc.equal(rows.column("art"), "").to_numpy()  # a kind that is not given agrees with any
     left, right = [], []
     for d in range(1, min(window, len(order) - 1) + 1):
         a, b = slice(d, None), slice(None, -d)
         open_ = gap[a] | gap[b]
-        hit = (fresh[a] | fresh[b]) & (order[a] == order[b]) & (open_ | (figures[a] == figures[b]) & (what[a] == what[b])) & ((who[a] == who[b]) | ~(sure[a] & sure[b]))
+        alike = (kind[a] == kind[b]) | blank[a] | blank[b]
+        hit = (fresh[a] | fresh[b]) & (order[a] == order[b]) & alike & (open_ | (figures[a] == figures[b]) & (what[a] == what[b])) & ((who[a] == who[b]) | ~(sure[a] & sure[b]))
         at = np.flatnonzero(hit)
         left.append(at + d)
         right.append(at)

@@ -90,3 +90,14 @@ def test_runs_compact(spark, tmp_path):
     for _ in range(3):
         runs.append(one)
     assert len(runs.parts) == 1 and runs.read().count() == 3 and runs_schema
+
+
+@pytest.mark.parametrize("blank", [None, "", " "])
+def test_a_missing_kind_hides_no_repeat(spark, blank):
+    schema = "nr long, charge int, titel string, zusammenfassung string, kategorie string, begruendung array<string>"
+    item = lambda nr, charge, kind, who="Jaslant Bank Erldorf", sum_=15: (nr, charge, "Titel", f"Bußgeld über {sum_}.000 Euro gegen {who}.", kind, ["Auslagerung (+3)"])
+    crowd = [item(10 + k, 0, "Meldung", sum_=100 + k) for k in range(40)] + [item(60 + k, 0, "Meldung", f"Kul{a}ding Bank Seehof") for k, a in enumerate("abcdefghijklmnopqrst")]
+    rows = [item(1, 0, "Sanktion"), item(2, 0, blank, "Kulding Depot Erldorf"), *crowd, item(100, 1, blank), item(101, 2, "Sanktion", "Kulding Depot Erldorf")]
+    rows += [item(103, 3, "Meldung", "Rondo Bank Seehof", 9), item(104, 4, "Sanktion", "Rondo Bank Seehof", 9)]
+    got = {r.nr: r.erste for r in N.deduplicate(spark, spark.createDataFrame(rows, schema), backlog=1).collect()}
+    assert got[100] == 1 and got[101] == 2 and got[103] == 103 and got[104] == 104
