@@ -67,8 +67,11 @@ def version_registry(spark, folder):
 
 
 def version_ids(spark, folder):
-    rows = table(spark, folder, "fassungen").where("lieferung = 1").select("zeile", "regelwerk", F.substring(F.regexp_replace("id", r"\s", ""), 1, 10).alias("tag"))
-    return V.version_ids(rows, "regelwerk", F.col("tag"), ["zeile"]).select("zeile", "regelwerk", "fassung")
+    """Every version once, whichever delivery first had it; ``zeile`` is the row in which it appeared first."""
+    rows = table(spark, folder, "fassungen").select("lieferung", "zeile", "regelwerk", F.regexp_replace("id", r"\s", "").alias("id"))
+    first = F.min(F.struct(F.col("lieferung").isNull().alias("ohne"), "lieferung", "zeile"))
+    rows = rows.groupBy("regelwerk", "id").agg(first.alias("v")).select("regelwerk", F.substring("id", 1, 10).alias("tag"), "v.ohne", "v.lieferung", "v.zeile")
+    return V.version_ids(rows, "regelwerk", F.col("tag"), ["ohne", "lieferung", "zeile"]).select("zeile", "regelwerk", "fassung")
 
 
 def change_log(spark, folder):

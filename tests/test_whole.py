@@ -191,3 +191,18 @@ def test_mapping_matrix_against_sql(spark):
     columns = ", ".join(f"count(*) FILTER (nach = '{k}') AS {k}" for k in kinds)
     assert agrees(spark, "mapping_matrix", f"""WITH k AS (SELECT regexp_extract(von, '-([a-z]+)-\\d+$', 1) AS von, regexp_extract(nach, '-([a-z]+)-\\d+$', 1) AS nach FROM (SELECT DISTINCT verweis_nr, von.rw AS von, nach.rw AS nach FROM verweise))
         SELECT von, {columns}, count(*) FILTER (nach IS NULL OR nach NOT IN {tuple(kinds)}) AS andere FROM k GROUP BY von""")
+
+
+# --- version_ids ------------------------------------------------------------------------------------------
+
+
+def test_version_ids_over_all_deliveries(spark, tmp_path):
+    rows = [(5, 1, "w", "2024-01-02b"), (1, 1, "w", "2024-01-02"), (2, 1, "w", " 2024-01-02 "), (7, 2, "w", "2024-01-02"), (8, 2, "w", "2024-05-06"), (3, 3, "w", "2024-05-06x"), (9, 3, "v", "2024-01-02"), (4, None, "v", "2024-01-02c")]
+    folder = lay(spark, tmp_path, fassungen=(rows, "zeile long, lieferung int, regelwerk string, id string"))
+    assert run(spark, "version_ids", folder) == {(1, "w", "2024-01-02"), (5, "w", "2024-01-02b"), (8, "w", "2024-05-06"), (3, "w", "2024-05-06b"), (9, "v", "2024-01-02"), (4, "v", "2024-01-02b")}
+
+
+@given_tables
+def test_version_ids_against_sql(spark):
+    assert agrees(spark, "version_ids", r"""WITH v AS (SELECT regelwerk, regexp_replace(id, '\s', '', 'g') AS id, min((lieferung, zeile)) AS erst FROM fassungen GROUP BY ALL)
+        SELECT erst[2] AS zeile, regelwerk, left(id, 10) || repeat('b', CAST(row_number() OVER (PARTITION BY regelwerk, left(id, 10) ORDER BY erst) - 1 AS INT)) AS fassung FROM v""")
