@@ -1,11 +1,15 @@
 """Deduplicating new batches of news against all history by multi-key sorted neighbourhoods.
 
 Of each item only a short record is kept: what kind of announcement it is, about whom, about what, with which number,
-amount and period. Records with equal content are one entry, so copies never crowd a window. The entries are kept as
-runs of sort keys (three orders: by institution, by matter and figures, and the latter with the institution's name read
-backwards, so that a misspelt name has its twin near in at least one order). A new batch is sorted into the key ranges of
-the runs; only windows around new entries are compared. New entries are appended as a further run; when there are
-too many runs they are compacted into one. Nothing of the history's texts is read again.
+amount and period. Records with equal content are one entry, so copies never crowd a window. Entries are sorted by three
+keys (by institution, by matter and figures, and the latter with the institution's name read backwards, so that a
+misspelt name has its twin near in at least one order). What a record lacks is sought in its wording: such an entry is
+also sorted in under every name or matter its wording might mean.
+
+The history is one table of sorted runs, bucketed by key range: a bucket per range, a sorted file per run in it. A new
+batch is cut along the same ranges, so only the batch is shuffled; of the history only the ranges it touches and their
+neighbours are read, as they lie. Only windows around new entries are compared. The batch then becomes a further run; when
+there are too many runs they are compacted into one, cut into ranges anew. No text of the history is read again.
 """
 
 from __future__ import annotations
@@ -13,33 +17,37 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_place, remove, table, written
 
-# Words that say what sort of institution a name belongs to; a name is the word before, this, and the word after.
-FORMS = """Bank Sparkasse Genossenschaft Börse Depot Holding Invest Kapital Kredit Leasing Leben Makler Rück Service
-Treuhand Versicherung Assekuranz Clearing Factoring Finanz Hypothek Pensionskasse Rechenzentrum Wertpapier
-Zahlungsdienste Fonds Verband Institut Kasse""".split()
-#: Words that open a sentence before a name without belonging to it.
-OPENERS = {"bei", "das", "der", "die", "den", "mit", "wegen", "wie", "im", "in", "the", "at", "after", "for", "von", "gegen", "on"}
-#: Largest lexicon of matters that is handed to the tasks; beyond it only the row's own matter and the windows are used.
-LEXICON_LIMIT = 5_000
+#: Waiting batches that are merged at once: less work per batch, the same result.
+BACKLOG = 2
 #: Entries compared to each side of a new one.
 WINDOW = 12
 #: Runs after which they are compacted.
 MOST_RUNS = 4
-
-FIELDS = ["art", "gegenstand", "sache", "nummer", "betrag", "zeitraum", "wortlaut", "sicher"]
-_ENTRY = "art string, gegenstand string, sache string, nummer string, betrag string, zeitraum string, wortlaut string, sicher boolean"
+#: Sort keys meant for one range when runs are cut: what one task holds. A border of at most 200 characters is kept per range.
+PER_RANGE = 40_000
+#: Keys a range has at least, so that a window reaches over one border only.
+LEAST_PER_RANGE = 2_000
+#: Keys per range that are looked at for placing the borders, chosen by hash. They decide the layout, not the result.
+PER_BORDER = 32
+#: Characters of a sort key; the number of the entry follows, so that no two keys are equal.
+KEY_LENGTH = 180
+
+FIELDS = ["art", "gegenstand", "sache", "nummer", "betrag", "zeitraum", "wortlaut", "kern", "sicher"]
+_ENTRY = "art string, gegenstand string, sache string, nummer string, betrag string, zeitraum string, wortlaut string, kern string, sicher boolean"
 
 # --- reading an item --------------------------------------------------------------------------------------
 
@@ -84,28 +92,47 @@ def _label(text: str | None) -> str:
     return re.sub(r"\s*\([+-]?\d+\)$", "", clean(text)).lower()
 
 
-# all but _RUN over text in lower case: a pattern without case folding is several times as fast
-_FORM = re.compile(r"\b([a-z]{3,}) (" + "|".join(fold(f).lower() for f in FORMS) + r") ([a-z]{3,})\b")
-_RUN = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){2,}\b")
+#: Words with a capital in a row: what a name looks like. A name has two to five words.
+_RUN = re.compile(r"(?<![\w-])[A-Z][A-Za-z&-]*(?: [A-Z][A-Za-z&-]*(?![\w-]))+")
+_LONGEST_NAME = 5
+# figures, in text in lower case: a pattern without case folding is several times as fast
 _NOTICE = re.compile(r"\bn[or]\. ?(\d{4,})(?![\d./,-]*\d)")
 _NUMBER = re.compile(r"\b(\d{1,3}/(?:19|20)\d{2})\b")
 _AMOUNT = re.compile(r"\b(\d{1,3}(?:[.,']\d{3})+|\d+) ?(?:euro|eur)\b|(?:€|\beuro|\beur) ?(\d{1,3}(?:[.,']\d{3})+|\d+)")
 _PERIOD = re.compile(r"\b(?:([1-4])\. ?q\w{3,9}|q([1-4])|(h[12])|([12])\. halbjahr)[ /-]*((?:19|20)\d{2})\b")
 
 
-def _name(text: str, lower: str) -> str:
-    m = _FORM.search(lower)
-    while m and m[1] in OPENERS:
-        m = _FORM.search(lower, m.start(2))
-    if m:
-        return m[0]
+def _runs(text: str) -> list[list[str]]:
+    """Names a text may hold, longest first. A run that opens a sentence and is long enough loses its first word, which is no part of it.
+
+    Where capitals tell nothing (nearly all letters are, or a run is longer than names are) no name can be read.
+    """
+    found: list[list[str]] = []
+    if 5 * sum(map(str.islower, text)) < sum(map(str.isalpha, text)):
+        return found
     for m in _RUN.finditer(text):
         words = m[0].lower().split()
-        while words and words[0] in OPENERS:
-            words.pop(0)
-        if len(words) >= 3:
-            return " ".join(words[:3])
-    return ""
+        opens = m.start() == 0 or text[: m.start()].rstrip(' "(')[-1:] in ("", ".", "!", "?", ":", ")")
+        found.append(words[1:] if opens and len(words) > 3 else words)
+    found.sort(key=len, reverse=True)
+    return [] if found and len(found[0]) > _LONGEST_NAME else found
+
+
+def _name(title: str, summary: str, matter: str) -> str:
+    """Who an item is about: the longest name of its summary, or that of its title if longer and of other words.
+
+    An opening word that the other half lacks is no part of it, nor is the matter behind it.
+    """
+    of_summary, of_title = (next(iter(_runs(x)), []) for x in (summary, title))
+    plain = lambda x: f" {re.sub(r'[^a-z0-9&-]+', ' ', x.lower())} "
+    by_title = len(of_title) > len(of_summary) and not (of_summary and f" {' '.join(of_summary)} " in plain(title))
+    words, other = (of_title, summary) if by_title else (of_summary, title)
+    if len(words) > 2 and other:
+        within = plain(other)
+        if f" {' '.join(words)} " not in within and f" {' '.join(words[1:])} " in within:
+            words = words[1:]
+    name = " ".join(words)
+    return name.removesuffix(" " + matter) if matter and len(words) > 2 else name
 
 
 def _figures(lower: str) -> tuple[str, str, str, str]:
@@ -122,20 +149,28 @@ def _figures(lower: str) -> tuple[str, str, str, str]:
     )
 
 
-def read_item(title: str | None, summary: str | None, kind: str | None, reasons: Iterable[str] | None, matters: re.Pattern | None) -> tuple:
-    """The record of one item, in the order of ``FIELDS``. The summary decides, the title fills what it lacks."""
+def _plain_words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text).split()
+
+
+def read_item(title: str | None, summary: str | None, kind: str | None, reasons: Iterable[str] | None) -> tuple:
+    """The record of one item, in the order of ``FIELDS``. The summary decides, the title fills what it lacks.
+
+    Only an item that lacks a name or a matter keeps its wording, and as ``kern`` the words by which the matter may be known: those
+    that title and summary share, without the name and figures; all of the title if there is no summary.
+    """
     t, s = whole_part(clean(title)), whole_part(clean(summary))
     t_low, s_low = t.lower(), s.lower()
     notice, number, amount, period = (x or y for x, y in zip(_figures(s_low), _figures(t_low), strict=True))
-    name = "" if notice else _name(s, s_low) or _name(t, t_low)
     matter = next((_label(r) for r in reasons if r), "") if reasons is not None else ""
-    if not matter and matters:
-        m = matters.search(s_low) or matters.search(t_low)
-        matter = m[0] if m else ""
+    name = "" if notice else _name(t, s, matter)
     subject = f"nr {notice}" if notice else name
-    gap = not subject or not matter
-    words = re.sub(r"[^a-z0-9]+", " ", f"{t_low} {s_low}").strip() if gap else ""
-    return (_label(kind), subject, matter, number, amount, period, words, bool(s) and not gap)
+    if subject and matter:
+        return (_label(kind), subject, matter, number, amount, period, "", "", bool(s))
+    t_words, s_words = _plain_words(t_low), _plain_words(s_low)
+    named = {*_plain_words(subject), *t_words} - set(s_words) if s_words else set()
+    core = [w for w in dict.fromkeys(t_words) if w not in named and not w.isdigit() and w not in _plain_words(subject)]
+    return (_label(kind), subject, matter, number, amount, period, " ".join([*t_words, *s_words]), " ".join(core), False)
 
 
 # --- comparing --------------------------------------------------------------------------------------------
@@ -149,240 +184,334 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def _alike(a: str, b: str, sure: bool) -> bool:
+    """Whether two names may be one: one opens or ends the other, or one slip of the pen apart if ``sure`` is not said of both."""
+    if a == b or a.endswith(" " + b) or b.endswith(" " + a) or a.startswith(b + " ") or b.startswith(a + " "):
+        return True
+    return not sure and min(len(a), len(b)) >= 12 and one_edit(a, b)
+
+
 def same_news(a: tuple, b: tuple) -> bool:
     """Whether two records tell the same: all they both say is equal, and what one lacks is found in its wording.
 
-    A name may differ by one slip of the pen if one of the two is not confirmed by a summary.
+    A name may differ by one slip of the pen if one of the two is not confirmed by a summary. Where both lack the name, the wording
+    must be alike (nine words in ten, or the whole of one's core in the other's with equal matter and some figure); where both lack the
+    matter, the core of each must occur in the other.
     """
-    kind_a, subject_a, matter_a, *figures_a, words_a, sure_a = a
-    kind_b, subject_b, matter_b, *figures_b, words_b, sure_b = b
+    kind_a, subject_a, matter_a, *figures_a, words_a, core_a, sure_a = a
+    kind_b, subject_b, matter_b, *figures_b, words_b, core_b, sure_b = b
+    if a == b:
+        return bool(subject_a or words_a)
     if kind_a != kind_b and kind_a and kind_b:
         return False
     if any(x != y and (x and y or not (words_a or words_b)) for x, y in zip(figures_a, figures_b, strict=True)):
         return False
-    if not (subject_a or subject_b) or not (matter_a or matter_b):
-        left, right = set(words_a.split()), set(words_b.split())
+    left, right = set(words_a.split()), set(words_b.split())
+    if not (subject_a or subject_b):
         return bool(left) and 10 * len(left & right) >= 9 * len(left | right)
-    if matter_a != matter_b:
+    if not matter_a and not matter_b:
+        one, other = set(core_a.split()), set(core_b.split())
+        if not (one and other and one <= right and other <= left):
+            return False
+    elif matter_a != matter_b:
         missing = words_b if not matter_b else words_a if not matter_a else ""
         if not missing or (matter_a or matter_b) not in missing:
             return False
-    if subject_a == subject_b:
-        return True
-    if not subject_a or not subject_b:
-        return (subject_a or subject_b) in (words_b if not subject_b else words_a)
-    return not (sure_a and sure_b) and min(len(subject_a), len(subject_b)) >= 12 and one_edit(subject_a, subject_b)
+    if subject_a and subject_b:
+        return _alike(subject_a, subject_b, sure_a and sure_b)
+    return f" {subject_a or subject_b} " in f" {words_b if not subject_b else words_a} "
 
 
 # --- runs -------------------------------------------------------------------------------------------------
 
 
-def records(items: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
-    """(nr, *FIELDS) of news items, read in Arrow batches."""
-    pattern = r"\b(?:" + "|".join(sorted((re.escape(w) for w in lexicon), key=len, reverse=True)) + r")" if lexicon else None
+def records(items: DataFrame) -> DataFrame:
+    """(nr, *FIELDS) of news items, read in Arrow batches; other columns stay in front of the record."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matters = re.compile(pattern, re.IGNORECASE) if pattern else None
         for pdf in batches:
-            rows = [read_item(t, s, k, r, matters) for t, s, k, r in zip(pdf["titel"], pdf["zusammenfassung"], pdf["kategorie"], pdf["begruendung"], strict=True)]
-            yield pd.concat([pdf[["nr"]].reset_index(drop=True), pd.DataFrame(rows, columns=FIELDS)], axis=1)
+            rows = [read_item(t, s, k, r) for t, s, k, r in zip(pdf["titel"], pdf["zusammenfassung"], pdf["kategorie"], pdf["begruendung"], strict=True)]
+            yield pd.concat([pdf[["nr", "_stapel"]].reset_index(drop=True), pd.DataFrame(rows, columns=FIELDS)], axis=1)
 
-    return items.select("nr", "titel", "zusammenfassung", "kategorie", "begruendung").mapInPandas(read, f"nr bigint, {_ENTRY}")
+    return items.select("nr", "_stapel", "titel", "zusammenfassung", "kategorie", "begruendung").mapInPandas(read, f"nr bigint, _stapel int, {_ENTRY}")
 
 
-def lexicon_of(items: DataFrame, limit: int = LEXICON_LIMIT) -> list[str]:
-    """The matters that the items' reasons name, if there are at most ``limit``; else nothing."""
-    words = items.select(F.explode("begruendung").alias("w")).select(F.regexp_replace("w", r"\s*\([+-]?\d+\)$", "").alias("w")).where("w <> ''").distinct()
-    found = [r.w for r in words.limit(limit + 1).collect()]
-    return sorted({clean(w).lower() for w in found} - {""}) if len(found) <= limit else []
+def is_wordless(r: str = "") -> Column:
+    """A record that names nobody and has no wording: it tells nothing that another could repeat."""
+    return (F.col(f"{r}gegenstand") == "") & (F.col(f"{r}wortlaut") == "")
 
 
 def entries(recs: DataFrame) -> DataFrame:
-    """One row per distinct content, ``nr`` being the first item that has it."""
-    return recs.groupBy(*FIELDS).agg(F.min("nr").alias("nr"))
+    """One row per distinct content, ``nr`` being the first item that has it; without wordless records."""
+    return recs.where(~is_wordless()).groupBy(*FIELDS).agg(F.min("nr").alias("nr"))
+
 
+def sort_keys() -> str:
+    """The keys under which an entry is sorted in, each opened by the number of its order, as an SQL expression of an array.
 
-def _sort_keys() -> Column:
+    An entry without a name also stands under every two or three neighbouring words of its wording, one without a matter
+    under every word and every two neighbouring words of its core.
+    """
     # the kind comes late: an item without one lies beside its twin that has one
-    figures = F.concat_ws("|", "sache", "nummer", "betrag", "zeitraum")
-    keys = [
-        F.concat_ws("|", "gegenstand", "nummer", "betrag", "zeitraum", "sache", "art", "wortlaut"),
-        F.concat_ws("|", figures, "gegenstand", "art", "wortlaut"),
-        F.concat_ws("|", figures, F.reverse("gegenstand"), "art", "wortlaut"),
-    ]
-    return F.explode(F.array(*[F.struct(F.lit(k).alias("ordnung"), key.alias("schluessel")) for k, key in enumerate(keys)]))
+    by_name = lambda who, what: f"concat_ws('|', '0', {who}, nummer, betrag, zeitraum, {what}, art, wortlaut)"
+    by_matter = lambda order, who: f"concat_ws('|', '{order}', sache, nummer, betrag, zeitraum, {who}, art, wortlaut)"
+    grams = lambda text, n: f"transform(sequence(0, greatest(0, size(split({text}, ' ')) - {n})), i -> array_join(slice(split({text}, ' '), i + 1, {n}), ' '))"
+    usual = f"array({by_name('gegenstand', 'sache')}, {by_matter(1, 'gegenstand')}, {by_matter(2, 'reverse(gegenstand)')})"
+    names = f"transform(array_distinct(concat({grams('wortlaut', 2)}, {grams('wortlaut', 3)})), g -> {by_name('g', 'sache')})"
+    matters = f"transform(array_distinct(concat({grams('kern', 1)}, {grams('kern', 2)})), g -> {by_name('gegenstand', 'g')})"
+    extra = f"CASE WHEN gegenstand = '' THEN {names} WHEN sache = '' THEN {matters} ELSE CAST(array() AS array<string>) END"
+    return f"transform(array_distinct(concat({usual}, {extra})), k -> concat_ws('|', substring(k, 1, {KEY_LENGTH}), lpad(CAST(nr AS string), 20, '0')))"
 
 
 #: Per entry besides its fields: hashes of what must be equal, so that windows are compared as numbers.
 _CODES = {"figuren": ["nummer", "betrag", "zeitraum"], "wer": ["gegenstand"], "was": ["sache"]}
-_SORTED = ["ordnung", "schluessel", "nr", "frisch", *_CODES, *FIELDS]
-_SEEN = f"neu bigint, alt bigint, alt_neu boolean, rand int, ordnung int, schluessel string, nr bigint, frisch boolean, figuren bigint, wer bigint, was bigint, {_ENTRY}"
+_ROW = ["bereich", "schluessel", "nr", "erste", *_CODES, *FIELDS]
+_ROW_TYPES = f"bereich int, schluessel string, nr bigint, erste bigint, figuren bigint, wer bigint, was bigint, {_ENTRY}"
+_PAIR = {"neu": pa.int64(), "alt": pa.int64(), "alt_neu": pa.bool_(), "alt_erste": pa.int64(), "rand": pa.int32(), "frisch": pa.bool_()}
+_SEEN = f"neu bigint, alt bigint, alt_neu boolean, alt_erste bigint, rand int, frisch boolean, {_ROW_TYPES}"
 
 
-def _candidates(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs within the window that may tell the same: at least one new, nothing certain that differs."""
-    order, fresh, sure, figures, who, what = (rows.column(c).to_numpy() for c in ("ordnung", "frisch", "sicher", "figuren", "wer", "was"))
+def _candidates(rows: pa.Table, fresh: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (new, other) of pairs within the window around new entries that may tell the same: nothing certain differs."""
+    order = pc.utf8_slice_codeunits(rows.column("schluessel"), 0, 1).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sure, figures, who, what = (rows.column(c).to_numpy() for c in ("sicher", "figuren", "wer", "was"))
     gap = pc.not_equal(rows.column("wortlaut"), "").to_numpy()
     kinds = rows.column("art").combine_chunks().dictionary_encode()
-    kind, blank = kinds.indices.to_numpy(), pc.equal(rows.column("art"), "").to_numpy()  # a kind that is not given agrees with any
-    left, right = [], []
-    for d in range(1, min(window, len(order) - 1) + 1):
-        a, b = slice(d, None), slice(None, -d)
-        open_ = gap[a] | gap[b]
+    kind, blank = kinds.indices.to_numpy(zero_copy_only=False), pc.equal(rows.column("art"), "").to_numpy()  # a kind that is not given agrees with any
+    new = np.flatnonzero(fresh)
+    left, right = [np.array([], int)], [np.array([], int)]
+    for d in [*range(-window, 0), *range(1, window + 1)]:
+        a = new[(new + d >= 0) & (new + d < len(fresh))]
+        b = a + d
+        if d > 0:
+            a, b = a[~fresh[b]], b[~fresh[b]]  # two new ones meet once
         alike = (kind[a] == kind[b]) | blank[a] | blank[b]
-        hit = (fresh[a] | fresh[b]) & (order[a] == order[b]) & alike & (open_ | (figures[a] == figures[b]) & (what[a] == what[b])) & ((who[a] == who[b]) | ~(sure[a] & sure[b]))
-        at = np.flatnonzero(hit)
-        left.append(at + d)
-        right.append(at)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
+        certain = (figures[a] == figures[b]) & (what[a] == what[b]) & ((who[a] == who[b]) | ~(sure[a] & sure[b]))
+        hit = (order[a] == order[b]) & alike & (gap[a] | gap[b] | certain)
+        left.append(a[hit])
+        right.append(b[hit])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _compare(rows: pa.Table, window: int) -> list[tuple[int, int, bool]]:
-    """Pairs (new, other, other is new too) of one sorted stretch that tell the same."""
-    one, other = _candidates(rows, window)
+def _compare(rows: pa.Table, window: int) -> list[tuple[int, int, bool, int]]:
+    """Pairs (new, other, other is new too, first item of the other's news) of one sorted stretch that tell the same."""
+    fresh = rows.column("frisch").to_numpy()
+    one, other = _candidates(rows, fresh, window)
     if not len(one):
         return []
     used, at = np.unique(np.concatenate([one, other]), return_inverse=True)
-    small = rows.select(["nr", "frisch", *FIELDS]).take(pa.array(used)).to_pydict()
+    small = rows.select(["nr", "erste", "frisch", *FIELDS]).take(pa.array(used)).to_pydict()
     recs = list(zip(*(small[f] for f in FIELDS), strict=True))
-    found = []
-    for i, j in zip(at[: len(one)], at[len(one) :], strict=True):
-        if same_news(recs[i], recs[j]):
-            a, b = (i, j) if small["frisch"][i] else (j, i)
-            found.append((small["nr"][a], small["nr"][b], small["frisch"][b]))
-    return found
+    pairs = {(i, j) for i, j in zip(at[: len(one)].tolist(), at[len(one) :].tolist(), strict=True) if small["nr"][i] != small["nr"][j]}
+    return sorted({(small["nr"][i], small["nr"][j], small["frisch"][j], small["erste"][j]) for i, j in pairs if same_news(recs[i], recs[j])})
 
 
-def windows(sorted_entries: DataFrame, window: int) -> DataFrame:
-    """Compare windows around new entries of every sorted partition; hand out the partition's edges for the neighbours.
+def _shaped(rows: pa.Table, given: dict[str, pa.Array]) -> pa.Table:
+    n = len(next(iter(given.values())))
+    full = given | ({c: rows.column(c) for c in _ROW} if n == len(rows) and "rand" in given else {})
+    types = _PAIR | {c: rows.schema.field(c).type for c in _ROW}
+    return pa.table([full[c] if c in full else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
-    Works through a partition in stretches that overlap by a window, so memory does not grow with the partition.
-    """
-    types = {"neu": pa.int64(), "alt": pa.int64(), "alt_neu": pa.bool_(), "rand": pa.int32()}
-
-    def shaped(n: int, given: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-        fields = [(c, types[c]) for c in types] + [(c, schema.field(c).type) for c in _SORTED]
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in fields], names=[c for c, _ in fields])
-
-    def edge(rows: pa.Table, side: int) -> Iterator[pa.RecordBatch]:
-        for b in rows.combine_chunks().to_batches():
-            yield shaped(len(b), {c: b.column(c) for c in _SORTED} | {"rand": pa.array([side] * len(b), pa.int32())}, b.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, begun = None, False
-        for batch in batches:
-            if not len(batch):
-                continue
-            part = pa.Table.from_batches([batch])
-            rows = part if carry is None else pa.concat_tables([carry, part]).combine_chunks()
-            pairs = sorted(set(_compare(rows, window)))
-            if pairs:
-                yield shaped(len(pairs), {c: pa.array([p[k] for p in pairs], types[c]) for k, c in enumerate(("neu", "alt", "alt_neu"))}, batch.schema)
-            if not begun:
-                yield from edge(rows.slice(0, window), 0)
-                begun = True
-            carry = rows.slice(max(0, len(rows) - window))
-        if carry is not None:
-            yield from edge(carry, 1)
-
-    return sorted_entries.select(*_SORTED).mapInArrow(run, _SEEN)
-
-
-def neighbours(history: DataFrame | None, batch: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pairs (neu, alt, alt_neu) of entries that tell the same, at least one of them from ``batch``; alt_neu: both are."""
-    spark = batch.sparkSession
-    fresh = batch.select("nr", *FIELDS, F.lit(True).alias("frisch"))
-    both = fresh if history is None else fresh.unionByName(history.select("nr", *FIELDS, F.lit(False).alias("frisch")))
-    keyed = both.select("*", _sort_keys().alias("_k")).select("_k.ordnung", "_k.schluessel", "nr", "frisch", *[F.xxhash64(*f).alias(c) for c, f in _CODES.items()], *FIELDS)
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(ranges, "ordnung", "schluessel", "nr").sortWithinPartitions("ordnung", "schluessel", "nr")
-    seen = written(windows(ordered, window), "fenster")
-    edges = seen.where("rand is not null").select(*_SORTED).distinct()
-    across = windows(edges.coalesce(1).sortWithinPartitions("ordnung", "schluessel", "nr"), window)  # two windows per range
-    return seen.where("neu is not null").unionByName(across.where("neu is not null")).select("neu", "alt", "alt_neu").distinct()
+
+def _pairs_table(rows: pa.Table, window: int) -> pa.Table:
+    pairs = _compare(rows, window)
+    return _shaped(rows, {c: pa.array([p[k] for p in pairs], _PAIR[c]) for k, c in enumerate(("neu", "alt", "alt_neu", "alt_erste"))})
+
+
+def _sorted(rows: pa.Table) -> pa.Table:
+    return rows.take(pc.sort_indices(rows, sort_keys=[("schluessel", "ascending")])).combine_chunks()
+
+
+def range_search(window: int):
+    """The task of one range: sort the new entries into the old ones, compare windows around them, hand out both edges for the neighbours."""
+
+    def search(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
+        parts = [t.select(_ROW).append_column("frisch", pa.array(np.full(len(t), f), pa.bool_())) for t, f in ((old, False), (new, True))]
+        rows = _sorted(pa.concat_tables(parts))
+        found = [_pairs_table(rows, window)] if len(new) else []
+        for border, edge in ((key[0].as_py() - 1, rows.slice(0, window)), (key[0].as_py(), rows.slice(max(0, len(rows) - window)))):
+            found.append(_shaped(edge, {"rand": pa.array([border] * len(edge), pa.int32()), "frisch": edge.column("frisch")}))
+        return pa.concat_tables(found)
+
+    return search
+
+
+def border_search(window: int):
+    """The task of one border: the last entries before it and the first ones after it, at most two windows."""
+
+    def search(rows: pa.Table) -> pa.Table:
+        return _pairs_table(_sorted(rows), window)
+
+    return search
 
 
 class Runs:
-    """The persisted entries of all accepted news: runs of (nr, erste, *FIELDS) below one path; ``erste`` is the first item of that news."""
+    """The persisted entries of all accepted news, as sorted runs in key ranges.
 
-    def __init__(self, spark: SparkSession, path: str, most: int = MOST_RUNS) -> None:
-        self.spark, self.path, self.most, self.parts = spark, path, most, []
+    One table, bucketed by range: ``rows`` of a set of ranges are read without touching the others and without a shuffle. ``erste``
+    is the first item of the news an entry tells. The ranges are cut when the first run comes and at every compaction.
+    """
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.schema(f"nr bigint, erste bigint, {_ENTRY}").parquet(*self.parts) if self.parts else None
+    def __init__(self, spark: SparkSession, most: int = MOST_RUNS, per_range: int = PER_RANGE, least: int = LEAST_PER_RANGE) -> None:
+        self.spark, self.most, self.per_range, self.least = spark, most, per_range, least
+        self.name: str | None = None
+        self.path = ""
+        self.runs = self.compactions = 0
+        self.borders: list[str] = []
+
+    @property
+    def ranges(self) -> int:
+        return len(self.borders) + 1
+
+    def cut(self, keyed: DataFrame) -> None:
+        """Place the borders of the ranges so that each holds about as many of these keys."""
+        keys = keyed.count()
+        wanted = max(1, keys // self.per_range, min(self.spark.sparkContext.defaultParallelism, keys // self.least))
+        if wanted == 1:
+            self.borders = []
+            return
+        some = sorted(r[0] for r in keyed.select("schluessel").orderBy(F.xxhash64("schluessel")).limit(PER_BORDER * wanted).collect())
+        self.borders = sorted({some[len(some) * k // wanted] for k in range(1, wanted)})
+
+    def placed(self, keyed: DataFrame) -> DataFrame:
+        """Rows with the number of the range their key lies in."""
+        borders = self.borders
+
+        @F.pandas_udf("int")
+        def place(keys: pd.Series) -> pd.Series:
+            return pd.Series([bisect_right(borders, k) for k in keys], dtype="int32")
+
+        return keyed.withColumn("bereich", place("schluessel"))
+
+    def rows(self, touched: list[int] | None = None) -> DataFrame:
+        """The entries of the given ranges, or of all."""
+        if self.name is None:
+            return self.spark.createDataFrame([], _ROW_TYPES)
+        rows = self.spark.table(self.name).select(*_ROW)
+        return rows if touched is None else rows.where(F.col("bereich").isin(touched))
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        laid = rows.select(*_ROW).repartition(self.ranges, "bereich").sortWithinPartitions("bereich", "schluessel")
+        laid.write.bucketBy(self.ranges, "bereich").sortBy("schluessel").format("parquet").option("path", self.path).mode(mode).saveAsTable(self.name)
+
+    def _fresh_table(self) -> None:
+        self.name, self.path = f"laeufe_{uuid.uuid4().hex}", new_place(self.spark, "laeufe")
 
     def append(self, rows: DataFrame) -> None:
-        place = f"{self.path}/lauf-{len(self.parts):05d}-{new_place(self.spark, 'x').rsplit('-', 1)[1]}"
-        rows.select("nr", "erste", *FIELDS).write.parquet(place)
-        self.parts.append(place)
-        if len(self.parts) > self.most:
+        """Add ``rows`` (placed in the present ranges) as a sorted run; compact when there are too many."""
+        if self.name is None:
+            self._fresh_table()
+            self._write(rows, "overwrite")
+        else:
+            self._write(rows, "append")
+        self.runs += 1
+        if self.runs > self.most:
             self.compact()
 
     def compact(self) -> None:
-        """Write all runs as one; the old ones are removed only after that."""
-        old, place = self.parts, f"{self.path}/lauf-{new_place(self.spark, 'x').rsplit('-', 1)[1]}"
-        self.read().write.parquet(place)
-        self.parts = [place]
-        for p in old:
-            remove(self.spark, p)
-
-
-def _roots(batch: DataFrame, pairs: DataFrame, history: DataFrame | None) -> DataFrame:
-    """(nr, erste, bekannt) of the batch's entries: the first item of the news each tells, and whether history had it."""
-    start = batch.select("nr")
-    if history is not None:
-        old = pairs.where("not alt_neu").join(history.select(F.col("nr").alias("alt"), "erste"), "alt").groupBy(F.col("neu").alias("nr")).agg(F.min("erste").alias("_alt"))
-        start = start.join(old, "nr", "left").select("nr", F.coalesce("_alt", "nr").alias("erste"), F.col("_alt").isNotNull().alias("bekannt"))
-    else:
-        start = start.select("nr", F.col("nr").alias("erste"), F.lit(False).alias("bekannt"))
-    inner = pairs.where("alt_neu").select(F.col("neu").alias("a"), F.col("alt").alias("b"))
-    roots = written(start, "erste")
-    if inner.isEmpty():
+        """Write all runs as one, cut into ranges anew; the old ones are removed only after that."""
+        old_name, old_path, all_rows = self.name, self.path, self.rows().drop("bereich")
+        self.cut(all_rows)
+        self._fresh_table()
+        self._write(self.placed(all_rows), "overwrite")
+        self.spark.sql(f"DROP TABLE {old_name}")
+        remove(self.spark, old_path)
+        self.runs, self.compactions = 1, self.compactions + 1
+
+    def drop(self) -> None:
+        if self.name is not None:
+            self.spark.sql(f"DROP TABLE {self.name}")
+            remove(self.spark, self.path)
+            self.name = None
+
+
+def neighbours(runs: Runs, keyed: DataFrame, touched: set[int], window: int = WINDOW) -> DataFrame:
+    """(neu, alt, alt_neu, alt_erste): pairs of entries that tell the same, at least one of them among ``keyed``; alt_neu: both are.
+
+    ``keyed`` must be placed in the ranges of ``runs``, ``touched`` are their numbers. Of the history only those ranges and the ones
+    beside them are read.
+    """
+    near = sorted({b + d for b in touched for d in (-1, 0, 1)} & set(range(runs.ranges)))
+    seen = runs.rows(near).groupBy("bereich").cogroup(keyed.select(*_ROW).groupBy("bereich")).applyInArrow(range_search(window), _SEEN)
+    seen = written(seen, "fenster")
+    pair = ["neu", "alt", "alt_neu", "alt_erste"]
+    inside = seen.where("neu is not null").select(*pair)
+    if runs.ranges == 1:
+        return inside
+    across = seen.where(F.col("rand").between(0, runs.ranges - 2)).groupBy("rand").applyInArrow(border_search(window), _SEEN)
+    return inside.unionByName(across.where("neu is not null").select(*pair))
+
+
+def _observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """``df`` written, and what was counted on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name)
+    return out, seen.get
+
+
+_FIRST = """SELECT b.nr, least(b.nr, o.e) AS erste FROM {batch} b
+    LEFT JOIN (SELECT neu AS nr, min(alt_erste) AS e FROM {pairs} WHERE NOT alt_neu GROUP BY neu) o ON o.nr = b.nr"""
+_BETTER = """SELECT r.nr, least(r.erste, m.e) AS _n, r.erste FROM {roots} r
+    LEFT JOIN (SELECT x.a AS nr, min(k.erste) AS e FROM {ends} x JOIN {roots} k ON k.nr = x.b GROUP BY x.a) m ON m.nr = r.nr"""
+
+
+def _roots(batch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(nr, erste) of the batch's entries: the first item of the news each tells."""
+    spark = batch.sparkSession
+    pairs, seen = _observed(pairs, "nachbarn", inner=F.count_if("alt_neu"))
+    roots = written(spark.sql(_FIRST, batch=batch, pairs=pairs), "erste")
+    if not seen["inner"]:
         return roots
-    inner = written(inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "paare")
-    while True:  # rounds: the length of the longest chain of unlike wordings, not of the data
-        reach = inner.join(roots.select(F.col("nr").alias("b"), F.col("erste").alias("_e")), "b").groupBy(F.col("a").alias("nr")).agg(F.min("_e").alias("_e"))
-        better = written(roots.join(reach, "nr", "left").withColumn("_n", F.least("erste", F.coalesce("_e", "erste"))), "erste")
-        changed = not better.where("_n < erste").isEmpty()
-        roots = better.select("nr", F.col("_n").alias("erste"), "bekannt")
-        if not changed:
+    ends = spark.sql("SELECT DISTINCT a, b FROM (SELECT neu AS a, alt AS b FROM {pairs} WHERE alt_neu UNION ALL SELECT alt, neu FROM {pairs} WHERE alt_neu)", pairs=pairs)
+    while True:  # rounds: half the length of the longest chain of unlike wordings, not of the data
+        once = spark.sql(_BETTER, roots=roots, ends=ends).selectExpr("nr", "_n AS erste")
+        better, seen = _observed(spark.sql(_BETTER, roots=once, ends=ends), "erste", changed=F.count_if(F.col("_n") < F.col("erste")))
+        roots = better.selectExpr("nr", "_n AS erste")
+        if not seen["changed"]:
             return roots
 
 
-def merge_batch(runs: Runs, items: DataFrame, window: int = WINDOW, lexicon: list[str] | None = None) -> DataFrame:
-    """Check a batch against everything accepted so far and accept it: (nr, erste) of every item, ``erste`` <= nr.
+def merge_batch(runs: Runs, recs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Check the records of a batch against everything accepted so far and accept them: (*FIELDS, erste) of every distinct content.
 
-    Items that tell nothing readable (no title, no summary) are news of their own unless another item has the very same
-    record. Nulls in any column are gaps, not differences; an empty batch changes nothing.
+    Wordless records have none: they are news of their own. Nulls in any column are gaps, not differences; an empty batch
+    changes nothing.
     """
-    recs = written(records(items, lexicon), "saetze")
-    batch = written(entries(recs), "eintraege")
-    history = runs.read()
-    pairs = written(neighbours(history, batch, window), "nachbarn")
-    roots = _roots(batch, pairs, history)
-    known = batch.join(roots, "nr")
-    items_of = recs.select(*FIELDS, F.col("nr").alias("_nr")).join(known.drop("nr", "bekannt"), FIELDS)
-    found = written(items_of.select(F.col("_nr").alias("nr"), "erste"), "gefunden")
-    runs.append(known)
-    return found
-
-
-def deduplicate(spark: SparkSession, items: DataFrame, batch: str = "charge", backlog: int = 4, window: int = WINDOW) -> DataFrame:
-    """(nr, erste) of all items: the first batch is the accepted history, then ``backlog`` waiting batches are merged at a time.
-
-    How many batches are merged at once changes the work, not the result. Items without a batch number come first.
+    batch = entries(recs)
+    if runs.name is None:
+        batch = written(batch, "eintraege")
+    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"xxhash64({', '.join(f)}) AS {c}" for c, f in _CODES.items()], *FIELDS)
+    if runs.name is None:
+        runs.cut(keyed)
+    keyed, seen = _observed(runs.placed(keyed), "schluessel", touched=F.collect_set("bereich"))
+    batch = keyed.where(F.col("schluessel").startswith("1")).select("nr", *FIELDS)  # every entry has one key of that order
+    roots = _roots(batch, neighbours(runs, keyed, set(seen["touched"]), window))
+    runs.append(keyed.drop("erste").join(roots, "nr"))
+    return batch.join(roots, "nr").select(*FIELDS, "erste")
+
+
+def deduplicate(spark: SparkSession, items: DataFrame, batch: str = "charge", backlog: int = BACKLOG, window: int = WINDOW, runs: Runs | None = None) -> DataFrame:
+    """(nr, erste) of all items: the first batch is the accepted history, every other one is merged into it in order.
+
+    ``backlog`` batches may be merged at once, which changes the work, not the result. Items without a batch number come first.
+    With ``runs`` of an earlier call the items are checked against those too, and added to them.
     """
-    numbers = [r[0] for r in items.select(F.coalesce(F.col(batch), F.lit(-1)).alias("b")).distinct().orderBy("b").collect()]  # one per delivery
-    lexicon = lexicon_of(items)
-    runs, found = Runs(spark, new_place(spark, "laeufe")), []
-    steps = [numbers[:1], *[numbers[i : i + backlog] for i in range(1, len(numbers), backlog)]]
-    for step in filter(None, steps):
-        part = items.where(F.coalesce(F.col(batch), F.lit(-1)).isin(step))
-        found.append(merge_batch(runs, part, window, lexicon))
-    out = found[0] if found else items.select("nr", F.col("nr").alias("erste")).limit(0)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    own = runs is None
+    runs = runs or Runs(spark)
+    place = new_place(spark, "saetze")
+    records(items.withColumn("_stapel", F.coalesce(F.col(batch), F.lit(-1)).cast("int"))).write.partitionBy("_stapel").parquet(place)
+    recs = spark.read.schema(f"nr bigint, {_ENTRY}, _stapel int").parquet(place)
+    numbers = sorted(r[0] for r in recs.select("_stapel").distinct().collect())  # one per delivery
+    steps = [s for s in [numbers[:1], *[numbers[i : i + backlog] for i in range(1, len(numbers), backlog)]] if s]
+    known = [merge_batch(runs, recs.where(F.col("_stapel").isin(step)), window).withColumn("_schritt", F.lit(n)) for n, step in enumerate(steps)]
+    if own:
+        runs.drop()
+    out = recs.where(is_wordless()).select("nr", F.col("nr").alias("erste"))
+    if not known:
+        return out
+    numbered = F.create_map(*[F.lit(x) for n, step in enumerate(steps) for stapel in step for x in (stapel, n)])
+    told = recs.where(~is_wordless()).withColumn("_schritt", numbered[F.col("_stapel")])
+    return out.unionByName(told.join(reduce(DataFrame.unionByName, known), [*FIELDS, "_schritt"]).select("nr", "erste"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,24 +19,29 @@ def test_clean(raw, clean):
 
 
 def test_records():
-    r = lambda t, s=None, k="K", b=("Auslagerung (+3)",): N.read_item(t, s, k, b, None)
+    r = lambda t, s=None, k="K", b=("Auslagerung (+3)",): N.read_item(t, s, k, b)
     base = r("Bußgeld über 315.000 Euro gegen Jascorelt Leasing Erlwörth nach Mängeln im Bereich Auslagerung")
-    assert base == ("k", "jascorelt leasing erlwoerth", "auslagerung", "", "315000", "", "", False)
-    assert r("JASCORELT LEASING ERLWOERTH FINED 315,000 EURO")[:6] == base[:6]
+    assert base == ("k", "jascorelt leasing erlwoerth", "auslagerung", "", "315000", "", "", "", False)
+    caps = r("JASCORELT LEASING ERLWOERTH FINED 315,000 EURO")
+    assert caps[1] == "" and caps[4] == "315000" and N.same_news(base, caps)
     assert r("Notice No. 101186: x")[1] == "nr 101186" and r("Fachtag Nr. 1042…", "Der Fachtag Nr. 104297 x")[1] == "nr 104297"
     assert r("A meldet Ausfall im 1. Quaartal 2025")[5] == r("Q1 2025: failure")[5] == "1/2025"
     assert r("Konsultation 09/2026: x")[3] == "9/2026" and r(None)[6] == "" and r(None, None, None, None)[1] == ""
+    assert r("Wacht bei Xa Yb Zc auf", "Bei Xa Yb Zc wacht jemand.")[1] == r("Titel", "(Ort) Bei Xa Yb Zc wacht jemand.")[1] == "xa yb zc"
+    assert r("Strafe", "Gegen Müller AG wird ermittelt.", b=None)[7] == "" and r("Strafe wegen Betrug", "Betrug: Müller AG.", b=None)[7] == "betrug"
 
 
 def test_same_news():
-    a = ("k", "jasco leasing erlwoerth", "m", "", "5", "", "", True)
-    unsure = (*a[:7], False)
-    slip = (a[0], "jasco leasing erlwoert", *a[2:7], False)
+    a = ("k", "jasco leasing erlwoerth", "m", "", "5", "", "", "", True)
+    unsure = (*a[:8], False)
+    slip = (a[0], "jasco leasing erlwoert", *a[2:8], False)
     assert N.same_news(a, a) and N.same_news(a, slip) and not N.same_news(a, (a[0], "jasco leasing erlwoert", *a[2:]))
     assert not N.same_news(a, (*a[:4], "6", *a[5:])) and not N.same_news(a, (*a[:2], "n", *a[3:])) and N.same_news(unsure, a)
-    gap = ("k", "jasco leasing erlwoerth", "", "", "5", "", "jasco leasing erlwoerth m 5", False)
+    gap = ("k", "jasco leasing erlwoerth", "", "", "5", "", "jasco leasing erlwoerth m 5", "m", False)
     assert N.same_news(a, gap) and not N.same_news((*a[:2], "anderes", *a[3:]), gap)
-    empty = ("", "", "", "", "", "", "", False)
+    assert N.same_news(gap, (*gap[:6], "wegen m zahlt jasco leasing erlwoerth", "m", False)) and not N.same_news(gap, (*gap[:6], "wegen n zahlt jasco leasing erlwoerth", "n", False))
+    assert N.same_news((a[0], "gegen " + a[1], *a[2:]), a)
+    empty = ("", "", "", "", "", "", "", "", False)
     assert not N.same_news(empty, empty)
     assert N.one_edit("abcd", "abdc") and N.one_edit("abcd", "abc") and not N.one_edit("abcd", "axyd") and not N.one_edit("nr 1", "nr 2")
 
@@ -55,41 +60,90 @@ def news(seed):
         first.setdefault(key, nr)
         title = rng.choice(wording)(*key)
         summary = None if rng.random() < 0.2 else f"<p>Gegen {key[0]} wurden {key[2]}.000 Euro verhängt.</p> Thema: {key[1]}."
-        rows.append((nr, charge, title, summary, rng.choice(["Sanktion"] * 9 + ["Sanktion"]), None if rng.random() < 0.1 else [f"{key[1]} (+{rng.randint(1, 9)})"], "x"))
-    return rows, first, {r[0]: k for r in rows for k in [None]}
+        rows.append((nr, charge, title, summary, "Sanktion", None if rng.random() < 0.1 else [f"{key[1]} (+{rng.randint(1, 9)})"], key))
+    return rows, first
 
 
-@pytest.mark.parametrize("backlog,window", [(1, 12), (3, 4), (20, 12)])
+ITEMS = "nr long, charge int, titel string, zusammenfassung string, kategorie string, begruendung array<string>"
+
+
+@pytest.mark.parametrize("backlog,window", [(1, 12), (4, 12), (20, 12)])
 def test_batches_find_every_repeat(spark, backlog, window):
-    rows, first, _ = news(3)
-    df = spark.createDataFrame(rows, "nr long, charge int, titel string, zusammenfassung string, kategorie string, begruendung array<string>, erste string")
-    got = {r.nr: r.erste for r in N.deduplicate(spark, df, backlog=backlog, window=window).collect()}
-    lex = N.lexicon_of(df)
-    import re
-
-    pattern = re.compile(r"\b(?:" + "|".join(lex) + ")", re.I)
-    seen: dict = {}
-    want = {}
-    for nr, _, t, s, k, b, _ in rows:
-        key = N.read_item(t, s, k, b, pattern)[:6]
-        want[nr] = seen.setdefault(key, nr)
+    """Brute force: what the rows were made from, whatever their wording and whatever they lack."""
+    rows, first = news(3)
+    blanks = [(1000 + n, n % 9, *rest) for n, rest in enumerate([(None, None, None, None), ("", " ", "Sanktion", ["Auslagerung (+1)"]), (None, "", None, [])] * 9)]
+    df = spark.createDataFrame([r[:6] for r in rows] + blanks, ITEMS)
+    runs = N.Runs(spark, most=3, per_range=300, least=100)
+    got = {r.nr: r.erste for r in N.deduplicate(spark, df, backlog=backlog, window=window, runs=runs).collect()}
+    want = {r[0]: first[r[6]] for r in rows} | {b[0]: b[0] for b in blanks}
     assert got == want and sum(a != b for a, b in got.items()) > 200
+    assert backlog > 1 or runs.ranges > 1 and runs.compactions > 1
+    runs.drop()
+
+
+def test_any_wording_and_any_name(spark):
+    rows = [
+        (1, 0, "Aufsicht verhängt Bußgeld gegen Müller AG wegen Geldwäsche in Köln", None, "Sanktion", ["Geldwäsche (+3)"]),
+        (2, 1, "Müller AG muss wegen Geldwäsche Bußgeld zahlen", None, "Sanktion", ["Geldwäsche (+9)"]),
+        (3, 1, "MÜLLER AG ZAHLT WEGEN GELDWÄSCHE", None, "Sanktion", ["Geldwäsche (+9)"]),
+        (4, 1, "Meier AG muss wegen Geldwäsche Bußgeld zahlen", None, "Sanktion", ["Geldwäsche (+9)"]),
+        (5, 2, "Müller AG muss Bußgeld zahlen, es geht um Geldwäsche", None, None, None),
+    ]
+    got = {r.nr: r.erste for r in N.deduplicate(spark, spark.createDataFrame(rows, ITEMS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
 
 
 def test_edges(spark):
-    schema = "nr long, charge int, titel string, zusammenfassung string, kategorie string, begruendung array<string>"
-    df = spark.createDataFrame([(1, 0, None, None, None, None), (2, 1, "", " ", None, []), (3, None, "x" * 20000, None, "", [None]), (4, 2, None, None, None, None)], schema)
-    got = {r.nr: r.erste for r in N.deduplicate(spark, df).collect()}
-    assert got[3] == 3 and got[1] == 1 and set(got) == {1, 2, 3, 4}
+    df = spark.createDataFrame([(1, 0, None, None, None, None), (2, 1, "", " ", None, []), (3, None, "x" * 20000, None, "", [None]), (4, 2, None, None, None, None)], ITEMS)
+    for backlog in (1, 4):
+        assert {r.nr: r.erste for r in N.deduplicate(spark, df, backlog=backlog).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
     assert N.deduplicate(spark, df.limit(0)).count() == 0
 
 
-def test_runs_compact(spark, tmp_path):
-    runs = N.Runs(spark, f"file://{tmp_path}/laeufe", most=2)
-    one = spark.createDataFrame([(1, 1, "a", "b", "c", "", "", "", "", True)], runs_schema := f"nr bigint, erste bigint, {N._ENTRY}")
-    for _ in range(3):
-        runs.append(one)
-    assert len(runs.parts) == 1 and runs.read().count() == 3 and runs_schema
+def item(nr, who, sum_, charge=0):
+    return (nr, charge, "Titel", f"Bußgeld über {sum_}.000 Euro gegen {who}.", "Sanktion", ["Auslagerung (+3)"])
+
+
+def test_a_batch_reads_only_its_ranges(spark):
+    """Of 6,000 history keys a batch of one item reads the ranges of its three keys and those beside them, without a shuffle of the history."""
+    names = [f"{a}{b}{c} Bank Seehof" for a in ("Jas", "Kul", "Nor", "Tre") for b in "aeiou" for c in ("lant", "ding", "mark", "berg", "tal")]
+    history = spark.createDataFrame([item(n, names[n % 100], 100 + n // 100) for n in range(2000)], ITEMS)
+    runs = N.Runs(spark, per_range=100, least=50)
+    N.deduplicate(spark, history, runs=runs).count()
+    assert runs.runs == 1 and runs.ranges > 40 and runs.rows().count() == 6000
+    read = []
+    plain = runs.rows
+    runs.rows = lambda touched=None: read.append(plain(touched)) or read[-1]
+    got = N.deduplicate(spark, spark.createDataFrame([item(9000, names[7], 103, 1)], ITEMS), runs=runs).collect()
+    assert [(r.nr, r.erste) for r in got] == [(9000, 307)]
+    assert read[0].count() <= 1500
+    cogroup = read[0].groupBy("bereich").cogroup(plain([0]).groupBy("bereich")).applyInArrow(N.range_search(3), N._SEEN)
+    plan = spark._jvm.PythonSQLUtils.explainString(cogroup._jdf.queryExecution(), "formatted")
+    assert "Exchange" not in plan and f"SelectedBucketsCount: 1 out of {runs.ranges}" in plan
+    runs.drop()
+
+
+def test_runs_compact(spark):
+    """Compaction keeps every row, makes one run of many and cuts the ranges anew."""
+    runs = N.Runs(spark, most=2, per_range=100, least=10)
+    for k in range(3):
+        N.deduplicate(spark, spark.createDataFrame([item(1000 * k + n, f"{chr(65 + n % 26)}as{chr(97 + n // 26)} Bank Ort", 100 + k) for n in range(300)], ITEMS), runs=runs)
+    assert (runs.runs, runs.compactions) == (1, 1) and runs.rows().count() == 2700
+    assert runs.rows().groupBy("bereich").count().agg({"count": "max"}).first()[0] < 400
+    runs.drop()
+
+
+def test_windows_cross_borders(spark):
+    """One range or many: the same pairs."""
+    rows = [item(n, f"{'Kor' if n % 2 else 'Kro'}norheim Bank Buxbruch {chr(65 + n % 13)}x", 100 + n % 7, n // 100) for n in range(400)]
+    df = spark.createDataFrame(rows, ITEMS)
+    found = []
+    for per_range in (40_000, 40):
+        runs = N.Runs(spark, per_range=per_range, least=per_range)
+        found.append({tuple(r) for r in N.deduplicate(spark, df, runs=runs).collect()})
+        assert (runs.ranges > 1) == (per_range == 40)
+        runs.drop()
+    assert found[0] == found[1] and sum(a != b for a, b in found[0]) > 200
 
 
 @pytest.mark.parametrize("blank", [None, "", " "])
