@@ -1,16 +1,15 @@
 """Reading level of texts from classic readability formulas, combined by the median of several grade estimates.
 
-Per text only counts are kept: sentences, clauses, words, letters, syllables (by hyphenation-style rules), words of one,
-three and more syllables, long words. The coefficients of each formula are refitted per language to a bounded sample of
-graded texts, as they once were to school books; the median of the formulas' grades is the estimate. Mean values over all
-sentences are used, so single easier or harder sentences do not decide.
+Per sentence the public formulas are computed as they were published, from its length and from syllables counted by
+hyphenation-style rules; a formula's grade of a text is the grade at which half of its words lie in easier sentences, so single
+easier or harder sentences do not decide. The text's estimate is the median of its formulas' grades. Only the four cuts
+between levels are set per language, from a bounded sample of graded texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,8 +20,6 @@ from ..session import table, written
 
 #: Graded texts that are used for setting the scale, at most; chosen by hash, so independent of order.
 SAMPLE = 20_000
-#: Graded texts a language needs for a scale of its own; others share one.
-LEAST = 15
 #: Characters a text must have to get a level.
 SHORTEST = 200
 LEVELS = (1, 2, 3, 4, 5)
@@ -43,18 +40,45 @@ GROUPS = {
 _NUCLEUS = {k: re.compile("|".join(sorted(v.split(), key=len, reverse=True)) + f"|[{VOWELS}]") for k, v in GROUPS.items()}
 _SILENT = {"en": re.compile(r"(?:[^aeiouyl]e|[^aeiouytd]ed)$"), "fr": re.compile(r"[^aeiouy](?:e|es|ent)$")}
 _WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
-_JOINT = re.compile(r"[,;]|\b(?:und|and|et|oder|or|ou)\b")
-COUNTS = ["saetze", "teilsaetze", "woerter", "buchstaben", "silben", "einsilbig", "dreisilbig", "lang"]
+# Prefixes that end in a vowel and keep it apart from one that follows, and consonants written together, by language.
+PREFIXES = {"de": "be ge re de vor", "en": "re de pre co", "fr": "ré dé pré co"}
+TOGETHER = {
+    "de": "sch ch ck ph th qu bl br dr fl fr gl gr kl kn kr pf pl pr tr zw schw schl schm schn schr",
+    "en": "ch sh th ph wh qu ck bl br cl cr dr fl fr gl gr pl pr tr str",
+    "fr": "ch ph th qu gn bl br cl cr dr fl fr gl gr pl pr tr vr",
+}
+_PREFIX = {k: re.compile(f"(?:{'|'.join(v.split())})(?=[{VOWELS}])") for k, v in PREFIXES.items()}
+_ONSET = {k: re.compile(f"(?:{'|'.join(sorted(v.split(), key=len, reverse=True))}|[^{VOWELS}])?$") for k, v in TOGETHER.items()}
+# Words that join a further main clause, which counts as a sentence of its own. Nor does a sentence begin in lower case.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?![a-zà-öø-ÿß])|,?\s+(?:und dann|and then|et puis|et ensuite)\s+")
+#: Grades of texts are kept for each formula, in this order.
+FORMULAS = ("flesch_kincaid", "ari", "fog", "smog", "lesbarkeit")
+
+
+def hyphenate(word: str, lang: str) -> list[str]:
+    """The syllables of a lower-case word as it would be hyphenated.
+
+    Every vowel group that is spoken as one carries a syllable, but silent endings carry none; between two of them the last
+    consonant, or the last ones if they are written together, opens the next syllable; prefixes stand alone.
+    """
+    lang = lang if lang in GROUPS else "de"
+    prefix = _PREFIX[lang].match(word)
+    start = prefix.end() if prefix and len(word) > prefix.end() + 2 else 0
+    nuclei = [m.span() for m in _NUCLEUS[lang].finditer(word, start)]
+    silent = _SILENT[lang].search(word) if lang in _SILENT else None
+    if silent and len(nuclei) + bool(start) > 1:
+        nuclei.pop()
+    parts, begin = ([word[:start]] if start else []), start
+    for (_, end), (following, _) in zip(nuclei, nuclei[1:], strict=False):
+        cut = end + _ONSET[lang].search(word[end:following]).start()
+        parts.append(word[begin:cut])
+        begin = cut
+    return [*parts, word[begin:]]
 
 
 def syllables(word: str, lang: str) -> int:
-    """Syllables of a lower-case word: vowel nuclei by the language's groups, without silent endings, at least one."""
-    n = len(_NUCLEUS.get(lang, _NUCLEUS["de"]).findall(word))
-    silent = _SILENT.get(lang)
-    if n > 1 and silent and silent.search(word):
-        n -= 1
-    return max(1, n)
+    """How many syllables a word has; at least one."""
+    return len(hyphenate(word, lang))
 
 
 def language(text: str, named: str | None) -> str:
@@ -65,177 +89,129 @@ def language(text: str, named: str | None) -> str:
     return max(STOP, key=lambda k: (sum(w in STOP[k] for w in words), k == "de"))
 
 
-def counts(text: str, lang: str, known: dict[str, tuple[int, int]] | None = None) -> list[int]:
-    """The counts of a text in the order of ``COUNTS``. Headings of under three words are no sentences, unless all are."""
+def sentence_counts(text: str, lang: str, known: dict[str, tuple[int, int]] | None = None) -> np.ndarray:
+    """Per sentence: words, letters, syllables, words of three or more syllables. Headings of under three words are no sentences, unless all are."""
     known = {} if known is None else known
-    parts = [(s, w) for s in _SENTENCE.split(text) if (w := _WORD.findall(s))]
-    parts = [p for p in parts if len(p[1]) >= 3] or parts
-    out = [len(parts), 0, 0, 0, 0, 0, 0, 0]
-    for s, words in parts:
-        out[1] += 1 + len(_JOINT.findall(s))
-        out[2] += len(words)
+    parts = [w for s in _SENTENCE.split(text) if s and (w := _WORD.findall(s))]
+    parts = [w for w in parts if len(w) >= 3] or parts
+    rows = []
+    for words in parts:
+        letters = total = hard = 0
         for w in words:
             if w not in known:
                 known[w] = (len(w), syllables(w.lower(), lang))
-            letters, n = known[w]
-            out[3] += letters
-            out[4] += n
-            out[5] += n == 1
-            out[6] += n >= 3
-            out[7] += letters > 6
+            length, n = known[w]
+            letters += length
+            total += n
+            hard += n >= 3
+        rows.append((len(words), letters, total, hard))
+    return np.array(rows, float).reshape(-1, 4)
+
+
+# Reading ease by language (Flesch; Amstad for German; Kandel and Moles for French): constant, per word of a
+# sentence, per syllable of a word.
+EASE = {"en": (206.835, 1.015, 84.6), "de": (180.0, 1.0, 58.5), "fr": (207.0, 1.015, 73.6)}
+# Flesch's table from reading ease to school years, by its class borders; outside it goes on as at its ends.
+EASE_TABLE = ((120.0, 3.0), (100.0, 5.0), (90.0, 6.0), (80.0, 7.0), (70.0, 8.5), (60.0, 11.0), (50.0, 13.0), (30.0, 16.0), (0.0, 20.0), (-150.0, 40.0))
+
+
+def grades(c: np.ndarray, lang: str) -> np.ndarray:
+    """School years by every formula of ``FORMULAS``, for rows of (words, letters, syllables, hard words) of one sentence each.
+
+    Fixed values: the coefficients of Flesch and Kincaid, of the automated readability index, of Gunning's fog and of McLaughlin's SMOG.
+    """
+    words = np.maximum(c[:, 0], 1.0)
+    letters, syl, hard = c[:, 1] / words, c[:, 2] / words, c[:, 3] / words
+    a, b, d = EASE.get(lang, EASE["de"])
+    ease, school = np.array(EASE_TABLE[::-1]).T
+    return np.column_stack([
+        0.39 * words + 11.8 * syl - 15.59,
+        4.71 * letters + 0.5 * words - 21.43,
+        0.4 * (words + 100 * hard),
+        1.043 * np.sqrt(30 * c[:, 3]) + 3.1291,
+        np.interp(a - b * words - d * syl, ease, school),
+    ])
+
+
+def text_grades(c: np.ndarray, lang: str) -> list[float]:
+    """The grade of a text by each formula: the median over its sentences, each weighing as many words as it has. No sentences, no grades."""
+    if not len(c):
+        return [float("nan")] * len(FORMULAS)
+    g, out = grades(c, lang), []
+    for k in range(len(FORMULAS)):
+        order = np.argsort(g[:, k], kind="stable")
+        upto = np.cumsum(c[order, 0])
+        out.append(float(g[order[np.searchsorted(upto, upto[-1] / 2)], k]))
     return out
 
 
-#: What each formula measures: the terms of the public formula it descends from, with clauses beside sentences, since
-#: layout and run-on sentences make the length of sentences alone unreliable.
-FORMULAS = {
-    "Flesch-Kincaid": ("teilsatzlaenge", "satzlaenge", "silben", "einsilbig"),
-    "Wiener Sachtextformel": ("teilsatzlaenge", "zeichen", "dreisilbig", "einsilbig"),
-    "LIX": ("teilsatzlaenge", "silben", "zeichen", "lang"),
-    "ARI": ("teilsatzlaenge", "satzlaenge", "silben", "zeichen", "einsilbig"),
-    "Coleman-Liau": ("teilsatzlaenge", "satzlaenge", "silben", "zeichen", "einsilbig", "dreisilbig", "lang"),
-}
-#: Weight that keeps refitted coefficients small.
-RIDGE = 0.3
-
-
-def terms(c: np.ndarray) -> dict[str, np.ndarray]:
-    """The formulas' terms over rows of counts: logarithms of lengths, shares and means per word."""
-    words = np.maximum(c[:, 2], 1.0)
-    out = {"satzlaenge": np.log(words / np.maximum(c[:, 0], 1)), "teilsatzlaenge": np.log(words / np.maximum(c[:, 1], 1))}
-    return out | dict(zip(("zeichen", "silben", "einsilbig", "dreisilbig", "lang"), (c[:, k] / words for k in range(3, 8)), strict=True))
-
-
-def school_years(c: np.ndarray) -> np.ndarray:
-    """The Flesch-Kincaid grade. Its public coefficients."""
-    words = np.maximum(c[:, 2], 1.0)
-    return 0.39 * words / np.maximum(c[:, 0], 1) + 11.8 * c[:, 4] / words - 15.59
-
-
-@dataclass
-class Formula:
-    """A formula whose coefficients were refitted to graded texts, and the values its grades have at each level."""
-
-    names: tuple[str, ...]
-    mean: np.ndarray
-    spread: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    at: np.ndarray = field(default_factory=lambda: np.array([1.0, 5.0]))
-    level: np.ndarray = field(default_factory=lambda: np.array([1.0, 5.0]))
-
-    def _design(self, t: dict[str, np.ndarray]) -> np.ndarray:
-        z = np.clip((np.column_stack([t[n] for n in self.names]) - self.mean) / self.spread, -3, 3)
-        pairs = [z[:, i] * z[:, j] for i in range(z.shape[1]) for j in range(i, z.shape[1])]
-        return np.column_stack([np.ones(len(z)), z, *pairs])
-
-    @classmethod
-    def fitted(cls, names: tuple[str, ...], t: dict[str, np.ndarray], level: np.ndarray) -> Formula:
-        x = np.column_stack([t[n] for n in names])
-        out = cls(names, x.mean(axis=0), x.std(axis=0) + 1e-9)
-        d = out._design(t)
-        out.weights = np.linalg.solve(d.T @ d + RIDGE * np.eye(d.shape[1]), d.T @ level)
-        value, seen = d @ out.weights, [k for k in LEVELS if (level == k).any()]
-        out.at = np.maximum.accumulate([np.median(value[level == k]) for k in seen]) + np.arange(len(seen)) * 1e-6
-        out.level = np.array(seen, float)
-        return out
-
-    def grades(self, t: dict[str, np.ndarray]) -> np.ndarray:
-        """Grades: between the levels' medians in proportion, beyond the outer ones by half a level at most."""
-        v = self._design(t) @ self.weights
-        grade = np.interp(v, self.at, self.level)
-        return grade + np.clip((v - self.at[-1]) / (self.at[-1] - self.at[-2]), 0, 0.5) - np.clip((self.at[0] - v) / (self.at[1] - self.at[0]), 0, 0.5)
-
-
-@dataclass
-class Scale:
-    """How texts of one language get levels: refitted formulas, whose median is cut in four places. Without formulas: school years."""
-
-    formulas: list[Formula] = field(default_factory=list)
-    cuts: tuple[float, ...] = (5.0, 9.0, 13.0, 17.0)
-
-    def estimate(self, c: np.ndarray) -> np.ndarray:
-        if not self.formulas:
-            return school_years(c)
-        t = terms(c)
-        return np.median(np.column_stack([f.grades(t) for f in self.formulas]), axis=1)
-
-    def levels(self, c: np.ndarray) -> np.ndarray:
-        return 1 + (self.estimate(c)[:, None] > np.array(self.cuts)).sum(axis=1)
-
-
-def fit(c: np.ndarray, level: np.ndarray) -> Scale:
-    """The scale that graded texts set: coefficients by least squares, cuts with fewest errors; school years if all have one level."""
-    if len(set(level)) < 2:
-        return Scale()
-    t = terms(c)
-    scale = Scale([Formula.fitted(names, t, level) for names in FORMULAS.values()])
-    estimate, tries = scale.estimate(c), np.linspace(0.1, 0.9, 33)
-    off = lambda k, x: ((estimate > k + x) != (level > k)).sum() + 0.002 * len(level) * abs(x - 0.5)
-    scale.cuts = tuple(float(k + tries[np.argmin([off(k, x) for x in tries])]) for k in LEVELS[:-1])
-    return scale
+#: School years at which the levels part where nothing was graded.
+SCHOOL_CUTS = (5.0, 9.0, 13.0, 17.0)
+
+
+def cuts(estimate: np.ndarray, level: np.ndarray) -> tuple[float, ...]:
+    """The four cuts with the fewest errors on graded texts; a cut that no graded text supports is that of school years, in order."""
+    found: list[float] = []
+    for k, usual in zip(LEVELS[:-1], SCHOOL_CUTS, strict=True):
+        above = level > k
+        if above.all() or not above.any():
+            found.append(usual)
+            continue
+        v = np.unique(estimate)
+        tries = np.concatenate([(v[1:] + v[:-1]) / 2, [v[0] - 0.5, v[-1] + 0.5]])
+        order = np.sort(estimate[above]), np.sort(estimate[~above])
+        wrong = np.searchsorted(order[0], tries) + len(order[1]) - np.searchsorted(order[1], tries)
+        best = tries[wrong == wrong.min()]
+        found.append(float(best[np.argmin(np.abs(best - np.median(best)))]))
+    return tuple(np.maximum.accumulate(found))
 
 
 # --- operators --------------------------------------------------------------------------------------------
 
 
-def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", shortest: int = SHORTEST) -> DataFrame:
-    """(key, sprache, *COUNTS) of texts of at least ``shortest`` characters."""
+def text_estimates(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", shortest: int = SHORTEST) -> DataFrame:
+    """(key, sprache, *FORMULAS, jahre) of texts of at least ``shortest`` characters: grades in school years and their median."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict] = {}
         for pdf in batches:
             langs = [language(t, n) for t, n in zip(pdf["_t"], pdf["_l"], strict=True)]
-            rows = [counts(t, n, known.setdefault(n, {})) for t, n in zip(pdf["_t"], langs, strict=True)]
+            rows = np.array([text_grades(sentence_counts(t, n, known.setdefault(n, {})), n) for t, n in zip(pdf["_t"], langs, strict=True)]).reshape(-1, len(FORMULAS))
             if sum(map(len, known.values())) > 500_000:
                 known.clear()
             head = pd.DataFrame({key: pdf[key].to_numpy(), "sprache": np.array(langs, dtype=object)})
-            yield pd.concat([head, pd.DataFrame(rows, columns=COUNTS, dtype="int64")], axis=1)
+            yield pd.concat([head, pd.DataFrame(rows, columns=list(FORMULAS)), pd.DataFrame({"jahre": np.median(rows, axis=1)})], axis=1)
 
     long = docs.where(F.length(text) >= shortest).select(key, F.col(text).alias("_t"), F.lower(F.trim(F.col(lang))).alias("_l"))
-    return long.mapInPandas(run, f"`{key}` {kind}, sprache string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return long.mapInPandas(run, f"`{key}` {kind}, sprache string, " + ", ".join(f"{c} double" for c in (*FORMULAS, "jahre")))
 
 
-def graded_sample(features: DataFrame, grades: DataFrame, key: str = "doc_id", level: str = "stufe", most: int = SAMPLE) -> pd.DataFrame:
-    """At most ``most`` graded texts with their counts. Graders who disagree are no help; blanks and levels off the scale count as not given."""
+def graded_sample(estimates: DataFrame, given: DataFrame, key: str = "doc_id", level: str = "stufe", most: int = SAMPLE) -> pd.DataFrame:
+    """At most ``most`` graded texts with their estimates. Graders who disagree are no help; blanks and levels off the scale count as not given."""
     agreed = (
-        grades.where(F.col(level).isin(*LEVELS)).groupBy(key)
+        given.where(F.col(level).isin(*LEVELS)).groupBy(key)
         .agg(F.min(level).alias("_lo"), F.max(level).alias("_hi"))
         .where("_lo = _hi").select(key, F.col("_lo").alias("_stufe"))
     )
-    return features.join(agreed, key).orderBy(F.xxhash64(key), key).limit(most).toPandas()
-
-
-def scales(sample: pd.DataFrame) -> dict[str, Scale]:
-    """A scale per language with enough graded texts, and one for all others under ""."""
-    found = {"": fit(sample[COUNTS].to_numpy(float), sample["_stufe"].to_numpy()) if len(sample) >= LEAST else Scale()}
-    for lang, own in sample.groupby("sprache"):
-        if len(own) >= LEAST:
-            found[lang] = fit(own[COUNTS].to_numpy(float), own["_stufe"].to_numpy())
-    return found
+    rows = estimates.where("jahre is not null").select(key, "sprache", "jahre").join(agreed, key)
+    return rows.orderBy(F.xxhash64(key), key).limit(most).toPandas()
 
 
-def reading_levels(docs: DataFrame, grades: DataFrame, key: str = "doc_id") -> DataFrame:
+def reading_levels(docs: DataFrame, given: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, stufe) of every text of at least ``SHORTEST`` characters; shorter, empty and null texts get no row.
 
     Repeated texts get equal levels. A text without words is taken as of the middle level. ``key`` must be unique.
-    Without graded texts the scale is that of school years.
+    The cuts are those of the text's language; where it has no graded text, those of school years.
     """
-    features = written(text_counts(docs, key), "zaehlungen")
-    by_language = scales(graded_sample(features, grades, key))
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            c = pdf[COUNTS].to_numpy(float)
-            level = np.full(len(pdf), 3, dtype="int32")
-            for lang in set(pdf["sprache"]):
-                here = (pdf["sprache"] == lang).to_numpy(dtype=bool)
-                level[here] = by_language.get(lang, by_language[""]).levels(c[here])
-            level[c[:, 2] == 0] = 3
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "stufe": level})
-
-    return features.mapInPandas(run, f"`{key}` {kind}, stufe int")
+    estimates = written(text_estimates(docs, key), "schuljahre")
+    sample = graded_sample(estimates, given, key)
+    parts = F.lit(None).cast("array<double>")
+    for lang, own in sample.groupby("sprache"):
+        parts = F.when(F.col("sprache") == lang, F.array(*map(F.lit, cuts(own["jahre"].to_numpy(), own["_stufe"].to_numpy())))).otherwise(parts)
+    parts = F.coalesce(parts, F.array(*map(F.lit, SCHOOL_CUTS)))
+    level = F.size(F.filter(parts, lambda c: c < F.col("jahre"))) + 1
+    return estimates.select(key, F.when(F.col("jahre").isNull(), 3).otherwise(level).cast("int").alias("stufe"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
