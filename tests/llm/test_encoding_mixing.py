@@ -45,7 +45,7 @@ def test_shares():
     rows = [("a", 0.5, 2, 10, 1000), ("b", 0.3, 8, 1, 10), ("c", 0.2, 3, 0, 0)]
     shares = {s.source: s for s in M.allocate(rows)}
     assert shares["b"].target == 80 and shares["c"].target == 0 and shares["a"].target == pytest.approx(930)
-    assert shares["a"].copies == 0 and shares["a"].chance == pytest.approx(0.93) and shares["b"].copies == 8 and shares["b"].rest == 0
+    assert shares["a"].copies == 0 and shares["a"].rest == pytest.approx(930) and shares["b"].copies == 8 and shares["b"].rest == 0
     assert M.allocate([]) == [] and M.allocate([("a", 0.0, 1, 1, 5)])[0].target == 0
     tight = M.allocate([("a", 0.5, 1, 5, 100), ("b", 0.5, 1, 5, 100)], 1000)
     assert [s.target for s in tight] == [100, 100]
@@ -72,3 +72,26 @@ def test_pareto_order_has_the_wanted_probability(spark):
     chance = 0.3
     df = spark.range(20000).select(M.pareto_place(M.uniform(7, F.col("id")), F.lit(chance)).alias("p"))
     assert abs(df.where(F.col("p") < 0.5).count() / 20000 - chance) < 0.02  # odds equal inclusion odds
+
+
+@pytest.mark.parametrize("measure", [0.5, 1.0])
+def test_inclusion_is_unequal_as_intended(spark, measure):
+    """Over many draws (one per source) every size is drawn as often as its probability says, large documents always, and every draw has the same tokens."""
+    sizes, draws = [10] * 60 + [40] * 40 + [90] * 20 + [4000], [f"q{k}" for k in range(40)]
+    df = spark.createDataFrame([(1000 * k + n, q, t) for k, q in enumerate(draws) for n, t in enumerate(sizes)], "doc_id long, source string, tokens long")
+    target = 4000 + 1200
+    factors = M.inclusion(df, spark.createDataFrame([(q, float(target)) for q in draws], "source string, _rest double"), measure).collect()
+    (factor,) = {round(r["_faktor"], 9) for r in factors}
+    assert factor == pytest.approx(1200 / sum(t * t**measure for t in sizes[:-1])) and len(factors) == len(draws)
+    mix = M.mix(df, [M.Share(q, 1 / 40, 1, len(sizes), sum(sizes), target) for q in draws], measure=measure).collect()
+    drawn = [[r for r in mix if r.source == q] for q in draws]
+    assert all(abs(sum(r.tokens for r in d) - target) <= 45 for d in drawn) and all(any(r.tokens == 4000 for r in d) for d in drawn)
+    for size in (10, 40, 90):
+        often = sum(r.tokens == size for r in mix) / len(draws) / sizes.count(size)
+        assert often == pytest.approx(min(1, factor * size**measure), abs=0.06)
+
+
+def test_certain_documents_cascade(spark):
+    df = spark.createDataFrame([(1, "a", 1000), (2, "a", 400), (3, "a", 30), (4, "a", 30)], "doc_id long, source string, tokens long")
+    find = lambda rest: [r["_faktor"] for r in M.inclusion(df, spark.createDataFrame([("a", rest)], "source string, _rest double"), 1.0).collect()][0]
+    assert find(1430.0) == pytest.approx(30 / 1800) and find(1460.0) >= 1 / 30 and find(100.0) == pytest.approx(100 / (1000**2 + 400**2 + 1800))
