@@ -38,11 +38,11 @@ WINDOW = 12
 #: Runs after which they are compacted.
 MOST_RUNS = 4
 #: Sort keys meant for one range when runs are cut: what one task holds. A border of at most 200 characters is kept per range.
-PER_RANGE = 40_000
+PER_RANGE = 100_000
 #: Keys a range has at least, so that a window reaches over one border only.
 LEAST_PER_RANGE = 2_000
 #: Keys per range that are looked at for placing the borders, chosen by hash. They decide the layout, not the result.
-PER_BORDER = 32
+PER_BORDER = 16
 #: Characters of a sort key; the number of the entry follows, so that no two keys are equal.
 KEY_LENGTH = 180
 
@@ -102,35 +102,37 @@ _AMOUNT = re.compile(r"\b(\d{1,3}(?:[.,']\d{3})+|\d+) ?(?:euro|eur)\b|(?:€|\be
 _PERIOD = re.compile(r"\b(?:([1-4])\. ?q\w{3,9}|q([1-4])|(h[12])|([12])\. halbjahr)[ /-]*((?:19|20)\d{2})\b")
 
 
-def _runs(text: str) -> list[list[str]]:
-    """Names a text may hold, longest first. A run that opens a sentence and is long enough loses its first word, which is no part of it.
+def _longest_run(text: str) -> list[str]:
+    """The longest name a text may hold. A run that opens a sentence and is long enough loses its first word, which is no part of it.
 
-    Where capitals tell nothing (nearly all letters are, or a run is longer than names are) no name can be read.
+    Where capitals tell nothing (most letters of the run are, or it is longer than names are) no name can be read.
     """
-    found: list[list[str]] = []
-    if 5 * sum(map(str.islower, text)) < sum(map(str.isalpha, text)):
-        return found
+    best, words = "", []
     for m in _RUN.finditer(text):
-        words = m[0].lower().split()
-        opens = m.start() == 0 or text[: m.start()].rstrip(' "(')[-1:] in ("", ".", "!", "?", ":", ")")
-        found.append(words[1:] if opens and len(words) > 3 else words)
-    found.sort(key=len, reverse=True)
-    return [] if found and len(found[0]) > _LONGEST_NAME else found
+        run = m[0].split()
+        if len(run) > 3 and (m.start() == 0 or text[: m.start()].rstrip(' "(')[-1:] in ("", ".", "!", "?", ":", ")")):
+            run = run[1:]
+        if len(run) > len(words):
+            best, words = m[0], run
+    if len(words) > _LONGEST_NAME or 2 * sum(w[1:2].isupper() for w in best.split()) > len(words):
+        return []
+    return [w.lower() for w in words]
 
 
-def _name(title: str, summary: str, matter: str) -> str:
+def _name(title: str, t_low: str, summary: str, s_low: str, matter: str) -> str:
     """Who an item is about: the longest name of its summary, or that of its title if longer and of other words.
 
     An opening word that the other half lacks is no part of it, nor is the matter behind it.
     """
-    of_summary, of_title = (next(iter(_runs(x)), []) for x in (summary, title))
-    plain = lambda x: f" {re.sub(r'[^a-z0-9&-]+', ' ', x.lower())} "
-    by_title = len(of_title) > len(of_summary) and not (of_summary and f" {' '.join(of_summary)} " in plain(title))
-    words, other = (of_title, summary) if by_title else (of_summary, title)
-    if len(words) > 2 and other:
-        within = plain(other)
-        if f" {' '.join(words)} " not in within and f" {' '.join(words[1:])} " in within:
-            words = words[1:]
+    words, other = _longest_run(summary) if summary else [], t_low
+    if not words or " ".join(words) not in t_low:
+        if len(words) > 2 and " ".join(words[1:]) in t_low:
+            return " ".join(words[1:])
+        of_title = _longest_run(title)
+        if len(of_title) > len(words):
+            words, other = of_title, s_low
+            if len(words) > 2 and " ".join(words) not in other and " ".join(words[1:]) in other:
+                words = words[1:]
     name = " ".join(words)
     return name.removesuffix(" " + matter) if matter and len(words) > 2 else name
 
@@ -163,7 +165,7 @@ def read_item(title: str | None, summary: str | None, kind: str | None, reasons:
     t_low, s_low = t.lower(), s.lower()
     notice, number, amount, period = (x or y for x, y in zip(_figures(s_low), _figures(t_low), strict=True))
     matter = next((_label(r) for r in reasons if r), "") if reasons is not None else ""
-    name = "" if notice else _name(t, s, matter)
+    name = "" if notice else _name(t, t_low, s, s_low, matter)
     subject = f"nr {notice}" if notice else name
     if subject and matter:
         return (_label(kind), subject, matter, number, amount, period, "", "", bool(s))
@@ -226,24 +228,31 @@ def same_news(a: tuple, b: tuple) -> bool:
 
 
 def records(items: DataFrame) -> DataFrame:
-    """(nr, *FIELDS) of news items, read in Arrow batches; other columns stay in front of the record."""
+    """(nr, _stapel, *FIELDS) of news items, read in Arrow batches."""
+    types = [pa.string()] * (len(FIELDS) - 1) + [pa.bool_()]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [read_item(t, s, k, r) for t, s, k, r in zip(pdf["titel"], pdf["zusammenfassung"], pdf["kategorie"], pdf["begruendung"], strict=True)]
-            yield pd.concat([pdf[["nr", "_stapel"]].reset_index(drop=True), pd.DataFrame(rows, columns=FIELDS)], axis=1)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read_item(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns, types)], names=["nr", "_stapel", *FIELDS])
 
-    return items.select("nr", "_stapel", "titel", "zusammenfassung", "kategorie", "begruendung").mapInPandas(read, f"nr bigint, _stapel int, {_ENTRY}")
+    return items.select("nr", "_stapel", "titel", "zusammenfassung", "kategorie", "begruendung").mapInArrow(read, f"nr bigint, _stapel int, {_ENTRY}")
 
 
-def is_wordless(r: str = "") -> Column:
-    """A record that names nobody and has no wording: it tells nothing that another could repeat."""
-    return (F.col(f"{r}gegenstand") == "") & (F.col(f"{r}wortlaut") == "")
+#: A record that names nobody and has no wording: it tells nothing that another could repeat.
+WORDLESS = "gegenstand = '' AND wortlaut = ''"
+#: What stands for a record's content: 128 bits of hashes.
+_CONTENT = ["_h1", "_h2"]
 
 
 def entries(recs: DataFrame) -> DataFrame:
     """One row per distinct content, ``nr`` being the first item that has it; without wordless records."""
-    return recs.where(~is_wordless()).groupBy(*FIELDS).agg(F.min("nr").alias("nr"))
+    return recs.where(f"NOT ({WORDLESS})").groupBy(*_CONTENT, *FIELDS).agg(F.min("nr").alias("nr"))
+
+
+#: Between the parts of a sort key, and between those of a record.
+_PART = "\x1f"
 
 
 def sort_keys() -> str:
@@ -253,31 +262,42 @@ def sort_keys() -> str:
     under every word and every two neighbouring words of its core.
     """
     # the kind comes late: an item without one lies beside its twin that has one
-    by_name = lambda who, what: f"concat_ws('|', '0', {who}, nummer, betrag, zeitraum, {what}, art, wortlaut)"
-    by_matter = lambda order, who: f"concat_ws('|', '{order}', sache, nummer, betrag, zeitraum, {who}, art, wortlaut)"
+    by_name = lambda who, what: f"concat_ws('{_PART}', '0', {who}, nummer, betrag, zeitraum, {what}, art, wortlaut)"
+    by_matter = lambda order, who: f"concat_ws('{_PART}', '{order}', sache, nummer, betrag, zeitraum, {who}, art, wortlaut)"
     grams = lambda text, n: f"transform(sequence(0, greatest(0, size(split({text}, ' ')) - {n})), i -> array_join(slice(split({text}, ' '), i + 1, {n}), ' '))"
     usual = f"array({by_name('gegenstand', 'sache')}, {by_matter(1, 'gegenstand')}, {by_matter(2, 'reverse(gegenstand)')})"
     names = f"transform(array_distinct(concat({grams('wortlaut', 2)}, {grams('wortlaut', 3)})), g -> {by_name('g', 'sache')})"
     matters = f"transform(array_distinct(concat({grams('kern', 1)}, {grams('kern', 2)})), g -> {by_name('gegenstand', 'g')})"
-    extra = f"CASE WHEN gegenstand = '' THEN {names} WHEN sache = '' THEN {matters} ELSE CAST(array() AS array<string>) END"
-    return f"transform(array_distinct(concat({usual}, {extra})), k -> concat_ws('|', substring(k, 1, {KEY_LENGTH}), lpad(CAST(nr AS string), 20, '0')))"
-
-
-#: Per entry besides its fields: hashes of what must be equal, so that windows are compared as numbers.
-_CODES = {"figuren": ["nummer", "betrag", "zeitraum"], "wer": ["gegenstand"], "was": ["sache"]}
-_ROW = ["bereich", "schluessel", "nr", "erste", *_CODES, *FIELDS]
-_ROW_TYPES = f"bereich int, schluessel string, nr bigint, erste bigint, figuren bigint, wer bigint, was bigint, {_ENTRY}"
+    extra = f"CASE WHEN gegenstand = '' THEN concat({usual}, {names}) WHEN sache = '' THEN concat({usual}, {matters}) ELSE {usual} END"
+    return f"transform(array_distinct({extra}), k -> concat_ws('{_PART}', substring(k, 1, {KEY_LENGTH}), lpad(CAST(nr AS string), 20, '0')))"
+
+
+#: Per row besides its key: hashes of what must be equal, so that windows are compared as numbers (0: a kind that is not given), and the
+#: record where its key does not tell it.
+_CODES = {
+    "figuren": "xxhash64(nummer, betrag, zeitraum)", "wer": "xxhash64(gegenstand)", "was": "xxhash64(sache)", "wie": "CASE WHEN art = '' THEN 0L ELSE xxhash64(art) END",
+    "sicher": "sicher", "satz": f"CASE WHEN wortlaut <> '' OR length(concat(gegenstand, sache, nummer, betrag, zeitraum, art)) > {KEY_LENGTH - 10} THEN array({', '.join(FIELDS[:-1])}) END",
+}
+_ROW = ["bereich", "schluessel", "nr", "erste", *_CODES]
+_ROW_TYPES = "bereich int, schluessel string, nr bigint, erste bigint, figuren bigint, wer bigint, was bigint, wie bigint, sicher boolean, satz array<string>"
 _PAIR = {"neu": pa.int64(), "alt": pa.int64(), "alt_neu": pa.bool_(), "alt_erste": pa.int64(), "rand": pa.int32(), "frisch": pa.bool_()}
 _SEEN = f"neu bigint, alt bigint, alt_neu boolean, alt_erste bigint, rand int, frisch boolean, {_ROW_TYPES}"
 
 
+def record_of(key: str, whole: list[str] | None, sure: bool) -> tuple:
+    """The record of a row, in the order of ``FIELDS``: from its key, if that tells it."""
+    if whole is not None:
+        return (*whole, sure)
+    order, a, number, amount, period, b, kind, *_ = key.split(_PART)
+    who, what = (a, b) if order == "0" else (b if order == "1" else b[::-1], a)
+    return (kind, who, what, number, amount, period, "", "", sure)
+
+
 def _candidates(rows: pa.Table, fresh: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (new, other) of pairs within the window around new entries that may tell the same: nothing certain differs."""
-    order = pc.utf8_slice_codeunits(rows.column("schluessel"), 0, 1).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    sure, figures, who, what = (rows.column(c).to_numpy() for c in ("sicher", "figuren", "wer", "was"))
-    gap = pc.not_equal(rows.column("wortlaut"), "").to_numpy()
-    kinds = rows.column("art").combine_chunks().dictionary_encode()
-    kind, blank = kinds.indices.to_numpy(zero_copy_only=False), pc.equal(rows.column("art"), "").to_numpy()  # a kind that is not given agrees with any
+    order = pc.utf8_slice_codeunits(rows.column("schluessel"), 0, 1).cast(pa.int32()).to_numpy()
+    sure, figures, who, what, kind, nr = (rows.column(c).to_numpy() for c in ("sicher", "figuren", "wer", "was", "wie", "nr"))
+    gap = pc.is_valid(rows.column("satz")).to_numpy()
     new = np.flatnonzero(fresh)
     left, right = [np.array([], int)], [np.array([], int)]
     for d in [*range(-window, 0), *range(1, window + 1)]:
@@ -285,9 +305,9 @@ def _candidates(rows: pa.Table, fresh: np.ndarray, window: int) -> tuple[np.ndar
         b = a + d
         if d > 0:
             a, b = a[~fresh[b]], b[~fresh[b]]  # two new ones meet once
-        alike = (kind[a] == kind[b]) | blank[a] | blank[b]
+        alike = (kind[a] == kind[b]) | (kind[a] == 0) | (kind[b] == 0)
         certain = (figures[a] == figures[b]) & (what[a] == what[b]) & ((who[a] == who[b]) | ~(sure[a] & sure[b]))
-        hit = (order[a] == order[b]) & alike & (gap[a] | gap[b] | certain)
+        hit = (order[a] == order[b]) & (nr[a] != nr[b]) & alike & (gap[a] | gap[b] | certain)
         left.append(a[hit])
         right.append(b[hit])
     return np.concatenate(left), np.concatenate(right)
@@ -300,15 +320,15 @@ def _compare(rows: pa.Table, window: int) -> list[tuple[int, int, bool, int]]:
     if not len(one):
         return []
     used, at = np.unique(np.concatenate([one, other]), return_inverse=True)
-    small = rows.select(["nr", "erste", "frisch", *FIELDS]).take(pa.array(used)).to_pydict()
-    recs = list(zip(*(small[f] for f in FIELDS), strict=True))
-    pairs = {(i, j) for i, j in zip(at[: len(one)].tolist(), at[len(one) :].tolist(), strict=True) if small["nr"][i] != small["nr"][j]}
+    small = rows.select(["schluessel", "satz", "sicher", "nr", "erste", "frisch"]).take(pa.array(used)).to_pydict()
+    recs = list(map(record_of, small["schluessel"], small["satz"], small["sicher"]))
+    pairs = set(zip(at[: len(one)].tolist(), at[len(one) :].tolist(), strict=True))
     return sorted({(small["nr"][i], small["nr"][j], small["frisch"][j], small["erste"][j]) for i, j in pairs if same_news(recs[i], recs[j])})
 
 
 def _shaped(rows: pa.Table, given: dict[str, pa.Array]) -> pa.Table:
     n = len(next(iter(given.values())))
-    full = given | ({c: rows.column(c) for c in _ROW} if n == len(rows) and "rand" in given else {})
+    full = given | ({c: rows.column(c) for c in _ROW} if "rand" in given else {})
     types = _PAIR | {c: rows.schema.field(c).type for c in _ROW}
     return pa.table([full[c] if c in full else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
@@ -392,7 +412,7 @@ class Runs:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         laid = rows.select(*_ROW).repartition(self.ranges, "bereich").sortWithinPartitions("bereich", "schluessel")
-        laid.write.bucketBy(self.ranges, "bereich").sortBy("schluessel").format("parquet").option("path", self.path).mode(mode).saveAsTable(self.name)
+        laid.write.option("compression", "zstd").bucketBy(self.ranges, "bereich").sortBy("schluessel").format("parquet").option("path", self.path).mode(mode).saveAsTable(self.name)
 
     def _fresh_table(self) -> None:
         self.name, self.path = f"laeufe_{uuid.uuid4().hex}", new_place(self.spark, "laeufe")
@@ -425,27 +445,30 @@ class Runs:
             self.name = None
 
 
-def neighbours(runs: Runs, keyed: DataFrame, touched: set[int], window: int = WINDOW) -> DataFrame:
+def neighbours(runs: Runs, keyed: DataFrame, touched: set[int], window: int = WINDOW) -> tuple[DataFrame, int]:
     """(neu, alt, alt_neu, alt_erste): pairs of entries that tell the same, at least one of them among ``keyed``; alt_neu: both are.
 
-    ``keyed`` must be placed in the ranges of ``runs``, ``touched`` are their numbers. Of the history only those ranges and the ones
-    beside them are read.
+    Also returned: how many of them are of two new entries. ``keyed`` must be placed in the ranges of ``runs``, ``touched`` are their
+    numbers. Of the history only those ranges and the ones beside them are read.
     """
     near = sorted({b + d for b in touched for d in (-1, 0, 1)} & set(range(runs.ranges)))
     seen = runs.rows(near).groupBy("bereich").cogroup(keyed.select(*_ROW).groupBy("bereich")).applyInArrow(range_search(window), _SEEN)
-    seen = written(seen, "fenster")
+    place = new_place(runs.spark, "fenster")
+    seen = written(seen, "fenster", place)
     pair = ["neu", "alt", "alt_neu", "alt_erste"]
-    inside = seen.where("neu is not null").select(*pair)
-    if runs.ranges == 1:
-        return inside
-    across = seen.where(F.col("rand").between(0, runs.ranges - 2)).groupBy("rand").applyInArrow(border_search(window), _SEEN)
-    return inside.unionByName(across.where("neu is not null").select(*pair))
+    found = seen.where("neu is not null").select(*pair)
+    if runs.ranges > 1:
+        across = seen.where(F.col("rand").between(0, runs.ranges - 2)).groupBy("rand").applyInArrow(border_search(window), _SEEN)
+        found = found.unionByName(across.where("neu is not null").select(*pair))
+    found, counted = _observed(found, "nachbarn", inner=F.count_if("alt_neu"))
+    remove(runs.spark, place)
+    return found, counted["inner"]
 
 
-def _observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+def _observed(df: DataFrame, name: str, path: str | None = None, **values: Column) -> tuple[DataFrame, dict]:
     """``df`` written, and what was counted on the way."""
     seen = Observation()
-    out = written(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name)
+    out = written(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name, path)
     return out, seen.get
 
 
@@ -455,12 +478,11 @@ _BETTER = """SELECT r.nr, least(r.erste, m.e) AS _n, r.erste FROM {roots} r
     LEFT JOIN (SELECT x.a AS nr, min(k.erste) AS e FROM {ends} x JOIN {roots} k ON k.nr = x.b GROUP BY x.a) m ON m.nr = r.nr"""
 
 
-def _roots(batch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(nr, erste) of the batch's entries: the first item of the news each tells."""
+def _roots(batch: DataFrame, pairs: DataFrame, inner: int) -> DataFrame:
+    """(nr, erste) of the batch's entries: the first item of the news each tells; ``inner``: how many pairs are of two new ones."""
     spark = batch.sparkSession
-    pairs, seen = _observed(pairs, "nachbarn", inner=F.count_if("alt_neu"))
     roots = written(spark.sql(_FIRST, batch=batch, pairs=pairs), "erste")
-    if not seen["inner"]:
+    if not inner:
         return roots
     ends = spark.sql("SELECT DISTINCT a, b FROM (SELECT neu AS a, alt AS b FROM {pairs} WHERE alt_neu UNION ALL SELECT alt, neu FROM {pairs} WHERE alt_neu)", pairs=pairs)
     while True:  # rounds: half the length of the longest chain of unlike wordings, not of the data
@@ -472,22 +494,24 @@ def _roots(batch: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merge_batch(runs: Runs, recs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Check the records of a batch against everything accepted so far and accept them: (*FIELDS, erste) of every distinct content.
+    """Check the records of a batch against everything accepted so far and accept them: (_h1, _h2, erste) of every distinct content.
 
     Wordless records have none: they are news of their own. Nulls in any column are gaps, not differences; an empty batch
     changes nothing.
     """
-    batch = entries(recs)
-    if runs.name is None:
-        batch = written(batch, "eintraege")
-    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"xxhash64({', '.join(f)}) AS {c}" for c, f in _CODES.items()], *FIELDS)
+    spark = runs.spark
+    batch = written(entries(recs), "eintraege", own := new_place(spark, "eintraege"))
+    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"{e} AS {c}" for c, e in _CODES.items()])
     if runs.name is None:
         runs.cut(keyed)
-    keyed, seen = _observed(runs.placed(keyed), "schluessel", touched=F.collect_set("bereich"))
-    batch = keyed.where(F.col("schluessel").startswith("1")).select("nr", *FIELDS)  # every entry has one key of that order
-    roots = _roots(batch, neighbours(runs, keyed, set(seen["touched"]), window))
+    keyed, seen = _observed(runs.placed(keyed), "schluessel", place := new_place(spark, "schluessel"), touched=F.collect_set("bereich"))
+    batch = batch.select("nr", *_CONTENT)
+    roots = _roots(batch, *neighbours(runs, keyed, set(seen["touched"]), window))
     runs.append(keyed.drop("erste").join(roots, "nr"))
-    return batch.join(roots, "nr").select(*FIELDS, "erste")
+    remove(spark, place)
+    known = written(batch.join(roots, "nr").select(*_CONTENT, "erste"), "bekannt")
+    remove(spark, own)
+    return known
 
 
 def deduplicate(spark: SparkSession, items: DataFrame, batch: str = "charge", backlog: int = BACKLOG, window: int = WINDOW, runs: Runs | None = None) -> DataFrame:
@@ -499,19 +523,21 @@ def deduplicate(spark: SparkSession, items: DataFrame, batch: str = "charge", ba
     own = runs is None
     runs = runs or Runs(spark)
     place = new_place(spark, "saetze")
-    records(items.withColumn("_stapel", F.coalesce(F.col(batch), F.lit(-1)).cast("int"))).write.partitionBy("_stapel").parquet(place)
-    recs = spark.read.schema(f"nr bigint, {_ENTRY}, _stapel int").parquet(place)
+    content = [F.expr(f"xxhash64({seed}, {', '.join(FIELDS)})").alias(c) for seed, c in enumerate(_CONTENT)]
+    recs = records(items.withColumn("_stapel", F.coalesce(F.col(batch), F.lit(-1)).cast("int"))).select("*", *content)
+    recs.write.option("compression", "zstd").partitionBy("_stapel").parquet(place)
+    recs = spark.read.schema(f"nr bigint, {_ENTRY}, _h1 bigint, _h2 bigint, _stapel int").parquet(place)
     numbers = sorted(r[0] for r in recs.select("_stapel").distinct().collect())  # one per delivery
     steps = [s for s in [numbers[:1], *[numbers[i : i + backlog] for i in range(1, len(numbers), backlog)]] if s]
     known = [merge_batch(runs, recs.where(F.col("_stapel").isin(step)), window).withColumn("_schritt", F.lit(n)) for n, step in enumerate(steps)]
     if own:
         runs.drop()
-    out = recs.where(is_wordless()).select("nr", F.col("nr").alias("erste"))
+    out = recs.where(WORDLESS).select("nr", F.col("nr").alias("erste"))
     if not known:
         return out
     numbered = F.create_map(*[F.lit(x) for n, step in enumerate(steps) for stapel in step for x in (stapel, n)])
-    told = recs.where(~is_wordless()).withColumn("_schritt", numbered[F.col("_stapel")])
-    return out.unionByName(told.join(reduce(DataFrame.unionByName, known), [*FIELDS, "_schritt"]).select("nr", "erste"))
+    told = recs.where(f"NOT ({WORDLESS})").select("nr", *_CONTENT, numbered[F.col("_stapel")].alias("_schritt"))
+    return out.unionByName(told.join(reduce(DataFrame.unionByName, known), [*_CONTENT, "_schritt"]).select("nr", "erste"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
