@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from ..session import new_place, remove, table, written
 
 #: Waiting batches that are merged at once: less work per batch, the same result.
-BACKLOG = 2
+BACKLOG = 3
 #: Entries compared to each side of a new one.
 WINDOW = 12
-#: Runs after which they are compacted.
-MOST_RUNS = 4
+#: Runs that are searched as they are; more are compacted before the next search.
+MOST_RUNS = 2
 #: Sort keys meant for one range when runs are cut: what one task holds. A border of at most 200 characters is kept per range.
 PER_RANGE = 100_000
 #: Keys a range has at least, so that a window reaches over one border only.
@@ -366,7 +366,7 @@ def border_search(window: int):
 
 
 class Runs:
-    """The persisted entries of all accepted news, as sorted runs in key ranges.
+    """The persisted entries of all accepted news, as sorted runs in key ranges; more than ``most`` are compacted when they are next needed.
 
     One table, bucketed by range: ``rows`` of a set of ranges are read without touching the others and without a shuffle. ``erste``
     is the first item of the news an entry tells. The ranges are cut when the first run comes and at every compaction.
@@ -418,15 +418,13 @@ class Runs:
         self.name, self.path = f"laeufe_{uuid.uuid4().hex}", new_place(self.spark, "laeufe")
 
     def append(self, rows: DataFrame) -> None:
-        """Add ``rows`` (placed in the present ranges) as a sorted run; compact when there are too many."""
+        """Add ``rows`` (placed in the present ranges) as a sorted run."""
         if self.name is None:
             self._fresh_table()
             self._write(rows, "overwrite")
         else:
             self._write(rows, "append")
         self.runs += 1
-        if self.runs > self.most:
-            self.compact()
 
     def compact(self) -> None:
         """Write all runs as one, cut into ranges anew; the old ones are removed only after that."""
@@ -504,6 +502,8 @@ def merge_batch(runs: Runs, recs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"{e} AS {c}" for c, e in _CODES.items()])
     if runs.name is None:
         runs.cut(keyed)
+    elif runs.runs > runs.most:
+        runs.compact()
     keyed, seen = _observed(runs.placed(keyed), "schluessel", place := new_place(spark, "schluessel"), touched=F.collect_set("bereich"))
     batch = batch.select("nr", *_CONTENT)
     roots = _roots(batch, *neighbours(runs, keyed, set(seen["touched"]), window))

@@ -126,10 +126,10 @@ def test_a_batch_reads_only_its_ranges(spark):
 def test_runs_compact(spark):
     """Compaction keeps every row, makes one run of many and cuts the ranges anew."""
     runs = N.Runs(spark, most=2, per_range=100, least=10)
-    for k in range(3):
+    for k in range(4):
         N.deduplicate(spark, spark.createDataFrame([item(1000 * k + n, f"{chr(65 + n % 26)}as{chr(97 + n // 26)} Bank Ort", 100 + k) for n in range(300)], ITEMS), runs=runs)
-    assert (runs.runs, runs.compactions) == (1, 1) and runs.rows().count() == 2700
-    assert runs.rows().groupBy("bereich").count().agg({"count": "max"}).first()[0] < 400
+    assert (runs.runs, runs.compactions) == (2, 1) and runs.rows().count() == 3600
+    assert runs.rows().groupBy("bereich").count().agg({"count": "max"}).first()[0] < 500
     runs.drop()
 
 
