@@ -1,16 +1,16 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-Every distinct token is looked up in a trie of the vocabulary by a weighted edit automaton in which look-alikes and
-ignorable characters cost nothing; what it reaches at cost 0 is spelled as the most frequent clean spelling there.
-Tokens that reach nothing are normalised by table. The vocabulary is the corpus's own and is never gathered in one
-place: tokens are routed by the hash of their table form, which look-alikes share, so each task builds the tries of
-its own tokens and misses nothing.
+The clean spellings of the corpus's own vocabulary stand in tries as they are written. Every token that is not plain is sought in
+them by a weighted edit automaton in which look-alikes and ignorable characters cost nothing: it compares what is drawn,
+character by character, on both sides. What it reaches at cost 0 is spelled as the best spelling there (plain, else the most
+frequent). Only tokens that reach nothing are normalised by table. The vocabulary is never gathered in one place: a trie holds
+the spellings that begin alike, and the tokens that may match them; beginnings that too many share are split by what follows.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata as u
-from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -81,55 +81,106 @@ def is_spelling(token: str) -> bool:
     return len({script(c) for c in token} - {""}) <= 1
 
 
-class Trie:
-    """Spellings by their glyphs. ``nearest`` runs a weighted edit automaton over it."""
+@lru_cache(1 << 16)
+def drawn(c: str) -> str:
+    """What one character is drawn as, its marks in canonical order; nothing for an ignorable one."""
+    return u.normalize("NFD", "".join(map(glyph, u.normalize("NFD", c))))
+
+
+class _Node:
+    """A place in a trie: edges by character, and by the first thing each is drawn as; spellings that end here."""
+
+    __slots__ = ("edges", "by_glyph", "ends")
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.edges: dict[str, _Node] = {}
+        self.by_glyph: dict[str, list[tuple[str, _Node]]] = {}
+        self.ends: list[tuple[bool, int, str]] = []
+
+
+class Trie:
+    """Spellings as they are written. ``nearest`` runs a weighted edit automaton over them.
+
+    ``alike``: further look-alikes of this automaton, each with what it is drawn as, beside those of ``drawn``.
+    """
+
+    def __init__(self, alike: dict[str, str] | None = None) -> None:
+        self.root, self.alike = _Node(), alike or {}
+
+    def _drawn(self, c: str) -> str:
+        return self.alike[c] if c in self.alike else drawn(c)
 
     def add(self, spelling: str, count: int) -> None:
         node = self.root
-        for c in units(spelling):
-            node = node.setdefault(c, {})
-        node.setdefault("", []).append((count, spelling.isascii(), spelling))
+        for c in spelling:
+            if c not in node.edges:
+                node.edges[c] = _Node()
+                shape = self._drawn(c)
+                node.by_glyph.setdefault(shape[:1], []).append((shape, node.edges[c]))
+            node = node.edges[c]
+        node.ends.append((bool(_PLAIN_WORD.fullmatch(spelling)), count, spelling))
 
     def nearest(self, token: str, limit: float = 0.0, price: float = 1.0) -> tuple[float, str] | None:
         """The cheapest spelling within ``limit`` and its cost: look-alikes and ignorables cost nothing, every other
-        replacement, insertion or deletion of a glyph ``price``. Of equally cheap ones the most frequent, then ASCII, then by order.
+        replacement, insertion or deletion of a glyph ``price``. Of equally cheap ones a plain one, then the most frequent, then by order.
+
+        A state is a node of the trie, what the edge into it draws that the token has not drawn yet, a place in the token, and what its
+        last character draws that the edges have not drawn yet.
         """
-        word = units(token)
-        states, best = [(0.0, self.root, 0)], None
-        seen: dict[tuple[int, int], float] = {}
+        states, best = [(0.0, self.root, "", 0, "")], None
+        seen: dict[tuple[int, str, int, str], float] = {}
         while states:
-            cost, node, i = states.pop()
-            if cost > limit or seen.get((id(node), i), limit + 1) <= cost:
+            cost, node, of_edge, i, of_token = states.pop()
+            while True:
+                if of_edge and of_token and of_edge[0] == of_token[0]:
+                    of_edge, of_token = of_edge[1:], of_token[1:]
+                elif not of_token and i < len(token):
+                    of_token, i = self._drawn(token[i]), i + 1
+                else:
+                    break
+            if seen.get((id(node), of_edge, i, of_token), limit + 1) <= cost:
                 continue
-            seen[id(node), i] = cost
-            if i == len(word) and "" in node:
-                count, plain, spelling = max(node[""], key=lambda x: (x[0], x[1], x[2]))
-                rank = (-cost, count, plain, spelling)
+            seen[id(node), of_edge, i, of_token] = cost
+            if not of_edge and not of_token and node.ends:  # the token is drawn to its end
+                rank = (-cost, *max(node.ends))
                 best = rank if best is None or rank > best else best
-            if i < len(word) and word[i] in node:
-                states.append((cost, node[word[i]], i + 1))
-            if cost + price <= limit:
-                for c, child in node.items():
-                    if c:
-                        states.append((cost + price, child, i))
-                        if i < len(word):
-                            states.append((cost + price, child, i + 1))
-                if i < len(word):
-                    states.append((cost + price, node, i + 1))
+            if not of_edge:
+                states += [(cost, child, shape, i, of_token) for shape, child in node.by_glyph.get(of_token[:1], ()) if of_token]
+            if cost + price > limit:
+                continue
+            if of_token:
+                states.append((cost + price, node, of_edge, i, of_token[1:]))
+            if of_edge:
+                states.append((cost + price, node, of_edge[1:], i, of_token))
+                if of_token:
+                    states.append((cost + price, node, of_edge[1:], i, of_token[1:]))
+            else:
+                for shapes in node.by_glyph.values():
+                    states += [(cost, child, shape, i, of_token) for shape, child in shapes if not of_token or shape[:1] != of_token[:1]]
         return best and (-best[0], best[3])
 
 
+def spell(token: str, trie: Trie) -> str:
+    """The canonical spelling of a token: what the automaton reaches at no cost, also from the token's normal form; else the normal form by table."""
+    hit = trie.nearest(token)
+    if hit is None:
+        plain = by_table(token)
+        hit = trie.nearest(plain) if plain != token else None
+        return hit[1] if hit else plain
+    return hit[1]
+
+
 # --- operators --------------------------------------------------------------------------------------------
 
 #: Blanks of any kind, as Java's patterns see them.
 _BLANKS = r"[\p{Z}\x{2800}\t\n\x0B\f\r\x{1C}-\x{1F}\x{85}]"
 #: Texts of these characters only are in normal form already.
 _PLAIN = r"^[!-~\x{C0}-\x{FF}]+(?: +[!-~\x{C0}-\x{FF}]+)*$"
-#: Distinct tokens meant for one group of tries.
+_PLAIN_WORD = re.compile("[!-~\xc0-\xff]+")
+#: Distinct tokens of one trie, at most: beginnings that more share are split by what follows.
 PER_GROUP = 20_000
+#: Glyphs of the beginning that a trie's spellings share, and of the longer one by which crowded beginnings are split.
+BEGIN, LONGER = 4, 24
 
 
 def is_plain(text: Column) -> Column:
@@ -137,9 +188,20 @@ def is_plain(text: Column) -> Column:
     return text.rlike(_PLAIN)
 
 
-@F.pandas_udf(T.LongType())
-def _route(token: pd.Series) -> pd.Series:
-    return pd.Series(pd.util.hash_array(token.map(by_table).to_numpy(dtype=object)).astype("int64"))
+@F.pandas_udf(T.StructType([T.StructField("beginn", T.StringType()), T.StructField("laenger", T.StringType())]))
+def _begins(token: pd.Series) -> pd.DataFrame:
+    """How a token begins to the eye: its first glyphs, few and more."""
+
+    def first(t: str) -> str:
+        out = ""
+        for c in t:
+            out += drawn(c)
+            if len(out) >= LONGER:
+                break
+        return u.normalize("NFD", out)[:LONGER]
+
+    longer = token.map(first)
+    return pd.DataFrame({"beginn": longer.str[:BEGIN], "laenger": longer})
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
@@ -148,18 +210,21 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
 
 
 def spellings(words: DataFrame) -> DataFrame:
-    """The canonical spelling of every token that is not plain: (token, schreibung)."""
-    groups = 1 << max(3, int(words.count() // PER_GROUP).bit_length())
-    routed = words.withColumn("gruppe", F.pmod(_route("token"), F.lit(groups)).cast("int"))
-
-    def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The canonical spelling of every token that is not plain and is spelled otherwise: (token, schreibung). Plain ones are their own."""
+    begun = written(words.select("token", "anzahl", (~is_plain(F.col("token"))).alias("_odd"), _begins("token").alias("b")).select("token", "anzahl", "_odd", "b.*"), "anfaenge")
+    sought = begun.groupBy("beginn").agg(F.max("_odd").alias("_odd"), F.count("*").alias("_n")).where("_odd")  # other beginnings have nothing to match
+    crowded = F.when(F.col("_n") > PER_GROUP, F.col("laenger")).otherwise(F.col("beginn"))
+    routed = begun.join(sought.select("beginn", "_n"), "beginn").select("token", "anzahl", "_odd", crowded.alias("gruppe"))
+
+    def look_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        odd = pdf["token"][pdf["_odd"]].tolist()
+        if not odd:
+            return pd.DataFrame({"token": [], "schreibung": []}, dtype="object")
         trie = Trie()
         for token, count in zip(pdf["token"], pdf["anzahl"], strict=True):
             if is_spelling(token):
                 trie.add(token, count)
-        odd = [t for t in pdf["token"] if not (t.isascii() and t.isprintable())]
-        hits = [trie.nearest(t) for t in odd]
-        return pd.DataFrame({"token": odd, "schreibung": [h[1] if h else by_table(t) for t, h in zip(odd, hits, strict=True)]}, dtype="object")
+        return pd.DataFrame({"token": odd, "schreibung": [spell(t, trie) for t in odd]}, dtype="object")
 
     return routed.groupBy("gruppe").applyInPandas(look_up, "token string, schreibung string").where("token <> schreibung")
 
@@ -167,35 +232,48 @@ def spellings(words: DataFrame) -> DataFrame:
 def consistent(texts: DataFrame, keys: list[str], text: str = "t") -> DataFrame:
     """(*keys, text, form): every non-null text with its consistent form, blanks at the ends removed.
 
-    Keys must be unique. Texts that look the same get equal forms, texts that look different stay different. An empty or
-    blank text has the empty form; null texts are left out; an empty table gives no rows.
+    Keys must be unique and not null. Texts that look the same get equal forms, texts that look different stay different. An
+    empty or blank text has the empty form; null texts are left out; an empty table gives no rows. Only the tokens that are not
+    plain are taken out of their texts, joined with their spellings, and put back.
     """
     rows = texts.where(F.col(text).isNotNull()).select(*keys, text)
     mapping = written(spellings(written(vocabulary(rows, text), "woerter")), "schreibungen")
     odd = rows.where(~is_plain(F.col(text)))
-    tokens = odd.select(*keys, text, F.posexplode(F.split(text, _BLANKS, -1)).alias("pos", "token"))
-    spelled = tokens.join(mapping, "token", "left").withColumn("token", F.coalesce("schreibung", "token"))
-    whole = spelled.groupBy(*keys, text).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_s"))
-    forms = whole.select(*keys, text, F.trim(F.array_join("_s.token", " ")).alias("form"))
+    placed = F.transform(F.split(text, _BLANKS, -1), lambda w, i: F.struct(i.alias("pos"), w.alias("token")))
+    tokens = odd.select(*keys, F.explode(F.filter(placed, lambda x: ~is_plain(x["token"]) & (x["token"] != ""))).alias("x")).select(*keys, "x.pos", "x.token")
+    spelled = tokens.join(mapping, "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "schreibung"))).alias("_s"))
+    words = F.transform(F.split(text, _BLANKS, -1), lambda w, i: F.coalesce(F.try_element_at("_s", i), w))
+    forms = odd.join(spelled, keys, "left").select(*keys, text, F.trim(F.array_join(words, " ")).alias("form"))
     return rows.where(is_plain(F.col(text))).select(*keys, text, F.col(text).alias("form")).unionByName(forms)
 
 
+def _classes(forms: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
+    """(*group, key, _t, _f): rows, as hashes of text and form, of the forms that some text is not written in. No other form has two spellings."""
+    rows = forms.select(*group, key, F.unhex(F.md5(text)).alias("_t"), F.unhex(F.md5("form")).alias("_f"))
+    return rows.join(rows.where("_t <> _f").select(*group, "_f").distinct(), [*group, "_f"], "left_semi")
+
+
 def look_alike_pairs(forms: DataFrame, group: list[str], key: str, text: str = "t") -> DataFrame:
     """All pairs (key_a < key_b) of rows with equal form and different characters, within equal ``group``.
 
     Pairs are made between different spellings of a form, never between copies of one spelling, so the work is that of
-    the result.
+    the result: a form with two spellings of n and m copies gives n x m rows, since every pair counts.
     """
-    rows = forms.select(*group, key, F.sha2(text, 256).alias("_t"), F.sha2("form", 256).alias("_f"))
+    rows = _classes(forms, group, key, text)
     kinds = rows.select(*group, "_f", "_t").distinct()
-    several = kinds.groupBy(*group, "_f").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    kinds = kinds.join(several, [*group, "_f"])
     pairs = kinds.join(kinds.withColumnRenamed("_t", "_t2"), [*group, "_f"]).where("_t < _t2")
     left = pairs.join(rows.select(*group, "_f", "_t", F.col(key).alias("_a")), [*group, "_f", "_t"])
     both = left.join(rows.select(*group, "_f", F.col("_t").alias("_t2"), F.col(key).alias("_b")), [*group, "_f", "_t2"])
     return both.select(*group, F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))
 
 
+def look_alike_classes(forms: DataFrame, group: list[str], key: str, text: str = "t") -> DataFrame:
+    """(*group, klasse, schreibungen, zeilen): per form with several spellings its first row, how many spellings and rows it has."""
+    found = _classes(forms, group, key, text).groupBy(*group, "_f", "_t").agg(F.min(key).alias("_k"), F.count("*").alias("_n"))
+    classes = found.groupBy(*group, "_f").agg(F.min("_k").alias("klasse"), F.count("*").alias("schreibungen"), F.sum("_n").alias("zeilen"))
+    return classes.where("schreibungen > 1").drop("_f")
+
+
 def short_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of both tables as (tabelle, nr, t)."""
     sides = [table(spark, folder, name).select(F.lit(name).alias("tabelle"), F.col(nr).alias("nr"), "t") for name, nr in (("indexdokumente", "dok_nr"), ("punkte", "punkt_nr"))]
@@ -211,3 +289,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_formen(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with its consistent form."""
     return consistent(short_texts(spark, folder), ["tabelle", "nr"]).select("tabelle", "nr", "form")
+
+
+def p5_klassen(spark: SparkSession, folder: str) -> DataFrame:
+    """Per form that is spelled in several ways: its first row, and how many spellings and rows it has."""
+    return look_alike_classes(consistent(short_texts(spark, folder), ["tabelle", "nr"]), ["tabelle"], "nr")

@@ -13,6 +13,7 @@ _QUERIES = {
     "p2_found": neighbourhood.p2_found,
     "p5_found": glyphs.p5_found,
     "p5_formen": glyphs.p5_formen,
+    "p5_klassen": glyphs.p5_klassen,
     "p6_ids": encoding.p6_ids,
     "p6_rueckweg": encoding.p6_rueckweg,
     "p7_mischung": mixing.p7_mischung,
