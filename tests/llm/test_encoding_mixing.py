@@ -31,16 +31,32 @@ def test_encodes_like_the_tokenizer():
     assert [E.decode(i) for i in want] == texts()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(100, 60), (64, 16), (1000, 100), (37, 37)])
-def test_chunks_are_stitched_exactly(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap", [(100, 60), (64, 16), (1000, 200), (37, 37), (10, 10)])
+def test_chunks_are_stitched_exactly(chunk, overlap):
+    one = E.encoder().encode_ordinary
+    assert [E.encode_by_chunks(t, one, chunk, overlap) if t else [] for t in texts()] == oracle(texts())
+
+
+@pytest.mark.parametrize("chunk,overlap,spread", [(64, 16, 4), (100, 60, 1), (1000, 100, 256)])
+def test_shares_of_long_texts(spark, chunk, overlap, spread):
     rows = [(n, t, "extra") for n, t in enumerate(texts())] + [(900, None, None), (901, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = {r.doc_id: list(r.ids) for r in E.encode_texts(df, chunk=chunk, overlap=overlap).collect()}
+    got = {r.doc_id: list(r.ids) for r in E.encode_texts(df, chunk=chunk, overlap=overlap, spread=spread).collect()}
     want = oracle([t or "" for _, t, _ in rows])
     assert got == {r[0]: w for r, w in zip(rows, want, strict=True)}
     assert E.encode_texts(df.limit(0)).count() == 0
 
 
+def test_every_text_goes_by_chunks(monkeypatch):
+    """No text is encoded whole: what reaches the encoder is never longer than a chunk and its overlap, unless one pre-token is."""
+    seen = []
+    one = E.encoder().encode_ordinary
+    text = "Artikel 28 Absatz 4: die Stelle prüft. " * 200
+    assert E.encode_by_chunks(text, lambda t: seen.append(len(t)) or one(t), E.CHUNK, E.OVERLAP) == E.encode(text)
+    assert len(seen) >= len(text) // E.CHUNK and max(seen) <= E.CHUNK + E.OVERLAP
+    assert E.encode_by_chunks("x" * 5000, lambda t: seen.append(len(t)) or one(t), 100, 20) == E.encode("x" * 5000)
+
+
 def test_shares():
     rows = [("a", 0.5, 2, 10, 1000), ("b", 0.3, 8, 1, 10), ("c", 0.2, 3, 0, 0)]
     shares = {s.source: s for s in M.allocate(rows)}
