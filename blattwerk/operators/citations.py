@@ -97,13 +97,17 @@ def path_prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(parts) / 2))), lambda k: F.array_join(F.slice(parts, 1, F.when(F.size(parts) == 1, 1).otherwise(2 * k).cast("int")), "/"))
 
 
-def touching(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """Edges that touch a place or one above it: places exploded into their prefixes, then an equi-join.
+def touch_counts(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """(regelwerk, pfad, beziehungen): how many relations touch a place or one above it with either end, each once.
 
-    ``edges``: (id, rw, pfad), null path: the whole work. ``places``: (regelwerk, pfad).
+    ``edges``: (id, rw, pfad) of both ends, null path: the whole work. ``places``: (regelwerk, pfad), each once. Places are exploded
+    into their prefixes and joined on equality; ends at a whole work are counted per work and added, not joined with its places.
     """
     above = places.select("regelwerk", "pfad", F.explode(path_prefixes(F.col("pfad"))).alias("_vor"))
-    ends = edges.where("pfad is not null").select("id", F.col("rw").alias("regelwerk"), F.col("pfad").alias("_vor"))
-    exact = above.join(ends, ["regelwerk", "_vor"])
-    whole = places.join(edges.where("pfad is null").select("id", F.col("rw").alias("regelwerk")), "regelwerk")
-    return exact.select("regelwerk", "pfad", "id").unionByName(whole.select("regelwerk", "pfad", "id")).distinct()
+    ends = edges.select("id", F.col("rw").alias("regelwerk"), F.col("pfad").alias("_vor"))
+    whole = ends.where("_vor is null").select("regelwerk", "id").distinct()
+    exact = above.join(ends.where("_vor is not null").join(whole, ["regelwerk", "id"], "left_anti").distinct(), ["regelwerk", "_vor"])
+    narrow = exact.groupBy("regelwerk", "pfad").agg(F.countDistinct("id").alias("_eng"))
+    wide = whole.groupBy("regelwerk").agg(F.count("*").alias("_weit"))
+    counted = places.join(narrow, ["regelwerk", "pfad"], "left").join(wide, "regelwerk", "left")
+    return counted.select("regelwerk", "pfad", (F.coalesce("_eng", F.lit(0)) + F.coalesce("_weit", F.lit(0))).alias("beziehungen")).where("beziehungen > 0")

@@ -6,6 +6,9 @@ the ordinals present, and the digests of their values, aligned to the set bits.
 then compared container by container: AND-NOT of the bitmaps gives additions and removals, AND gives the common
 keys, and the aligned vectors show which of those changed. Only changed ordinals are looked up again as keys.
 
+Ordinals and containers are stored in a register that grows with every snapshot. A new snapshot is numbered by it and compared
+with the containers of the one before; the rows of earlier snapshots are not read again.
+
 A container holds at most ``SPAN`` keys whatever the input, so no task ever gets an unbounded group; rows that
 repeat a key are reduced before the shuffle, so a key that holds a third of all rows costs one row per map task.
 """
@@ -17,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..session import table, written
+from ..session import new_place, remove, stored, table, written
 
 #: Ordinals of a container: a bitmap of at most 8 KB.
 SPAN = 1 << 16
@@ -87,27 +90,23 @@ def bucket_count(rows: int) -> int:
     return 1 << max(4, int(rows // KEYS_PER_BUCKET).bit_length())
 
 
-def assign_ordinals(keys: DataFrame, on: list[str], since: str, buckets: int, known: DataFrame | None = None) -> DataFrame:
-    """Give keys their ordinals: ``bucket`` and ``ordinal`` (counted from 0 in the bucket).
+def _same(on: list[str], left: str, right: str) -> list[Column]:
+    return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in on]
 
-    Keys in ``known`` (an earlier result) keep theirs. New ones follow in the order of ``since``, then of the key, so
-    the numbers are the same whether snapshots are registered one by one or all at once.
-    """
-    from pyspark.sql import Window
 
-    bucket = F.pmod(F.xxhash64(*on), F.lit(buckets)).cast("int")
-    fresh = keys
-    if known is not None:
-        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in on]
-        fresh = keys.alias("n").join(known.alias("k"), same, "left_anti")
-    fresh = fresh.withColumn("bucket", bucket)
+def new_ordinals(keys: DataFrame, on: list[str], since: str, buckets: int, known: DataFrame | None = None) -> DataFrame:
+    """(*on, bucket, ordinal) of the keys that are not in ``known``; ordinals are counted from 0 in each bucket and go on where ``known`` ends.
+
+    They follow in the order of ``since``, then of the key, so the numbers are the same whether snapshots are registered one
+    by one or all at once.
+    """
+    fresh = keys if known is None else keys.alias("n").join(known.alias("k"), _same(on, "n", "k"), "left_anti")
     order = Window.partitionBy("bucket").orderBy(F.col(since), *on)
-    fresh = fresh.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint"))
-    if known is None:
-        return fresh
-    taken = known.groupBy("bucket").agg((F.max("ordinal") + 1).alias("_from"))
-    fresh = fresh.join(taken, "bucket", "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("_from", F.lit(0))).drop("_from")
-    return known.select(*on, "bucket", "ordinal").unionByName(fresh.select(*on, "bucket", "ordinal"))
+    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64(*on), F.lit(buckets)).cast("int")).withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint"))
+    if known is not None:
+        taken = known.groupBy("bucket").agg((F.max("ordinal") + 1).alias("_from"))
+        fresh = fresh.join(taken, "bucket", "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("_from", F.lit(0)))
+    return fresh.select(*on, "bucket", "ordinal")
 
 
 def containers(states: DataFrame, snapshot: str) -> DataFrame:
@@ -147,29 +146,68 @@ def container_changes(cells: DataFrame, snapshot: str) -> DataFrame:
     return found.withColumn("art", names[F.col("art")])
 
 
-def changes(rows: DataFrame, on: list[str], snapshot: str, arrived: list[str], values: list[Column], known: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+class Register:
+    """What is stored of all snapshots below a path: the keys' ordinals, and one container row per snapshot, bucket and ``SPAN`` ordinals."""
+
+    def __init__(self, spark: SparkSession, path: str, on: list[str], snapshot: str, types: dict[str, str]) -> None:
+        self.spark, self.on, self.snapshot = spark, on, snapshot
+        self._keys, self._cells, self._size = (f"{path}/{n}" for n in ("ordnungszahlen", "behaelter", "eimer"))
+        self._key_types = ", ".join([f"`{c}` {types[c]}" for c in on] + ["bucket int", "ordinal bigint"])
+        self._cell_types = f"bucket int, behaelter bigint, karte binary, werte binary, `{snapshot}` {types[snapshot]}"
+
+    def keys(self) -> DataFrame | None:
+        return self.spark.read.schema(self._key_types).parquet(self._keys) if stored(self.spark, self._keys) else None
+
+    def cells(self) -> DataFrame | None:
+        return self.spark.read.schema(self._cell_types).parquet(self._cells) if stored(self.spark, self._cells) else None
+
+    def last(self) -> int | None:
+        """The number of the last snapshot stored."""
+        cells = self.cells()
+        return None if cells is None else cells.agg(F.max(self.snapshot)).first()[0]
+
+    def buckets(self, wanted: int) -> int:
+        """The number of buckets it was begun with, which is ``wanted`` for a new one."""
+        if not stored(self.spark, self._size):
+            self.spark.createDataFrame([(wanted,)], "eimer int").write.parquet(self._size)
+        return self.spark.read.parquet(self._size).first()[0]
+
+    def number(self, keys: DataFrame, since: str, buckets: int) -> None:
+        """Give new keys their ordinals."""
+        new_ordinals(keys, self.on, since, buckets, self.keys()).write.mode("append").parquet(self._keys)
+
+    def add(self, states: DataFrame) -> None:
+        """Store the containers of new snapshots; a write is done whole or not at all."""
+        containers(states, self.snapshot).write.mode("append").partitionBy(self.snapshot).parquet(self._cells)
+
+
+def changes(rows: DataFrame, on: list[str], snapshot: str, arrived: list[str], values: list[Column], register: str | None = None, buckets: int | None = None) -> DataFrame:
     """Changes between consecutive full snapshots: (``snapshot``, *on, art), art being neu, entfallen or geaendert.
 
     Of several rows of a key in a snapshot the last by ``arrived`` counts. ``values`` are compared null-safely: null is a
     value of its own. Rows without a snapshot number belong to none and are left out; keys that are null or partly
     null are keys like any other; repeated rows count once; an empty table gives no changes; a number without rows
     between the first and the last snapshot is an empty snapshot. Columns not named play no part.
+
+    ``register``: where the register of earlier snapshots lies, or a new one shall; then only snapshots after the last one in it
+    are read, and only their changes returned. Without it a register is made for this call.
     """
     spark = rows.sparkSession
+    book = Register(spark, register or new_place(spark, "register"), on, snapshot, dict(rows.dtypes))
+    before = book.last()
+    fresh = rows.where(F.col(snapshot).isNotNull() if before is None else F.col(snapshot) > F.lit(before))
     tagged = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), v), F.lit("0")) for v in values])
-    digest = F.unhex(F.md5(tagged))
-    last = F.max(F.struct(*arrived, digest.alias("digest")))
-    current = rows.where(F.col(snapshot).isNotNull()).groupBy(*on, snapshot).agg(last["digest"].alias("digest"))
-    history = current.groupBy(*on).agg(F.min(snapshot).alias("_since"), F.collect_list(F.struct(snapshot, "digest")).alias("_states"))
-    register = assign_ordinals(history, on, "_since", buckets or bucket_count(rows.count()), None)
-    if known is not None:
-        numbers = assign_ordinals(history, on, "_since", buckets or bucket_count(rows.count()), known)
-        register = history.alias("h").join(numbers.alias("o"), [F.col(f"h.{c}").eqNullSafe(F.col(f"o.{c}")) for c in on]).select("h.*", "o.bucket", "o.ordinal")
-    register = written(register, "ordnungszahlen")
-    states = register.select("bucket", "ordinal", F.explode("_states").alias("s")).select("bucket", "ordinal", f"s.{snapshot}", "s.digest")
-    cells = written(containers(states, snapshot), "behaelter")
-    found = container_changes(cells, snapshot)
-    return found.join(register.select("bucket", "ordinal", *on), ["bucket", "ordinal"]).select(snapshot, *on, "art")
+    last = F.max(F.struct(*arrived, F.unhex(F.md5(tagged)).alias("digest")))
+    place = new_place(spark, "staende")
+    current = written(fresh.groupBy(*on, snapshot).agg(last["digest"].alias("digest")), "staende", place)
+    keys = current.groupBy(*on).agg(F.min(snapshot).alias("_since"))
+    book.number(keys, "_since", book.buckets(buckets or bucket_count(current.count())))
+    numbers = book.keys()
+    book.add(current.alias("c").join(numbers.alias("o"), _same(on, "c", "o")).select("o.bucket", "o.ordinal", f"c.{snapshot}", "c.digest"))
+    remove(spark, place)
+    cells = book.cells()
+    found = container_changes(cells if before is None else cells.where(F.col(snapshot) >= before), snapshot)
+    return found.join(numbers, ["bucket", "ordinal"]).select(snapshot, *on, "art")
 
 
 # --- the register of versions -----------------------------------------------------------------------------
@@ -186,13 +224,13 @@ def canonical_hash(c: Column) -> Column:
     return F.when(~plain.isin(*moments.ABSENT), plain)
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Versions that appeared, vanished or changed from one delivery of the register to the next."""
+def p1_found(spark: SparkSession, folder: str, register: str | None = None) -> DataFrame:
+    """Versions that appeared, vanished or changed from one delivery of the register to the next; with ``register`` since its last one."""
     rows = table(spark, folder, "fassungen").select(
         "lieferung", "regelwerk", tidy_id(F.col("id")).alias("id"), "eingang", "zeile",
         canonical_hash(F.col("hash")).alias("_hash"), moments.day_or_raw(F.col("gueltig_bis")).alias("_tag"),
     )
-    return changes(rows, ["regelwerk", "id"], "lieferung", ["eingang", "zeile"], [F.col("_hash"), F.col("_tag")])
+    return changes(rows, ["regelwerk", "id"], "lieferung", ["eingang", "zeile"], [F.col("_hash"), F.col("_tag")], register)
 
 
 def p1_bilanz(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..session import new_place, table, written
+from ..session import new_place, stored, table
 
 DEFAULT_ZONE = "Europe/Berlin"
 
@@ -35,15 +35,10 @@ def extend(spark: SparkSession, path: str, values: DataFrame) -> DataFrame:
     The table is append-only: a part per call, each written at once, so a lost executor or a broken run leaves
     the earlier parts as they were.
     """
-    try:
-        known = spark.read.parquet(path)
-        fresh = values.join(known, ["roh", "zone"], "left_anti")
-    except Exception as e:  # no dictionary yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        fresh = values
+    shape = "roh STRING, zone STRING, sekunden BIGINT"
+    fresh = values.join(spark.read.schema(shape).parquet(path), ["roh", "zone"], "left_anti") if stored(spark, path) else values
     parse(fresh).write.mode("append").parquet(path)
-    return spark.read.schema("roh STRING, zone STRING, sekunden BIGINT").parquet(path)
+    return spark.read.schema(shape).parquet(path)
 
 
 def normalise(rows: DataFrame, dictionary: DataFrame, raw: str = "roh", zone: str = "zone", to: str = "utc") -> DataFrame:
@@ -82,23 +77,27 @@ def raw_moments(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, sides)
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def dictionary_of(spark: SparkSession, rows: DataFrame, dictionary: str | None = None) -> DataFrame:
+    """The dictionary that covers ``rows``: the one stored at a path, extended by what is new, or one for this run only."""
+    return extend(spark, dictionary or new_place(spark, "momente"), distinct_values(rows))
+
+
+def p3_found(spark: SparkSession, folder: str, dictionary: str | None = None) -> DataFrame:
     """Every value that names a moment in another form, with the moment in the one form.
 
     Null, blank and meaningless values name no moment and give no row; repeated rows each give their own row
-    (they differ in ``nr``); an empty table gives no row.
+    (they differ in ``nr``); an empty table gives no row. ``dictionary``: where the dictionary of earlier runs lies; a value in it
+    is not parsed again.
     """
     rows = raw_moments(spark, folder).where(F.col("roh").isNotNull())
-    dictionary = extend(spark, new_place(spark, "momente"), distinct_values(rows))
-    found = normalise(rows, dictionary)
+    found = normalise(rows, dictionary_of(spark, rows, dictionary))
     return found.where(F.col("utc").isNotNull() & ~in_form(F.col("roh"), F.col("utc"))).select("tabelle", "nr", "utc")
 
 
-def p3_formen(spark: SparkSession, folder: str) -> DataFrame:
+def p3_formen(spark: SparkSession, folder: str, dictionary: str | None = None) -> DataFrame:
     """Per table: how many values name a moment, how many are already in form, and how many name none."""
     rows = raw_moments(spark, folder)
-    dictionary = written(parse(distinct_values(rows)), "momente")
-    found = normalise(rows, dictionary)
+    found = normalise(rows, dictionary_of(spark, rows, dictionary))
     return found.groupBy("tabelle").agg(
         F.count("*").alias("zeilen"),
         F.count("utc").alias("momente"),

@@ -55,15 +55,17 @@ def prefix_relations(spark, folder):
     """Per place: the relations that touch it or a place above it with either end, each once."""
     edges = _edges(spark, folder)
     ends = [edges.select(F.col("verweis_nr").alias("id"), F.col(f"{side}_rw").alias("rw"), F.col(f"{side}_pfad").alias("pfad")) for side in ("von", "nach")]
-    return C.touching(ends[0].unionByName(ends[1]), _paths(spark, folder)).groupBy("regelwerk", "pfad").agg(F.count("*").alias("beziehungen"))
+    return C.touch_counts(ends[0].unionByName(ends[1]), _paths(spark, folder))
 
 
 # --- matrices and lookups ---------------------------------------------------------------------------------
 
+MATRIX_KINDS = ["rts", "its", "vo", "rl", "lz", "rs", "kat", "std", "gl", "dvo"]
+
 
 def mapping_matrix(spark, folder):
     """Relations by the kinds of the works at their two ends; kinds without a column of their own are counted in ``andere``."""
-    kinds = ["rts", "its", "vo", "rl", "lz", "rs", "kat", "std", "gl", "dvo"]
+    kinds = MATRIX_KINDS
     kind = lambda c: F.regexp_extract(c, r"-([a-z]+)-\d+$", 1)
     to = kind(F.col("nach_rw"))
     rows = _edges(spark, folder).select(kind(F.col("von_rw")).alias("von"), F.when(to.isin(kinds), to).otherwise("andere").alias("nach"))
@@ -226,6 +228,8 @@ _STAGE = """k AS (SELECT user_id, ts, event_id, event_type <> 'error' AS known F
 l AS (SELECT user_id, max((ts, event_id)) AS f FROM k WHERE NOT known GROUP BY user_id),
 s AS (SELECT k.user_id, CAST(least(4, CASE WHEN any_value(l.f) IS NULL THEN -1 ELSE 0 END + count(*) FILTER (known AND (l.f IS NULL OR (ts, event_id) > l.f))) AS INT) AS stufe, max(ts) AS zuletzt FROM k LEFT JOIN l USING (user_id) GROUP BY k.user_id)"""
 
+_TOUCH = " OR ".join(f"(e.{s}.rw = p.regelwerk AND (e.{s}.pfad IS NULL OR p.pfad = e.{s}.pfad OR (starts_with(p.pfad, e.{s}.pfad || '/') AND len(string_split(e.{s}.pfad, '/')) % 2 = 0)))" for s in ("von", "nach"))
+
 
 def _missing(name: str, key: str, fields: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT 'pflichtfeld' AS pruefung, '{name}' AS tabelle, CAST({key} AS VARCHAR) AS schluessel, '{f}' AS befund FROM {name} WHERE coalesce(trim({f}, ' '), '') = ''" for f in fields)
@@ -241,18 +245,19 @@ SQL = {
     "pair_counts_directed": f"WITH {_E} SELECT von_rw, nach_rw, count(*) AS anzahl FROM e GROUP BY ALL",
     "pair_counts_undirected": f"WITH {_U} SELECT * FROM u",
     "node_degree": f"WITH {_U} SELECT knoten, CAST(sum(anzahl) AS BIGINT) AS grad FROM (SELECT x AS knoten, anzahl FROM u UNION ALL SELECT y, anzahl FROM u) GROUP BY knoten",
-    "prefix_relations": f"""WITH {_E}, p AS (SELECT DISTINCT regelwerk, pfad FROM knoten WHERE pfad IS NOT NULL)
-        SELECT p.regelwerk, p.pfad, count(DISTINCT e.verweis_nr) AS beziehungen FROM p JOIN e ON e.nach_rw = p.regelwerk AND (e.nach_pfad IS NULL OR p.pfad = e.nach_pfad OR (starts_with(p.pfad, e.nach_pfad || '/') AND len(string_split(e.nach_pfad, '/')) % 2 = 0)) GROUP BY ALL""",
+    "prefix_relations": f"""WITH p AS (SELECT DISTINCT regelwerk, pfad FROM knoten WHERE pfad IS NOT NULL)
+        SELECT p.regelwerk, p.pfad, count(DISTINCT e.verweis_nr) AS beziehungen FROM p JOIN verweise e ON {_TOUCH} GROUP BY ALL""",
     "mapping_matrix": f"""WITH {_E}, k AS (SELECT regexp_extract(von_rw, '-([a-z]+)-\\d+$', 1) AS von, regexp_extract(nach_rw, '-([a-z]+)-\\d+$', 1) AS nach FROM e)
-        SELECT von, {", ".join(f"count(*) FILTER (nach = '{k}') AS {k}" for k in ("rts", "its", "vo", "rl", "lz"))} FROM k GROUP BY von""",
+        SELECT von, {", ".join(f"count(*) FILTER (nach = '{k}') AS {k}" for k in MATRIX_KINDS)}, count(*) FILTER (nach IS NULL OR nach NOT IN {tuple(MATRIX_KINDS)}) AS andere FROM k GROUP BY von""",
     "heatmap_stage": """WITH c AS (SELECT thema, regelwerk, count(*) AS fein FROM (SELECT thema, unnest(regelwerke) AS regelwerk FROM (SELECT unnest(themen) AS thema, regelwerke FROM meldungen)) GROUP BY ALL)
         SELECT thema, regelwerk, fein, CAST(least(4, ceil(fein * 4.0 / (SELECT max(fein) FROM c))) AS INT) AS stufe FROM c""",
     "duty_matrix": "SELECT art, min(titel['de']) AS de, min(titel['en']) AS en FROM knoten WHERE titel IS NOT NULL AND cardinality(titel) > 0 GROUP BY art",
     "raci_matrix": """WITH b AS (SELECT unnest(themen) AS thema, CASE kategorie WHEN 'Sanktion' THEN 'A' WHEN 'Rundschreiben' THEN 'R' WHEN 'Konsultation' THEN 'C' ELSE 'I' END AS b FROM meldungen)
         SELECT thema, count(*) FILTER (b = 'R') AS R, count(*) FILTER (b = 'A') AS A, count(*) FILTER (b = 'C') AS C, count(*) FILTER (b = 'I') AS I FROM b GROUP BY thema""",
     "timeline_union": r"""SELECT *, left(tag, 4) AS jahr FROM (SELECT DISTINCT regelwerk, left(regexp_replace(id, '\s', '', 'g'), 10) AS tag, 'fassung' AS art FROM fassungen UNION SELECT id, CAST(stand AS VARCHAR), 'lektion' FROM lektionen) WHERE tag IS NOT NULL""",
-    "footnote_match": """WITH w AS (SELECT DISTINCT id, f.rw AS k FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))), n AS (SELECT nr, unnest(regelwerke) AS k FROM meldungen)
-        SELECT nr, count(DISTINCT id) AS lektionen FROM n JOIN w USING (k) GROUP BY nr""",
+    "footnote_match": """WITH w AS (SELECT DISTINCT id, f.rw AS k FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))), n AS (SELECT nr, unnest(regelwerke) AS k FROM meldungen),
+        l AS (SELECT DISTINCT id, unnest(themen) AS thema FROM lektionen), m AS (SELECT nr, unnest(themen) AS thema FROM meldungen)
+        SELECT nr, count(DISTINCT id) AS lektionen FROM (SELECT nr, id FROM n JOIN w USING (k) UNION ALL SELECT nr, id FROM m JOIN l USING (thema)) GROUP BY nr""",
     "topic_lookup": """WITH l AS (SELECT thema, count(DISTINCT id) AS n FROM (SELECT id, unnest(themen) AS thema FROM lektionen) GROUP BY thema), m AS (SELECT thema, count(DISTINCT nr) AS n FROM (SELECT nr, unnest(themen) AS thema FROM meldungen) GROUP BY thema)
         SELECT coalesce(l.thema, m.thema) AS thema, coalesce(m.n, 0) AS meldungen, coalesce(l.n, 0) AS lektionen FROM m FULL JOIN l USING (thema)""",
     "catalog_filter": "SELECT DISTINCT regelwerk, pfad FROM knoten WHERE art = 'artikel' AND text AND geloescht IS NULL AND contains(lower(titel['de']), 'plan')",

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import versions as V
 from ..session import table
 from ..sources import files
+from .searching import clean_sql
 from .versioning import _nodes, _passages, _register
 
 
@@ -162,8 +163,10 @@ SQL = {
     "container_content": f"""WITH RECURSIVE {_N}, d AS (SELECT regelwerk, fassung, id AS oben, id AS auf, hat AS fertig FROM n WHERE NOT hat
         UNION ALL SELECT d.regelwerk, d.fassung, d.oben, n.id, n.hat FROM d JOIN n ON n.regelwerk = d.regelwerk AND n.fassung = d.fassung AND n.eltern = d.auf WHERE NOT d.fertig)
         SELECT regelwerk, fassung, oben, auf AS id FROM d WHERE fertig""",
-    "citation_export": f"""WITH p AS (SELECT regelwerk, fassung, knoten_id AS id, replace(string_agg({_ITEM}, chr(10) ORDER BY ord, punkt_nr), chr(10), ' ') AS t FROM punkte WHERE t IS NOT NULL GROUP BY ALL)
-        SELECT regelwerk, fassung, id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END || ' (' || regelwerk || ', Fassung ' || fassung || ')' AS zitat FROM p WHERE fassung IS NOT NULL AND id IS NOT NULL""",
+    "citation_export": f"""WITH p AS (SELECT regelwerk, fassung, knoten_id AS id, string_agg({_ITEM}, chr(10) ORDER BY ord, punkt_nr) AS t FROM punkte WHERE t IS NOT NULL AND fassung IS NOT NULL AND knoten_id IS NOT NULL GROUP BY ALL),
+        k AS (SELECT DISTINCT regelwerk, fassung, id, eltern FROM knoten WHERE eltern <> id),
+        a AS (SELECT regelwerk, fassung, id, 0 AS n, id AS kind, t FROM p UNION ALL SELECT regelwerk, fassung, k.eltern, 1, id, t FROM p JOIN k USING (regelwerk, fassung, id))
+        SELECT regelwerk, fassung, id, string_agg(t, chr(10) || chr(10) ORDER BY n, kind) || ' (' || concat_ws(', ', regelwerk, 'Fassung ' || fassung) || ')' AS zitat FROM a GROUP BY regelwerk, fassung, id""",
     "source_listing": "SELECT f.id, f.name, coalesce(nullif(trim(nutzung), ''), 'ungeklärt') AS nutzung, coalesce(m.n, 0) AS meldungen FROM feedquellen f LEFT JOIN (SELECT quelle, count(*) AS n FROM meldungen GROUP BY quelle) m ON m.quelle = f.id",
     "new_act_suggestions": "SELECT rw AS regelwerk, count(*) AS verweise, 60 AS punkte FROM (SELECT DISTINCT verweis_nr, nach.rw AS rw FROM verweise) WHERE rw IS NULL OR rw NOT IN (SELECT regelwerk FROM fassungen WHERE regelwerk IS NOT NULL) GROUP BY rw",
     "run_log": "SELECT charge, quelle, geprueft FROM (SELECT charge, quelle, min(eingang) AS start, count(*) AS geprueft FROM meldungen GROUP BY ALL) ORDER BY start DESC, charge, quelle LIMIT 60",
@@ -176,7 +179,8 @@ SQL = {
         w AS (SELECT regelwerk, fassung, id AS start, id AS ende, 0 AS schritte FROM n WHERE eltern IS NULL
           UNION ALL SELECT w.regelwerk, w.fassung, w.start, f.nach, w.schritte + 1 FROM w JOIN f ON f.regelwerk = w.regelwerk AND f.fassung = w.fassung AND f.von = w.ende)
         SELECT regelwerk, fassung, start, max(schritte) AS schritte, arg_max(ende, schritte) AS ende FROM w WHERE fassung IS NOT NULL GROUP BY ALL""",
-    "feed_scan": "SELECT nr, trim(regexp_replace(herausgeber, '\\s+', ' ', 'g')) AS titel, trim(url) AS url, kategorie AS text FROM meldungen WHERE trim(coalesce(herausgeber, '')) <> '' AND regexp_matches(lower(trim(url)), '^https?://.')",
+    "feed_scan": rf"""SELECT nr, {clean_sql("titel")} AS titel, regexp_replace(url, '^\s+|\s+$', '', 'g') AS url, nullif(regexp_replace(datum, '^\s+|\s+$', '', 'g'), '') AS datum, coalesce({clean_sql("zusammenfassung")}, '') AS text
+        FROM meldungen WHERE regexp_matches(titel, '\S') AND regexp_matches(lower(regexp_replace(url, '^\s+|\s+$', '', 'g')), '^https?://') AND strlen(regexp_replace(url, '^\s+|\s+$', '', 'g')) > 10""",
     "passages_per_version": f"""WITH r AS (SELECT DISTINCT regelwerk, {_ID} AS id FROM fassungen WHERE lieferung = 6), p AS (SELECT regelwerk, fassung AS id, count(DISTINCT coalesce(knoten_id, '')) AS n FROM punkte WHERE t IS NOT NULL GROUP BY ALL)
         SELECT r.regelwerk, r.id, coalesce(p.n, 0) AS stellen FROM r LEFT JOIN p USING (regelwerk, id)""",
 }

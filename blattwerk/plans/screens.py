@@ -71,7 +71,10 @@ def greedy_dedup_month(spark, folder):
 
 def feed_date_parse(spark, folder):
     """Every item's date as one UTC moment: RFC 2822, else RFC 3339, else null."""
-    return _news(spark, folder).select("nr", moments.utc_text(moments.feed_seconds_of(F.col("datum"))).alias("datum"))
+    raw = _news(spark, folder).select("nr", F.col("datum").alias("roh"))
+    words = raw.select("roh").where("roh is not null").distinct()  # every notation is read once
+    read = words.select("roh", moments.utc_text(moments.feed_seconds_of(F.col("roh"))).alias("datum"))
+    return raw.join(read, "roh", "left").select("nr", "datum")
 
 
 def feed_month_bucket(spark, folder):
@@ -162,8 +165,20 @@ r AS (SELECT w, min(nr) AS klasse FROM w GROUP BY w), rr AS (SELECT * FROM r WHE
 p AS (SELECT a.klasse AS a, b.klasse AS b, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.klasse < b.klasse GROUP BY ALL),
 l AS (SELECT p.a, p.b FROM p JOIN rr c ON c.klasse = p.a JOIN rr d ON d.klasse = p.b WHERE 10 * p.n > 7 * (len(c.w) + len(d.w) - p.n)),
 v AS (SELECT k, count(*) AS n FROM (SELECT a AS k FROM l UNION ALL SELECT b FROM l) GROUP BY k)"""
-_DATED = r"""(SELECT nr, strftime(CAST(replace(upper(datum), 'T', ' ') AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS datum FROM meldungen
-  WHERE regexp_full_match(datum, '\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})') AND TRY_CAST(replace(upper(datum), 'T', ' ') AS TIMESTAMPTZ) IS NOT NULL)"""
+_ZONES = "CASE " + " ".join(f"WHEN z = '{name}' THEN {minutes}" for name, minutes in moments.ZONES.items()) + " END"
+_MONTHS = "CASE mo " + " ".join(f"WHEN '{name}' THEN {n}" for n, name in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)) + " END"
+_WEEKDAY = "^(?:(mon|tue|wed|thu|fri|sat|sun) ?, ?)?"
+_MAIL = _WEEKDAY + r"(\d{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) (\d{2,4}) (\d{2}):(\d{2})(?::(\d{2}))? ([+-]\d{4}|[a-z]+)(?: ?\([^()]*\))?$"
+_ISO = r"^(\d{4})-(\d{2})-(\d{2})[t ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(z|[+-]\d{2}:\d{2})$"
+_DATED = rf"""(WITH r AS (SELECT nr, lower(trim(regexp_replace(regexp_replace(datum, '[\x{{FEFF}}\x{{200B}}\x{{200E}}\x{{200F}}\x{{2060}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))) AS r FROM meldungen),
+  m AS (SELECT nr, r, CASE WHEN regexp_matches(r, '{_MAIL}') THEN regexp_extract(r, '{_MAIL}', ['wd', 'd', 'mo', 'y', 'h', 'mi', 's', 'z']) END AS a, CASE WHEN regexp_matches(r, '{_ISO}') THEN regexp_extract(r, '{_ISO}', ['y', 'mo', 'd', 'h', 'mi', 's', 'z']) END AS b FROM r),
+  p AS (SELECT nr, a.wd AS wd, CAST(coalesce(a.d, b.d) AS INT) AS d, CASE WHEN a IS NULL THEN CAST(b.mo AS INT) ELSE (SELECT {_MONTHS} FROM (SELECT a.mo AS mo)) END AS mo,
+    CAST(coalesce(a.y, b.y) AS INT) + CASE WHEN a IS NULL OR length(a.y) = 4 THEN 0 WHEN length(a.y) = 2 AND CAST(a.y AS INT) < 50 THEN 2000 ELSE 1900 END AS y,
+    CAST(coalesce(a.h, b.h) AS INT) AS h, CAST(coalesce(a.mi, b.mi) AS INT) AS mi, CAST(coalesce(nullif(a.s, ''), b.s, '0') AS INT) AS s, coalesce(a.z, b.z) AS z FROM m),
+  t AS (SELECT nr, wd, s, h, mi, CASE WHEN d IS NOT NULL THEN TRY_CAST(lpad(CAST(y AS VARCHAR), 4, '0') || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) END AS tag,
+    CASE WHEN length(z) = 1 AND z <> 'j' THEN 0 WHEN regexp_matches(z, '^[+-]') THEN CAST(left(z, 1) || '1' AS INT) * nullif(CASE WHEN CAST(substr(z, 2, 2) AS INT) * 60 + CAST(right(z, 2) AS INT) > 1080 THEN -1 ELSE CAST(substr(z, 2, 2) AS INT) * 60 + CAST(right(z, 2) AS INT) END, -1) ELSE {_ZONES} END AS ost FROM p),
+  u AS (SELECT nr, wd, s, ost, CASE WHEN h <= 23 AND mi <= 59 AND s <= 60 THEN CAST(tag AS TIMESTAMP) + to_seconds(h * 3600 + mi * 60 + s) END AS ts FROM t)
+  SELECT nr, CASE WHEN coalesce(wd, '') = '' OR lower(strftime(ts, '%a')) = wd THEN strftime(ts - to_seconds(ost * 60), '%Y-%m-%dT%H:%M:%SZ') END AS datum FROM u)"""
 _POINTS = "(" + " + ".join(f"CAST(contains(lower(s), {_q(w.lower())}) AS INT)" for w in WORDS) + ")"
 
 SQL = {
@@ -181,7 +196,7 @@ SQL = {
         SELECT a.nr, CASE WHEN strlen(z) <= 150 THEN z WHEN j.t IS NULL AND z IS NOT NULL THEN left(z, 150) || '…' WHEN length(j.t) > 150 THEN left(j.t, 150) || '…' ELSE j.t END AS auszug FROM a LEFT JOIN j USING (nr)""",
     "title_similarity_links": f"WITH {_SETS} SELECT w.nr, r.klasse, coalesce(v.n, 0) AS verbindungen FROM w JOIN r ON r.w = w.w LEFT JOIN v ON v.k = r.klasse",
     "feed_date_parse": f"SELECT * FROM {_DATED}",
-    "feed_month_bucket": f"SELECT left(datum, 7) AS monat, count(*) AS meldungen FROM {_DATED} GROUP BY ALL",
+    "feed_month_bucket": f"SELECT coalesce(left(datum, 7), strftime(now() AT TIME ZONE 'UTC', '%Y-%m')) AS monat, count(*) AS meldungen FROM {_DATED} GROUP BY ALL",
     "month_directory": "SELECT strftime(eingang, '%Y-%m') AS monat, count(*) AS meldungen FROM meldungen GROUP BY ALL",
     "newest_n": """SELECT nr, strftime(eingang, '%Y-%m') AS monat FROM meldungen WHERE strftime(eingang, '%Y-%m') IN (SELECT DISTINCT strftime(eingang, '%Y-%m') AS m FROM meldungen ORDER BY m DESC LIMIT 2) ORDER BY eingang DESC, nr DESC LIMIT 40""",
     "digest_7d": """WITH f AS (SELECT nr, eingang FROM meldungen ORDER BY eingang DESC, nr DESC LIMIT 40) SELECT nr FROM f WHERE eingang >= (SELECT max(eingang) FROM f) - INTERVAL 7 DAY ORDER BY eingang DESC, nr DESC LIMIT 10""",

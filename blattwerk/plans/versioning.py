@@ -169,8 +169,8 @@ SQL = {
     "version_current": f"WITH {_REG} SELECT regelwerk, max(id) AS fassung FROM r GROUP BY regelwerk",
     "version_registry": f"""WITH {_REG} SELECT regelwerk, count(*) AS fassungen, arg_max_null(fundstellen, id) AS fundstellen, CAST(sum(fundstellen) AS BIGINT) AS alle_fundstellen,
         coalesce(string_agg(DISTINCT quelle, ',' ORDER BY quelle), '') AS quellen FROM r GROUP BY regelwerk""",
-    "version_ids": r"""SELECT zeile, regelwerk, tag || repeat('b', CAST(row_number() OVER (PARTITION BY regelwerk, tag ORDER BY zeile) - 1 AS INT)) AS fassung
-        FROM (SELECT zeile, regelwerk, left(regexp_replace(id, '\s', '', 'g'), 10) AS tag FROM fassungen WHERE lieferung = 1)""",
+    "version_ids": r"""WITH v AS (SELECT regelwerk, regexp_replace(id, '\s', '', 'g') AS id, min((lieferung, zeile)) AS erst FROM fassungen GROUP BY ALL)
+        SELECT erst[2] AS zeile, regelwerk, left(id, 10) || repeat('b', CAST(row_number() OVER (PARTITION BY regelwerk, left(id, 10) ORDER BY erst) - 1 AS INT)) AS fassung FROM v""",
     "change_log": f"WITH {_DIFF} SELECT regelwerk, fassung, count(*) FILTER (art = 'neu') AS neu, count(*) FILTER (art = 'geaendert') AS geaendert, count(*) FILTER (art = 'entfallen') AS entfallen FROM d GROUP BY ALL",
     "title_merge": "SELECT regelwerk, id, min(titel['de']) AS de, min(titel['en']) AS en FROM knoten WHERE titel IS NOT NULL AND cardinality(titel) > 0 GROUP BY ALL",
     "subtree_hash": f"""WITH {_TREE}, h AS (SELECT regelwerk, fassung, id, left(sha256(concat_ws('|', pfad, art, nummer)), 32) AS h FROM n)

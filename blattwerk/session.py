@@ -20,10 +20,13 @@ _OWN: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only a session without that setting (a test, a notebook) gets a temporary folder of its own.
+    Only a session on one machine without that setting (a test, a notebook) gets a temporary folder of its own; on a cluster
+    that would be a folder no other executor sees, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="blattwerk-"))
         folder = _OWN[0]
@@ -59,6 +62,12 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path."""
+    fs, where = _file_system(spark, path)
+    return bool(fs.exists(where))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder."""
     fs, where = _file_system(spark, path)

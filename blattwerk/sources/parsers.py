@@ -301,7 +301,12 @@ def questions(page: str) -> Outline:
 
 def control_label(href: str) -> str:
     """The label a reference names: #ac-2.1 is AC-2(1)."""
-    return re.sub(r"\.(\d+)$", r"(\1)", href.lstrip("#").upper())
+    name, dot, number = href.lstrip("#").upper().partition(".")
+    return f"{name}({number})" if dot else name
+
+
+# Fixed value: how a control's wording refers to a parameter.
+_PARAM = re.compile(r"\{\{\s*insert:\s*param,\s*([^\s}]+)\s*\}\}")
 
 
 def catalog(text: str) -> Outline:
@@ -321,52 +326,54 @@ def catalog(text: str) -> Outline:
         for c in [*part.get("groups", []), *part.get("controls", [])]:
             collect(c)
 
-    def value(key: str, seen: tuple[str, ...] = ()) -> str:
+    def name_of(key: str) -> str:
+        return params.get(key, {}).get("label") or "…"
+
+    def value(key: str) -> str:
+        """How a parameter is shown: assigned by its label, else a choice, whose own parameters show their labels; […] if nothing is known of it."""
         p = params.get(key, {})
-        if key in seen:
-            return key
-        if "select" in p:
-            several = ", eine oder mehrere" if p["select"].get("how-many") == "one-or-more" else ""
-            inner = " | ".join(filled(c, (*seen, key), bare=True) for c in p["select"].get("choice", []))
-            return f"[Auswahl{several}: {inner}]"
-        return p.get("label", key) if seen else f"[Zuweisung: {p.get('label', key)}]"
-
-    def filled(prose: str, seen: tuple[str, ...] = (), bare: bool = False) -> str:
-        prose = re.sub(r"\{\{\s*insert:\s*param,\s*([\w.-]+)\s*\}\}", lambda m: value(m[1], seen if bare else ()), prose)
-        return squeeze(re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", prose))
-
-    def label(c: dict) -> str:
-        found = [p for p in c.get("props", []) if p.get("name") == "label"]
-        return next((p["value"] for p in found if "class" not in p), found[0]["value"] if found else c["id"].upper())
-
-    def statement(part: dict, depth: int) -> list[Block]:
+        if isinstance(p.get("label"), str):
+            return f"[Zuweisung: {p['label']}]"
+        if "select" not in p:
+            return "[…]"
+        several = ", eine oder mehrere" if p["select"].get("how-many") == "one-or-more" else ""
+        choices = [_PARAM.sub(lambda m: name_of(m[1]), c) for c in p["select"].get("choice", [])]
+        return f"[Auswahl{several}: {' | '.join(choices)}]"
+
+    def filled(prose: str) -> str:
+        return " ".join(re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", _PARAM.sub(lambda m: value(m[1]), prose)).split())
+
+    def mark(part: dict) -> str:
+        return next((p.get("value", "") for p in part.get("props", []) if p.get("name") == "label" and "class" not in p), "")
+
+    def items(part: dict, depth: int) -> list[Block]:
         blocks = []
-        if part.get("prose"):
-            mark = next((p["value"] for p in part.get("props", []) if p.get("name") == "label"), None)
-            blocks.append(Block(filled(part["prose"]), mark, max(0, depth)))
-        for p in part.get("parts", []):
-            blocks += statement(p, depth + 1)
+        for p in (p for p in part.get("parts", []) if p.get("name") == "item"):
+            blocks.append(Block(filled(p.get("prose", "")), mark(p), depth))
+            blocks += items(p, depth + 1)
         return blocks
 
     def control(c: dict, above: Node) -> None:
-        node = out.add(Node(c["id"], "control", label(c), label(c), c.get("title"), f"c/{c['id']}", above))
+        node = out.add(Node(c["id"], "control", mark(c), mark(c), c.get("title"), f"c/{c['id']}", above))
         for part in c.get("parts", []):
             if part.get("name") == "statement":
-                node.blocks += statement(part, -1)
+                node.blocks += ([Block(filled(part["prose"]))] if part.get("prose") else []) + items(part, 0)
             elif part.get("name") == "guidance" and part.get("prose"):
                 node.blocks.append(Block("Discussion: " + filled(part["prose"])))
         links = c.get("links", [])
         if any(p.get("name") == "status" and p.get("value") == "withdrawn" for p in c.get("props", [])):
             to = ", ".join(control_label(x["href"]) for x in links if x.get("rel") in ("incorporated-into", "moved-to"))
-            node.blocks = [Block("Withdrawn – incorporated into or moved to: " + to)]
-        elif related := [control_label(x["href"]) for x in links if x.get("rel") == "related"]:
+            node.blocks.insert(0, Block("Withdrawn" + (f" – incorporated into or moved to: {to}" if to else "")))
+        if related := [control_label(x["href"]) for x in links if x.get("rel") == "related"]:
             node.blocks.append(Block("Related controls: " + ", ".join(related)))
         for inner in c.get("controls", []):
             control(inner, node)
 
     collect(root)
     for g in root.get("groups", []):
-        family = out.add(Node(g["id"], "gruppe", g["id"].upper(), g["id"].upper(), g.get("title"), f"fam/{g['id']}"))
+        if not g.get("id"):
+            continue
+        family = out.add(Node(f"fam_{g['id']}", "teil", g["id"].upper(), g["id"].upper(), g.get("title"), f"fam/{g['id']}"))
         for c in g.get("controls", []):
             control(c, family)
     return out.require(100)
@@ -407,29 +414,53 @@ def summary(text: str) -> Outline:
 # --- feeds ------------------------------------------------------------------------------------------------
 
 
+# Named entities that feeds use beyond those of XML, and their characters; other names become blanks.
+ENTITIES = {"nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "euro": "€", "ndash": "–", "mdash": "–", "bdquo": "„", "ldquo": "“", "rdquo": "“", "quo": "“"}
+# The entities of XML, in the order in which they are resolved in cleaned text.
+XML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def named_entities(text: str) -> str:
+    """Named entities as characters; those of XML and numeric ones stay."""
+    return re.sub(r"&([a-zA-Z][a-zA-Z0-9]{1,10});", lambda m: m[0] if m[1] in XML_ENTITIES else ENTITIES.get(m[1], " "), text)
+
+
+def clean_text(text: str) -> str:
+    """Feed text without tags, entities resolved, blanks squeezed; what stood between the tags stays, also that of scripts."""
+    out = named_entities(re.sub(r"<[^>]*>", " ", text))
+    for name, char in XML_ENTITIES.items():
+        out = out.replace(f"&{name};", char)
+    return " ".join(out.split())
+
+
+def is_web_address(url: str) -> bool:
+    """An http or https address of more than ten bytes."""
+    plain = url.strip().lower()
+    return plain.startswith(("http://", "https://")) and len(plain.encode()) > 10
+
+
 def feed(xml: str) -> list[dict]:
-    """Entries of an RSS 2.0 or Atom feed: titel, url, datum, text. Entries without title or web address are dropped."""
-    from html import unescape
+    """Entries of an RSS 2.0 or Atom feed: titel, url, datum, text; title and text cleaned. Entries without title or web address are dropped.
 
-    named = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)(\w+);", lambda m: unescape(m[0]) if unescape(m[0]) != m[0] else " ", xml)
+    Of each field the first element of a name counts, with the wording before its first child. The address is the link's wording, else
+    its href, else the guid; the date that of publishing (RSS), updating, publishing (Atom); the text the description, else the
+    summary, else the content.
+    """
     try:
-        root = ET.fromstring(named.strip())
+        root = ET.fromstring(named_entities(xml).strip())
     except ET.ParseError as e:
         raise SourceError(f"no feed: {e}") from e
-    local = lambda e: e.tag.rpartition("}")[2]
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     out = []
     for entry in (e for e in root.iter() if local(e) in ("item", "entry")):
-        fields: dict[str, str] = {}
+        first: dict[str, ET.Element] = {}
         for c in entry:
-            name, text = local(c), squeeze("".join(c.itertext()))
-            if name == "link" and not text:
-                text = c.get("href", "") if c.get("rel", "alternate") == "alternate" else ""
-            if text and name not in fields:
-                fields[name] = text
-        url = fields.get("link") or fields.get("guid") or ""
-        if fields.get("title") and re.match(r"(?i)https?://.", url):
-            first = lambda *names: next((fields[n] for n in names if n in fields), None)
-            out.append({"titel": fields["title"], "url": url, "datum": first("pubDate", "published", "updated"), "text": read_html(unescape(first("description", "summary", "content", "encoded") or "")).text()})
+            first.setdefault(local(c), c)
+        said = {name: text for name, e in first.items() if (text := (e.text or "").strip())}
+        any_of = lambda *names: next((said[n] for n in names if n in said), None)
+        url = any_of("link") or ("link" in first and first["link"].get("href")) or any_of("guid") or ""
+        if "title" in said and is_web_address(url):
+            out.append({"titel": clean_text(said["title"]), "url": url, "datum": any_of("pubDate", "updated", "published"), "text": clean_text(any_of("description", "summary", "content") or "")})
     return out
 
 

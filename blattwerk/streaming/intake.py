@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text as X
 from ..operators import screening as S
+from ..session import stored
 
 
 def scored(news: DataFrame, lexicon: S.Lexicon, threshold: int) -> DataFrame:
@@ -32,14 +33,11 @@ def merge_months(batch: DataFrame, store: str, number: int) -> None:
     spark = batch.sparkSession
     own = f"{store}/stapel={number}"
     fresh = batch.withColumn("_neu", F.lit(1))
-    try:
-        old = spark.read.parquet(store).where(F.col("stapel") != number).drop("stapel").withColumn("_neu", F.lit(0))
+    if stored(spark, store):
+        old = spark.read.schema(f"{batch._jdf.schema().toDDL()}, stapel INT").parquet(store).where(F.col("stapel") != number).drop("stapel").withColumn("_neu", F.lit(0))
         months = batch.select("monat").distinct()
         near = old.join(months, "monat", "left_semi").select(fresh.columns)
         fresh = fresh.join(near.select("monat", "kennung").distinct(), ["monat", "kennung"], "left_anti").unionByName(near)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
     ranked = fresh.withColumn("_rang", F.struct("_neu", "zeit", "kennung"))
     order = F.concat_ws("|", F.col("_neu").cast("string"), F.date_format("zeit", "yyyyMMddHHmmssSSSSSS"), "kennung")
     keyed = ranked.drop("_rang").withColumn("_folge", order)

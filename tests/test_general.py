@@ -55,16 +55,34 @@ def test_changes_against_brute_force(spark, seed):
 
 def test_ordinals_persist(spark):
     first = spark.createDataFrame([(f"k{i}", 1) for i in range(50)], "k string, s int")
-    known = S.assign_ordinals(first, ["k"], "s", 4).select("k", "bucket", "ordinal").cache()
+    known = S.new_ordinals(first, ["k"], "s", 4).cache()
     more = spark.createDataFrame([(f"k{i}", 2) for i in range(20, 90)] + [(None, 2)], "k string, s int")
-    both = S.assign_ordinals(more, ["k"], "s", 4, known)
-    old, new = ({r.k: (r.bucket, r.ordinal) for r in d.collect()} for d in (known, both))
-    assert all(new[k] == v for k, v in old.items()) and len(new) == 91 and len(set(new.values())) == 91
+    added = S.new_ordinals(more, ["k"], "s", 4, known)
+    old, new = ({r.k: (r.bucket, r.ordinal) for r in d.collect()} for d in (known, added))
+    assert not old.keys() & new.keys() and len(old | new) == 91 and len({*old.values(), *new.values()}) == 91
     for b in range(4):  # dense: every bucket counts from 0
-        numbers = sorted(o for x, o in new.values() if x == b)
+        numbers = sorted(o for x, o in [*old.values(), *new.values()] if x == b)
         assert numbers == list(range(len(numbers)))
 
 
+def test_snapshots_one_by_one_or_all_at_once(spark, tmp_path):
+    """A register carries on: each call reads its new snapshot only, keeps all ordinals, and together they find what one call finds."""
+    rng = random.Random(5)
+    rows = [(l, f"k{k}", dt.datetime(2025, 1, 1), rng.choice("xyz")) for l in (1, 2, 4) for k in range(40) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "l int, k string, e timestamp_ntz, v string")
+    whole = {tuple(r) for r in S.changes(df, ["k"], "l", ["e"], [F.col("v")], buckets=4).collect()}
+    path, found, numbers = f"file://{tmp_path}/register", set(), {}
+    for l in (1, 2, 4):
+        # earlier snapshots are there no more, or spoilt: they are not read again
+        seen = df.where(F.col("l") == l).unionByName(df.where(F.col("l") < l).withColumn("v", F.lit("verdorben")))
+        found |= {tuple(r) for r in S.changes(seen, ["k"], "l", ["e"], [F.col("v")], path, 4).collect()}
+        now = {r.k: (r.bucket, r.ordinal) for r in spark.read.parquet(f"{path}/ordnungszahlen").collect()}
+        assert numbers.items() <= now.items()
+        numbers = now
+    assert found == whole == brute([(l, k, e, v) for l, k, e, v in rows])
+    assert S.changes(df, ["k"], "l", ["e"], [F.col("v")], path, 4).count() == 0  # nothing new
+
+
 def test_register_spellings(spark):
     rows = [("sha256:ABC", "abc"), (" abc\n", "abc"), ("-", None), ("", None), (None, None), ("k. A.", None)]
     got = spark.createDataFrame(rows, "h string, e string").select(S.canonical_hash(F.col("h")).alias("g"), "e").collect()
@@ -116,6 +134,16 @@ def test_dictionary_grows_and_joins_back(spark, tmp_path):
     assert T.normalise(more.limit(0), second).count() == 0
 
 
+def test_known_values_are_not_parsed_again(spark, tmp_path):
+    """A dictionary of earlier runs is used as it is: a planted value comes back, and only new values are added."""
+    path = f"file://{tmp_path}/worte"
+    rows = spark.createDataFrame([(1, "2024-02-07", "UTC"), (2, "08.02.2024", "UTC")], "nr int, roh string, zone string")
+    spark.createDataFrame([("2024-02-07", "UTC", 0)], "roh string, zone string, sekunden long").write.parquet(path)
+    assert {r.nr: r.utc for r in T.normalise(rows, T.dictionary_of(spark, rows, path)).collect()} == {1: "1970-01-01T00:00:00Z", 2: "2024-02-08T00:00:00Z"}
+    T.dictionary_of(spark, rows, path)
+    assert spark.read.parquet(path).count() == 2
+
+
 # --- references -------------------------------------------------------------------------------------------
 
 
@@ -151,6 +179,31 @@ def test_match_semantics(spark):
         found("anders")
 
 
+def test_required_columns(spark):
+    """A path without a work is an orphan, since works must be equal, whatever the periods."""
+    day = dt.datetime(2024, 1, 1)
+    k = spark.createDataFrame([("a", "x", day, None), ("a", "y", None, day)], "w string, p string, von timestamp_ntz, bis timestamp_ntz")
+    r = spark.createDataFrame([(1, "a", "x", day), (2, None, "x", day), (3, "a", None, day), (4, None, None, day), (5, None, "x", None), (6, "a", "y", day)], "n int, w string, p string, t timestamp_ntz")
+    found = lambda **more: {(x.n, x.grund) for x in R.orphans(r, k, [("w", "w"), ("p", "p")], "partial", "t", ("von", "bis"), **more).collect()}
+    assert found() == {(6, "geloescht")} and found(required=("w",)) == {(2, "fehlt"), (6, "geloescht")}
+
+
+def test_p4_null_work(spark, tmp_path):
+    import duckdb
+
+    from blattwerk.plans import general
+
+    place, day = "struct<rw string, pfad string>", dt.datetime(2024, 3, 1)
+    spark.createDataFrame([("w", "art/1", day, None)], "regelwerk string, pfad string, erfasst timestamp_ntz, geloescht timestamp_ntz").write.parquet(f"{tmp_path}/knoten.parquet")
+    spark.createDataFrame([(1, (None, "art/1"), ("w", "/ART/1 "), day), (2, ("w", None), (None, None), day), (3, ("v", None), ("w", "art/2"), day)] * 2, f"verweis_nr long, von {place}, nach {place}, erfasst timestamp_ntz").write.parquet(f"{tmp_path}/verweise.parquet")
+    spark.createDataFrame([], f"id string, stand date, abschnitte array<struct<fundstellen array<{place}>>>").write.parquet(f"{tmp_path}/lektionen.parquet")
+    got = {tuple(r) for r in R.p4_found(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("knoten", "verweise", "lektionen"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == set(con.sql(general.SQL["p4_found"]).fetchall()) == {("verweise", "1", "von", "2024-03", "fehlt"), ("verweise", "3", "von", "2024-03", "fehlt"), ("verweise", "3", "nach", "2024-03", "fehlt")}
+
+
 def test_canonical_paths(spark):
     got = spark.createDataFrame([(x,) for x in ("/Art/5/", " art/5", "ART/5 ", "art/5")], "p string").select(R.canonical_path(F.col("p")).alias("p")).distinct().collect()
     assert [r.p for r in got] == ["art/5"]
