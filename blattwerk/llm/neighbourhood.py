@@ -180,10 +180,11 @@ def read_item(title: str | None, summary: str | None, kind: str | None, reasons:
 
 def one_edit(a: str, b: str) -> bool:
     """Whether two different strings are one insertion, deletion, replacement or swap of neighbours apart, digits untouched."""
-    if abs(len(a) - len(b)) > 1 or re.sub(r"\D", "", a) != re.sub(r"\D", "", b):
+    if abs(len(a) - len(b)) > 1:
         return False
     i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    near = a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    return near and re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
 
 
 def _alike(a: str, b: str, sure: bool) -> bool:
@@ -196,32 +197,33 @@ def _alike(a: str, b: str, sure: bool) -> bool:
 def same_news(a: tuple, b: tuple) -> bool:
     """Whether two records tell the same: all they both say is equal, and what one lacks is found in its wording.
 
-    A name may differ by one slip of the pen if one of the two is not confirmed by a summary. Where both lack the name, the wording
-    must be alike (nine words in ten, or the whole of one's core in the other's with equal matter and some figure); where both lack the
-    matter, the core of each must occur in the other.
+    A name may differ by one slip of the pen if one of the two is not confirmed by a summary. Where both lack the name, nine words
+    in ten of their wording must be equal; where both lack the matter, the core of each must occur in the other.
     """
-    kind_a, subject_a, matter_a, *figures_a, words_a, core_a, sure_a = a
-    kind_b, subject_b, matter_b, *figures_b, words_b, core_b, sure_b = b
+    kind_a, subject_a, matter_a, number_a, amount_a, period_a, words_a, core_a, sure_a = a
+    kind_b, subject_b, matter_b, number_b, amount_b, period_b, words_b, core_b, sure_b = b
     if a == b:
         return bool(subject_a or words_a)
     if kind_a != kind_b and kind_a and kind_b:
         return False
-    if any(x != y and (x and y or not (words_a or words_b)) for x, y in zip(figures_a, figures_b, strict=True)):
-        return False
-    left, right = set(words_a.split()), set(words_b.split())
-    if not (subject_a or subject_b):
-        return bool(left) and 10 * len(left & right) >= 9 * len(left | right)
-    if not matter_a and not matter_b:
-        one, other = set(core_a.split()), set(core_b.split())
-        if not (one and other and one <= right and other <= left):
-            return False
-    elif matter_a != matter_b:
-        missing = words_b if not matter_b else words_a if not matter_a else ""
-        if not missing or (matter_a or matter_b) not in missing:
+    gap = words_a or words_b
+    for x, y in ((number_a, number_b), (amount_a, amount_b), (period_a, period_b)):
+        if x != y and (x and y or not gap):
             return False
     if subject_a and subject_b:
-        return _alike(subject_a, subject_b, sure_a and sure_b)
-    return f" {subject_a or subject_b} " in f" {words_b if not subject_b else words_a} "
+        if not _alike(subject_a, subject_b, sure_a and sure_b):
+            return False
+    elif subject_a or subject_b:
+        if f" {subject_a or subject_b} " not in f" {words_b if not subject_b else words_a} ":
+            return False
+    else:
+        left, right = set(words_a.split()), set(words_b.split())
+        return bool(left) and 10 * len(left & right) >= 9 * len(left | right)
+    if matter_a == matter_b:
+        return bool(matter_a) or bool(core_a and core_b) and set(core_a.split()) <= set(words_b.split()) and set(core_b.split()) <= set(words_a.split())
+    if matter_a and matter_b:
+        return False
+    return (matter_a or matter_b) in (words_b if not matter_b else words_a)
 
 
 # --- runs -------------------------------------------------------------------------------------------------
@@ -412,7 +414,7 @@ class Runs:
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         laid = rows.select(*_ROW).repartition(self.ranges, "bereich").sortWithinPartitions("bereich", "schluessel")
-        laid.write.option("compression", "zstd").bucketBy(self.ranges, "bereich").sortBy("schluessel").format("parquet").option("path", self.path).mode(mode).saveAsTable(self.name)
+        laid.write.bucketBy(self.ranges, "bereich").sortBy("schluessel").format("parquet").option("path", self.path).mode(mode).saveAsTable(self.name)
 
     def _fresh_table(self) -> None:
         self.name, self.path = f"laeufe_{uuid.uuid4().hex}", new_place(self.spark, "laeufe")
@@ -497,20 +499,22 @@ def merge_batch(runs: Runs, recs: DataFrame, window: int = WINDOW) -> DataFrame:
     Wordless records have none: they are news of their own. Nulls in any column are gaps, not differences; an empty batch
     changes nothing.
     """
-    spark = runs.spark
-    batch = written(entries(recs), "eintraege", own := new_place(spark, "eintraege"))
-    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"{e} AS {c}" for c, e in _CODES.items()])
+    spark, batch, begun = runs.spark, entries(recs), ""
     if runs.name is None:
-        runs.cut(keyed)
+        begun = new_place(spark, "eintraege")
+        batch = written(batch, "eintraege", begun)
     elif runs.runs > runs.most:
         runs.compact()
+    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"{e} AS {c}" for c, e in _CODES.items()], *_CONTENT)
+    if begun:
+        runs.cut(keyed)
     keyed, seen = _observed(runs.placed(keyed), "schluessel", place := new_place(spark, "schluessel"), touched=F.collect_set("bereich"))
-    batch = batch.select("nr", *_CONTENT)
+    batch = keyed.where(F.col("schluessel").startswith("1")).select("nr", *_CONTENT)  # every entry has one key of that order
     roots = _roots(batch, *neighbours(runs, keyed, set(seen["touched"]), window))
     runs.append(keyed.drop("erste").join(roots, "nr"))
-    remove(spark, place)
     known = written(batch.join(roots, "nr").select(*_CONTENT, "erste"), "bekannt")
-    remove(spark, own)
+    for done in filter(None, (place, begun)):
+        remove(spark, done)
     return known
 
 
@@ -525,7 +529,7 @@ def deduplicate(spark: SparkSession, items: DataFrame, batch: str = "charge", ba
     place = new_place(spark, "saetze")
     content = [F.expr(f"xxhash64({seed}, {', '.join(FIELDS)})").alias(c) for seed, c in enumerate(_CONTENT)]
     recs = records(items.withColumn("_stapel", F.coalesce(F.col(batch), F.lit(-1)).cast("int"))).select("*", *content)
-    recs.write.option("compression", "zstd").partitionBy("_stapel").parquet(place)
+    recs.write.partitionBy("_stapel").parquet(place)
     recs = spark.read.schema(f"nr bigint, {_ENTRY}, _h1 bigint, _h2 bigint, _stapel int").parquet(place)
     numbers = sorted(r[0] for r in recs.select("_stapel").distinct().collect())  # one per delivery
     steps = [s for s in [numbers[:1], *[numbers[i : i + backlog] for i in range(1, len(numbers), backlog)]] if s]
