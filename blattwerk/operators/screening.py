@@ -21,6 +21,7 @@ class Term:
     weight: int
     synonyms: tuple[str, ...] = ()
     topics: tuple[str, ...] = ()
+    works: tuple[str, ...] = ()
 
     @property
     def variants(self) -> tuple[str, ...]:
@@ -34,7 +35,7 @@ class Lexicon:
 
 
 def score(title: Column, text: Column, lexicon: Lexicon) -> dict[str, Column]:
-    """``punkte``, ``begruendung`` and ``themen`` of an item, as one projection of literal patterns.
+    """``punkte``, ``begruendung``, ``themen`` and ``regelwerke`` of an item, as one projection of literal patterns.
 
     Words are sought at the start of a word in lower case, acronyms as they are written. Null texts are empty.
     """
@@ -44,7 +45,9 @@ def score(title: Column, text: Column, lexicon: Lexicon) -> dict[str, Column]:
     def occurs(where: Column, word: str) -> Column:
         return X.starts_a_word(where, word) if X.is_acronym(word) else X.starts_a_word(F.lower(where), word.lower())
 
-    points, reasons, topics = [], [], []
+    points, reasons, topics, works = [], [], [], []
+    of = lambda hit, names: F.when(hit, F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).otherwise(F.array().cast("array<string>"))
+    union = lambda parts: F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))) if parts else F.array().cast("array<string>")
     for word in lexicon.excluded:
         hit = occurs(whole, word) if not X.is_acronym(word) else X.starts_a_word(F.lower(whole), word.lower())
         points.append(F.when(hit, EXCLUDED).otherwise(0))
@@ -58,11 +61,13 @@ def score(title: Column, text: Column, lexicon: Lexicon) -> dict[str, Column]:
             reason = F.when(hit, F.when(doubled, label[0]).otherwise(label[1])).otherwise(reason)
         points.append(gain)
         reasons.append(reason)
-        topics.append(F.when(reason.isNotNull(), F.array(*map(F.lit, term.topics)) if term.topics else F.array().cast("array<string>")).otherwise(F.array().cast("array<string>")))
+        topics.append(of(reason.isNotNull(), term.topics))
+        works.append(of(reason.isNotNull(), term.works))
     return {
         "punkte": sum(points, F.lit(0)),
         "begruendung": F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"),
-        "themen": F.array_sort(F.array_distinct(F.flatten(F.array(*topics)))) if topics else F.array().cast("array<string>"),
+        "themen": union(topics),
+        "regelwerke": union(works),
     }
 
 
@@ -112,38 +117,52 @@ def similar_titles(items: DataFrame, key: str, title: str, within: list[str] | N
     """Titles whose word sets are alike: Jaccard above 0.7, at least three words each.
 
     Returns (pairs, membership): pairs (a, b, a < b) between representatives, that is the first item of each distinct word
-    set, and membership (key, klasse) of every item in the set's representative. Exact: two sets that are alike share one
-    of their rarest words, as many as may be missing plus one, so only those are joined; copies are never paired.
+    set, and membership (key, klasse) of every item in the set's representative. With ``within`` only titles of the same group.
+    Exact: two sets that are alike share three of their rarest words, as many as may be missing plus three, so titles are
+    joined on their group and three such words, whose sizes must fit; copies are never paired.
     """
     within = within or []
     sets = items.select(*within, key, title_words(F.col(title)).alias("w"))
     reps = sets.groupBy(*within, "w").agg(F.min(key).alias("klasse"))
-    membership = sets.join(reps, [*within, "w"]) if not within else sets.alias("s").join(reps.alias("r"), [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*within, "w"]]).select("s.*", "r.klasse")
-    reps = written(reps.where(F.size("w") >= 3), "titel")
-    words = reps.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ordered = reps.select("klasse", F.size("w").alias("k"), F.explode("w").alias("t")).join(words, "t")
-    prefix = F.row_number().over(Window.partitionBy("klasse").orderBy("n", "t"))
-    # Jaccard > 7/10 needs more than 7k/10 common words; sets with o common words share two of their k - o + 2 rarest ones
-    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 2
-    rare = written(ordered.withColumn("_p", prefix).where(F.col("_p") <= keep).select("t", "klasse", "_p"), "seltene")
-    two = rare.alias("x").join(rare.alias("y"), (F.col("x.klasse") == F.col("y.klasse")) & (F.col("x._p") < F.col("y._p"))).select(F.col("x.t").alias("t"), F.col("y.t").alias("u"), F.col("x.klasse").alias("klasse"))
-    near = two.alias("x").join(two.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.u") == F.col("y.u")) & (F.col("x.klasse") < F.col("y.klasse"))).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
-    sides = near.join(reps.select(F.col("klasse").alias("a"), *[F.col(c).alias(f"_{c}a") for c in within], F.col("w").alias("wa")), "a").join(reps.select(F.col("klasse").alias("b"), *[F.col(c).alias(f"_{c}b") for c in within], F.col("w").alias("wb")), "b")
-    for c in within:
-        sides = sides.where(F.col(f"_{c}a").eqNullSafe(F.col(f"_{c}b")))
-    alike = 10 * F.size(F.array_intersect("wa", "wb")) > 7 * F.size(F.array_union("wa", "wb"))
+    same = lambda names: [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+    membership = sets.alias("s").join(reps.alias("r"), same([*within, "w"])).select("s.*", "r.klasse")
+    group = F.xxhash64(*within) if within else F.lit(0).cast("bigint")  # groups as numbers; null is a group like any other
+    reps = written(reps.where(F.size("w") >= 3).select("klasse", "w", F.size("w").alias("k"), group.alias("g")), "titel")
+    words = reps.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    ordered = reps.select("klasse", "g", "k", F.explode("w").alias("t")).join(words, ["g", "t"])
+    # Jaccard > 7/10 needs more than 7k/10 common words; sets with o common words share three of their k - o + 3 rarest ones
+    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 3
+    rare = ordered.groupBy("klasse", "g", "k").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_a")).withColumn("_a", F.transform("_a", lambda x: x["t"]))
+    rare = rare.select("klasse", "g", "k", F.slice("_a", 1, keep.cast("int")).alias("p"))
+    three = F.flatten(F.transform("p", lambda a, i: F.flatten(F.transform(F.slice("p", i + 2, F.size("p")), lambda b, j: F.transform(F.slice("p", i + j + 3, F.size("p")), lambda c: F.xxhash64(a, b, c))))))
+    signed = written(rare.select("klasse", "g", "k", F.explode(F.array_distinct(three)).alias("t")), "seltene")
+    x, y = signed.alias("x"), signed.alias("y")
+    fits = (10 * F.least("x.k", "y.k") > 7 * F.greatest("x.k", "y.k")) & (F.col("x.klasse") < F.col("y.klasse"))
+    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
+    sides = near.join(reps.select(F.col("klasse").alias("a"), F.col("g").alias("_ga"), F.col("w").alias("wa")), "a").join(reps.select(F.col("klasse").alias("b"), F.col("g").alias("_gb"), F.col("w").alias("wb")), "b")
+    alike = (F.col("_ga") == F.col("_gb")) & (10 * F.size(F.array_intersect("wa", "wb")) > 7 * F.size(F.array_union("wa", "wb")))
     return sides.where(alike).select("a", "b"), membership.select(*within, key, "klasse", (F.size("w") >= 3).alias("vergleichbar"))
 
 
-def greedy_selection(items: DataFrame, key: str, title: str, within: list[str]) -> DataFrame:
+def greedy_selection(items: DataFrame, key: str, title: str, within: list[str], stored: str | None = None, id_: str | None = None) -> DataFrame:
     """Items in the order of ``key``, each taken unless its title is alike to one taken before in its group: (*within, key).
 
+    ``stored``: a column that says which items are there already: they stay, whatever their titles, and must come first in the order.
+    ``id_``: new items with the id of a stored one of their group are known and not taken; two new ones may have the same.
+
     The outcome of the sequential loop, found in parallel: an item with no earlier undecided rival is taken, its rivals
     are dropped, until all are decided. Rounds are as many as the longest chain of rivals is long. Of equal word sets only
     the first can be taken; titles of under three words have no rivals.
     """
+    there = F.coalesce(F.col(stored), F.lit(False)) if stored else F.lit(False)
+    items = items.select(*within, key, title, there.alias("_da"), *([F.col(id_).alias("_id")] if id_ else []))
+    if id_:
+        known = items.where("_da").select(*within, "_id").distinct()
+        same = [F.col(f"i.{c}").eqNullSafe(F.col(f"k.{c}")) for c in within] + [F.col("i._id") == F.col("k._id"), ~F.col("i._da")]
+        items = written(items.alias("i").join(known.alias("k"), same, "left_anti"), "unbekannte")
     pairs, membership = similar_titles(items, key, title, within)
-    edges = written(pairs, "rivalen")
+    old = items.where("_da").select(*within, key)
+    edges = written(pairs.join(old.select(F.col(key).alias("b")), "b", "left_anti").select("a", "b"), "rivalen")
     first = membership.where(~F.col("vergleichbar") | (F.col(key) == F.col("klasse"))).select(*within, key)
     dropped = None
     while not edges.isEmpty():
@@ -153,7 +172,8 @@ def greedy_selection(items: DataFrame, key: str, title: str, within: list[str])
         dropped = out if dropped is None else dropped.unionByName(out)
         edges = edges.join(out, edges["a"] == out["v"], "left_anti").join(out, F.col("b") == out["v"], "left_anti")
         edges = written(edges.join(free, edges["a"] == free["v"], "left_anti"), "rivalen")
-    return first if dropped is None else first.join(dropped.withColumnRenamed("v", key), key, "left_anti")
+    taken = first if dropped is None else first.join(dropped.withColumnRenamed("v", key), key, "left_anti")
+    return taken.unionByName(old.join(taken.select(key), key, "left_anti").select(*within, key)) if stored else taken
 
 
 def newest(items: DataFrame, month: str, order: list[Column], n: int, months: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import versions as V
 from ..session import table
 from ..sources import files
 from .searching import clean_sql
-from .versioning import _nodes, _passages, _register
+from .versioning import _LATEST, BEFORE, LAST, _nodes, _passages, _register, deliveries
 
 
 def _delivered(spark: SparkSession, folder: str, n: int) -> DataFrame:
@@ -23,7 +23,8 @@ def _delivered(spark: SparkSession, folder: str, n: int) -> DataFrame:
 
 def takeover_decision(spark, folder):
     """What to do with a fetched version: abort under 3 passages, touch if the hash is the same, else take over."""
-    new, old = _delivered(spark, folder, 6).alias("n"), _delivered(spark, folder, 5).alias("o")
+    numbers = deliveries(spark, folder)
+    new, old = _delivered(spark, folder, numbers[0]).alias("n"), _delivered(spark, folder, numbers[1] if len(numbers) > 1 else numbers[0] - 1).alias("o")
     kind = F.when(F.coalesce(F.col("n.fundstellen"), F.lit(0)) < 3, "abbruch").when(F.col("o.regelwerk").isNull(), "erstaufnahme").when(F.col("n.hash").eqNullSafe(F.col("o.hash")), "unveraendert").otherwise("neue fassung")
     return new.join(old, F.col("n.regelwerk") == F.col("o.regelwerk"), "left").select("n.regelwerk", kind.alias("entscheidung"))
 
@@ -143,10 +144,10 @@ QUERIES = {f.__name__: f for f in (
 
 _ID = r"regexp_replace(id, '\s', '', 'g')"
 _ITEM = r"regexp_replace(CASE WHEN trim(coalesce(m, '')) = '' THEN t ELSE regexp_replace(m, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') || ' ' || t END, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
-_N = "n AS (SELECT regelwerk, fassung, id, any_value(eltern) AS eltern, bool_or(coalesce(text, false)) AS hat FROM knoten GROUP BY ALL)"
+_N = f"n AS (SELECT regelwerk, fassung, id, eltern, coalesce(text, false) AS hat FROM ({_LATEST}))"
 
 
-def _at(n: int) -> str:
+def _at(n: str) -> str:
     return f"(SELECT regelwerk, {_ID} AS id, regexp_replace(regexp_replace(lower(hash), '\\s', '', 'g'), '^sha256:', '') AS h, fundstellen FROM fassungen WHERE lieferung = {n} QUALIFY row_number() OVER (PARTITION BY regelwerk ORDER BY {_ID} DESC, eingang DESC, zeile DESC) = 1)"
 
 
@@ -155,7 +156,7 @@ _KEY = r"""left(sha256(lower(regexp_replace(split_part(split_part(url, '#', 1),
 
 SQL = {
     "takeover_decision": f"""SELECT n.regelwerk, CASE WHEN coalesce(n.fundstellen, 0) < 3 THEN 'abbruch' WHEN o.regelwerk IS NULL THEN 'erstaufnahme' WHEN n.h IS NOT DISTINCT FROM o.h THEN 'unveraendert' ELSE 'neue fassung' END AS entscheidung
-        FROM {_at(6)} n LEFT JOIN {_at(5)} o ON n.regelwerk = o.regelwerk""",
+        FROM {_at(LAST)} n LEFT JOIN {_at(BEFORE)} o ON n.regelwerk = o.regelwerk""",
     "page_state": f"""WITH r AS (SELECT {_KEY} AS k, coalesce(zusammenfassung, '') AS h, charge, nr FROM meldungen), n AS (SELECT k, arg_max(h, nr) AS h FROM r WHERE charge > 0 GROUP BY k), o AS (SELECT k, arg_max(h, nr) AS h FROM r WHERE charge = 0 GROUP BY k)
         SELECT CASE WHEN o.h IS NULL THEN 'neu' WHEN o.h = n.h THEN 'unveraendert' ELSE 'geaendert' END AS zustand, count(*) AS seiten FROM n LEFT JOIN o USING (k) GROUP BY ALL""",
     "schedule_window": """SELECT nr, CAST(hour(b) * 60 + minute(b) AS INT) AS minute FROM (SELECT nr, (eingang AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin' AS b FROM meldungen) WHERE abs(hour(b) * 60 + minute(b) - 360) <= 30""",
@@ -181,6 +182,6 @@ SQL = {
         SELECT regelwerk, fassung, start, max(schritte) AS schritte, arg_max(ende, schritte) AS ende FROM w WHERE fassung IS NOT NULL GROUP BY ALL""",
     "feed_scan": rf"""SELECT nr, {clean_sql("titel")} AS titel, regexp_replace(url, '^\s+|\s+$', '', 'g') AS url, nullif(regexp_replace(datum, '^\s+|\s+$', '', 'g'), '') AS datum, coalesce({clean_sql("zusammenfassung")}, '') AS text
         FROM meldungen WHERE regexp_matches(titel, '\S') AND regexp_matches(lower(regexp_replace(url, '^\s+|\s+$', '', 'g')), '^https?://') AND strlen(regexp_replace(url, '^\s+|\s+$', '', 'g')) > 10""",
-    "passages_per_version": f"""WITH r AS (SELECT DISTINCT regelwerk, {_ID} AS id FROM fassungen WHERE lieferung = 6), p AS (SELECT regelwerk, fassung AS id, count(DISTINCT coalesce(knoten_id, '')) AS n FROM punkte WHERE t IS NOT NULL GROUP BY ALL)
+    "passages_per_version": f"""WITH r AS (SELECT DISTINCT regelwerk, {_ID} AS id FROM fassungen WHERE lieferung = (SELECT max(lieferung) FROM fassungen)), p AS (SELECT regelwerk, fassung AS id, count(DISTINCT coalesce(knoten_id, '')) AS n FROM punkte WHERE t IS NOT NULL GROUP BY ALL)
         SELECT r.regelwerk, r.id, coalesce(p.n, 0) AS stellen FROM r LEFT JOIN p USING (regelwerk, id)""",
 }

@@ -13,8 +13,8 @@ from .searching import clean_sql
 
 LEXICON = S.Lexicon(
     (
-        S.Term("Auslagerung", 9, ("outsourcing",), ("auslagerung",)),
-        S.Term("Notfallplanung", 8, ("contingency planning", "Wiederanlauf"), ("notfall",)),
+        S.Term("Auslagerung", 9, ("outsourcing",), ("auslagerung",), ("w-auslagerung", "w-dienste")),
+        S.Term("Notfallplanung", 8, ("contingency planning", "Wiederanlauf"), ("notfall",), ("w-dienste",)),
         S.Term("Meldepflicht", 9, ("Störungsmeldung", "incident notices", "reporting duties"), ("meldewesen",)),
         S.Term("Bußgeld", 7, ("penalty", "fined"), ("sanktion",)),
         S.Term("Schlüsselverwaltung", 6, ("key management", "Zugriffskontrolle"), ("zugriff", "verschluesselung")),
@@ -41,7 +41,7 @@ def relevance_score(spark, folder):
 
 def relevance_reasons(spark, folder):
     s = S.score(F.col("titel"), F.col("zusammenfassung"), LEXICON)
-    return _news(spark, folder).select("nr", F.array_join(s["begruendung"], "; ").alias("begruendung"), F.array_join(s["themen"], ",").alias("themen"))
+    return _news(spark, folder).select("nr", F.array_join(s["begruendung"], "; ").alias("begruendung"), F.array_join(s["themen"], ",").alias("themen"), F.array_join(s["regelwerke"], ",").alias("regelwerke"))
 
 
 def relevance_threshold(spark, folder):
@@ -66,7 +66,9 @@ def title_similarity_links(spark, folder):
 
 
 def greedy_dedup_month(spark, folder):
-    return S.greedy_selection(_month(_news(spark, folder)).select("monat", "nr", "titel"), "nr", "titel", ["monat"])
+    """What the months hold after all deliveries: the stored history (charge 0), and of the rest what is neither known by id nor alike to what is there."""
+    news = _month(_news(spark, folder)).select("monat", "nr", "titel", "id", (F.col("charge") == 0).alias("da"))
+    return S.greedy_selection(news, "nr", "titel", ["monat"], "da", "id")
 
 
 def feed_date_parse(spark, folder):
@@ -146,7 +148,7 @@ def _re(word: str) -> str:
 
 # one scan with a literal pattern per variant: RE2 compiles each once
 _VARIANTS = " UNION ALL ".join(
-    f"""SELECT nr, {i} AS term, {k} AS k, {_q(v)} AS wort, {_q(",".join(t.topics))} AS themen,
+    f"""SELECT nr, {i} AS term, {k} AS k, {_q(v)} AS wort, {_q(",".join(t.topics))} AS themen, {_q(",".join(t.works))} AS werke,
         {t.weight} * CASE WHEN regexp_matches({"t" if X.is_acronym(v) else "lower(t)"}, {_q(_re(v if X.is_acronym(v) else v.lower()))}) THEN 2 ELSE 1 END AS p
         FROM m WHERE regexp_matches({"v" if X.is_acronym(v) else "lower(v)"}, {_q(_re(v if X.is_acronym(v) else v.lower()))})"""
     for i, t in enumerate(LEXICON.terms)
@@ -184,8 +186,9 @@ _POINTS = "(" + " + ".join(f"CAST(contains(lower(s), {_q(w.lower())}) AS INT)" f
 SQL = {
     "relevance_score": f"WITH {_SCORED} SELECT nr, CAST(punkte AS INT) AS punkte FROM s",
     "relevance_reasons": f"""WITH {_SCORED}, b AS (SELECT nr, string_agg(t, '; ' ORDER BY a, k) AS begruendung FROM (SELECT nr, 0 AS a, k, 'Ausschluss: ' || wort AS t FROM e UNION ALL SELECT nr, 1, term, wort || ' (+' || p || ')' FROM h) GROUP BY nr),
-        th AS (SELECT nr, string_agg(DISTINCT th, ',' ORDER BY th) AS themen FROM (SELECT nr, unnest(string_split(themen, ',')) AS th FROM h) WHERE th <> '' GROUP BY nr)
-        SELECT m.nr, coalesce(b.begruendung, '') AS begruendung, coalesce(th.themen, '') AS themen FROM m LEFT JOIN b USING (nr) LEFT JOIN th USING (nr)""",
+        th AS (SELECT nr, string_agg(DISTINCT th, ',' ORDER BY th) AS themen FROM (SELECT nr, unnest(string_split(themen, ',')) AS th FROM h) WHERE th <> '' GROUP BY nr),
+        rw AS (SELECT nr, string_agg(DISTINCT rw, ',' ORDER BY rw) AS regelwerke FROM (SELECT nr, unnest(string_split(werke, ',')) AS rw FROM h) WHERE rw <> '' GROUP BY nr)
+        SELECT m.nr, coalesce(b.begruendung, '') AS begruendung, coalesce(th.themen, '') AS themen, coalesce(rw.regelwerke, '') AS regelwerke FROM m LEFT JOIN b USING (nr) LEFT JOIN th USING (nr) LEFT JOIN rw USING (nr)""",
     "relevance_threshold": f"WITH {_SCORED} SELECT s.nr, CAST(s.punkte AS INT) AS punkte FROM s JOIN meldungen USING (nr) LEFT JOIN feedquellen f ON f.id = meldungen.quelle WHERE s.punkte >= coalesce(f.mindestpunkte, 8)",
     "category_rules": f"SELECT nr, CASE {_CASES} ELSE '{S.OTHERWISE}' END AS kategorie FROM (SELECT nr, lower(coalesce(titel, '') || ' ' || coalesce(zusammenfassung, '')) AS v FROM meldungen)",
     "extractive_summary": f"""WITH c AS (SELECT nr, {clean_sql("zusammenfassung")} AS z FROM meldungen),
@@ -195,6 +198,16 @@ SQL = {
         j AS (SELECT nr, string_agg(s, ' ' ORDER BY i) AS t FROM k GROUP BY nr)
         SELECT a.nr, CASE WHEN strlen(z) <= 150 THEN z WHEN j.t IS NULL AND z IS NOT NULL THEN left(z, 150) || '…' WHEN length(j.t) > 150 THEN left(j.t, 150) || '…' ELSE j.t END AS auszug FROM a LEFT JOIN j USING (nr)""",
     "title_similarity_links": f"WITH {_SETS} SELECT w.nr, r.klasse, coalesce(v.n, 0) AS verbindungen FROM w JOIN r ON r.w = w.w LEFT JOIN v ON v.k = r.klasse",
+    # the loop itself: month by month, item by item, with the list of what was taken
+    "greedy_dedup_month": r"""WITH RECURSIVE n0 AS (SELECT nr, strftime(eingang, '%Y-%m') AS monat, charge = 0 AS da, id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(titel, '')), '[^\p{L}\p{N}]+'), lambda x: strlen(x) > 3)) AS w FROM meldungen),
+        n AS (SELECT *, row_number() OVER (PARTITION BY monat ORDER BY nr) AS i FROM n0 WHERE coalesce(da, false) OR NOT EXISTS (SELECT 1 FROM n0 k WHERE k.da AND k.monat IS NOT DISTINCT FROM n0.monat AND k.id = n0.id)),
+        p AS (SELECT a.monat, b.nr, list(a.nr) AS rivalen FROM n a JOIN n b ON a.monat IS NOT DISTINCT FROM b.monat AND a.nr < b.nr AND len(a.w) >= 3 AND len(b.w) >= 3
+          AND 10 * len(list_intersect(a.w, b.w)) > 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) WHERE NOT coalesce(b.da, false) GROUP BY ALL),
+        s AS (SELECT n.monat, n.i, n.nr, coalesce(p.rivalen, []) AS rivalen FROM n LEFT JOIN p ON p.nr = n.nr),
+        l AS (SELECT monat, i, [nr] AS genommen, nr AS neu FROM s WHERE i = 1
+          UNION ALL SELECT s.monat, s.i, CASE WHEN list_has_any(l.genommen, s.rivalen) THEN l.genommen ELSE list_append(l.genommen, s.nr) END, CASE WHEN list_has_any(l.genommen, s.rivalen) THEN NULL ELSE s.nr END
+            FROM l JOIN s ON s.monat IS NOT DISTINCT FROM l.monat AND s.i = l.i + 1)
+        SELECT monat, neu AS nr FROM l WHERE neu IS NOT NULL""",
     "feed_date_parse": f"SELECT * FROM {_DATED}",
     "feed_month_bucket": f"SELECT coalesce(left(datum, 7), strftime(now() AT TIME ZONE 'UTC', '%Y-%m')) AS monat, count(*) AS meldungen FROM {_DATED} GROUP BY ALL",
     "month_directory": "SELECT strftime(eingang, '%Y-%m') AS monat, count(*) AS meldungen FROM meldungen GROUP BY ALL",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
-from ..session import spread, table
+from ..session import new_place, spread, table
 
 SEARCH = "Meldung von Störungen und Prüfung der Auslagerung an Dienstleister"
 TERMS_SQL = "('meld','storung','pruf','auslag','dienstleist')"
@@ -48,28 +48,42 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("punkte", F.round("punkte", 6))
 
 
+_INDEXES: dict[tuple[str, str, str], S.StoredIndex] = {}
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> S.StoredIndex:
+    """The stored indexes of a table, built once per application and folder."""
+    at = (spark.sparkContext.applicationId, folder, name)
+    if at not in _INDEXES:
+        if name == "documents":
+            index, key, docs, texts = ["source"], "doc_id", _docs(spark, folder), ((F.col("text"), 1),)
+        else:
+            index, key, docs, texts = ["regelwerk", "sprache"], "dok_nr", table(spark, folder, name).select("regelwerk", "sprache", "dok_nr", "b", "t"), ((F.col("b"), 2), (F.col("t"), 1))
+        stored = S.StoredIndex(spark, new_place(spark, "index"), index, key, dict(docs.dtypes))
+        _INDEXES[at] = stored.build(S.stems(docs, [*index, key], *texts))
+    return _INDEXES[at]
+
+
 def bm25_topk(spark, folder):
-    terms = S.query_stems(spark, SEARCH)
-    return _ranked(S.rank(_stemmed(spark, folder, ["source", "doc_id"]), ["source"], "doc_id", terms, most=80))
+    return _ranked(S.rank(_stored(spark, folder, "documents"), S.query_stems(spark, SEARCH)))
 
 
 def bm25_per_source(spark, folder):
-    one = _docs(spark, folder).where(F.col("source") == "faq-nordmark")
-    terms = S.query_stems(spark, SEARCH)
-    return _ranked(S.rank(S.stems(one, ["source", "doc_id"], (F.col("text"), 1)), ["source"], "doc_id", terms, most=80))
+    return _ranked(S.rank(_stored(spark, folder, "documents"), S.query_stems(spark, SEARCH), only=F.col("source") == "faq-nordmark"))
 
 
 def bm25_excluding_irrelevant(spark, folder):
-    terms = S.query_stems(spark, SEARCH)
     hidden = F.coalesce(F.col("source").startswith("lektionen"), F.lit(False))
-    return _ranked(S.rank(_stemmed(spark, folder, ["source", "doc_id"]), ["source"], "doc_id", terms, hidden, most=80))
+    return _ranked(S.rank(_stored(spark, folder, "documents"), S.query_stems(spark, SEARCH), hidden=hidden))
 
 
 def bm25_labels(spark, folder):
-    docs = table(spark, folder, "indexdokumente").select("regelwerk", "sprache", "dok_nr", "b", "t")
-    stemmed = S.stems(docs, ["regelwerk", "sprache", "dok_nr"], (F.col("b"), 2), (F.col("t"), 1))
-    terms = S.query_stems(spark, "Artikel 12 Notfallplanung Schulungen")
-    return _ranked(S.rank(stemmed, ["regelwerk", "sprache"], "dok_nr", terms, most=80))
+    return _ranked(S.rank(_stored(spark, folder, "indexdokumente"), S.query_stems(spark, "Artikel 12 Notfallplanung Schulungen")))
+
+
+def index_directory(spark, folder):
+    """The directory of the stored indexes: per work and language documents, mean length and entries."""
+    return _stored(spark, folder, "indexdokumente").directory()
 
 
 def query_highlight(spark, folder):
@@ -124,7 +138,7 @@ def act_number_map(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, stem_vocabulary, term_postings, label_postings, doc_lengths, index_stats, bm25_per_source, bm25_excluding_irrelevant,
-    bm25_labels, query_highlight, language_fallback, teaser, shorten_word_boundary, html_clean, url_canonical, url_id, url_allowlist,
+    bm25_labels, index_directory, query_highlight, language_fallback, teaser, shorten_word_boundary, html_clean, url_canonical, url_id, url_allowlist,
     key_slug, heading_numbers, act_number_map,
 )}
 
@@ -201,6 +215,12 @@ SQL = {
     "bm25_per_source": bm25_sql(_TOKENS, ["source"], "doc_id", SEARCH, "source = 'faq-nordmark'"),
     "bm25_excluding_irrelevant": bm25_sql(_TOKENS, ["source"], "doc_id", SEARCH, hidden="coalesce(starts_with(source, 'lektionen'), false)"),
     "bm25_labels": bm25_sql(_LABEL_TOKENS, ["regelwerk", "sprache"], "dok_nr", "Artikel 12 Notfallplanung Schulungen"),
+    "index_directory": f"""WITH {_LABEL_TOKENS}, p AS (SELECT regelwerk, sprache, dok_nr, stem, count(*) AS tf FROM tok GROUP BY ALL), l AS (SELECT regelwerk, sprache, dok_nr, sum(tf) AS n, count(*) AS e FROM p GROUP BY ALL)
+        SELECT regelwerk, sprache, count(*) AS dokumente, round(avg(n), 2) AS avgdl, CAST(sum(e) AS BIGINT) AS eintraege FROM l GROUP BY ALL""",
+    "query_highlight": rf"""WITH d AS (SELECT dok_nr, t, CASE WHEN t IS NULL THEN NULL ELSE regexp_extract_all(t, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') END AS ws FROM indexdokumente),
+        x AS (SELECT dok_nr, unnest(ws) AS wort, unnest(range(len(ws))) AS i FROM d), v AS (SELECT DISTINCT wort FROM x), k AS (SELECT wort FROM {stem_sql("v")} AND stem IN ('pruf', 'auslag', 'frist')),
+        y AS (SELECT dok_nr, string_agg(CASE WHEN k.wort IS NULL THEN x.wort ELSE '[' || x.wort || ']' END, '' ORDER BY i) AS h FROM x LEFT JOIN k ON k.wort = x.wort GROUP BY dok_nr)
+        SELECT d.dok_nr, CASE WHEN d.t IS NULL THEN NULL ELSE coalesce(y.h, '') END AS hervorgehoben FROM d LEFT JOIN y USING (dok_nr)""",
     "language_fallback": "SELECT regelwerk, CASE WHEN bool_or(sprache = 'en') THEN 'en' ELSE min(sprache) END AS sprache FROM indexdokumente WHERE sprache IS NOT NULL GROUP BY regelwerk",
     "teaser": "SELECT doc_id, CASE WHEN length(text) > 220 THEN left(text, 220) || '…' ELSE text END AS teaser FROM documents",
     "shorten_word_boundary": """SELECT doc_id, CASE WHEN length(text) > 90 THEN coalesce(nullif(regexp_extract(text, '(?s)^(.{1,90}) ', 1), ''), left(text, 90)) || '…' ELSE text END AS kurz FROM documents""",

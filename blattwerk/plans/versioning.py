@@ -20,12 +20,20 @@ def _passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "knoten").select("regelwerk", "fassung", "id", "eltern", "art", "nummer", "bez", "titel", "pfad", F.col("text").alias("hat_text")).dropDuplicates(["regelwerk", "fassung", "id"])
+    """The nodes of every version; of several rows of a node the last taken counts."""
+    fields = ["eltern", "art", "nummer", "bez", "titel", "pfad", F.col("text").alias("hat_text")]
+    last = F.max_by(F.struct(*fields), F.struct("erfasst", "pfad", "eltern", "art", "nummer", "bez", "text"))
+    return table(spark, folder, "knoten").groupBy("regelwerk", "fassung", "id").agg(last.alias("k")).select("regelwerk", "fassung", "id", "k.*")
+
+
+def deliveries(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the deliveries of the register, the last one first."""
+    return [r[0] for r in table(spark, folder, "fassungen").select("lieferung").where("lieferung is not null").distinct().orderBy(F.desc("lieferung")).collect()] or [0]
 
 
 def _register(spark: SparkSession, folder: str) -> DataFrame:
     """The last delivery of the register, a row per version."""
-    rows = table(spark, folder, "fassungen").withColumn("id", F.trim(F.regexp_replace("id", r"\s", ""))).where("lieferung = 6")
+    rows = table(spark, folder, "fassungen").withColumn("id", F.trim(F.regexp_replace("id", r"\s", ""))).where(F.col("lieferung") == deliveries(spark, folder)[0])
     last = F.max(F.struct("eingang", "zeile", "fundstellen", F.col("quelle.name").alias("quelle")))
     return rows.groupBy("regelwerk", "id").agg(last.alias("v")).select("regelwerk", "id", "v.fundstellen", "v.quelle")
 
@@ -103,7 +111,8 @@ def staleness_status(spark, folder):
         last = rows.where(F.col("lieferung") == n).groupBy("regelwerk", "v").agg(F.max(F.struct("eingang", "zeile", "hash"))["hash"].alias("hash"))
         return last.groupBy("regelwerk").agg(F.max_by("hash", "v").alias("hash"))
 
-    return V.staleness(refs, at(6), at(4), ["regelwerk"])
+    numbers = deliveries(spark, folder)
+    return V.staleness(refs, at(numbers[0]), at(numbers[min(1, len(numbers) - 1)]), ["regelwerk"])
 
 
 def outline_labels(spark, folder):
@@ -142,8 +151,9 @@ QUERIES = {f.__name__: f for f in (
 _EDGES = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
 _ITEM = f"regexp_replace(CASE WHEN trim(coalesce(m, '')) = '' THEN t ELSE regexp_replace(m, {_EDGES}) || ' ' || t END, {_EDGES})"
 _PASS = f"p AS (SELECT regelwerk, fassung, knoten_id AS id, left(sha256(string_agg({_ITEM}, chr(10) ORDER BY ord, punkt_nr)), 32) AS hash FROM punkte WHERE t IS NOT NULL GROUP BY ALL)"
-_NODES = "n AS (SELECT DISTINCT regelwerk, fassung, id, eltern, art, nummer, pfad FROM knoten)"
-_REG = r"r AS (SELECT regelwerk, regexp_replace(id, '\s', '', 'g') AS id, fundstellen, quelle.name AS quelle FROM fassungen WHERE lieferung = 6 QUALIFY row_number() OVER (PARTITION BY regelwerk, regexp_replace(id, '\s', '', 'g') ORDER BY eingang DESC, zeile DESC) = 1)"
+_LATEST = "SELECT * FROM knoten QUALIFY row_number() OVER (PARTITION BY regelwerk, fassung, id ORDER BY erfasst DESC NULLS LAST, pfad DESC NULLS LAST, eltern DESC NULLS LAST, art DESC NULLS LAST, nummer DESC NULLS LAST, bez DESC NULLS LAST, text DESC NULLS LAST) = 1"
+_NODES = f"n AS (SELECT regelwerk, fassung, id, eltern, art, nummer, pfad FROM ({_LATEST}))"
+_REG = r"r AS (SELECT regelwerk, regexp_replace(id, '\s', '', 'g') AS id, fundstellen, quelle.name AS quelle FROM fassungen WHERE lieferung = (SELECT max(lieferung) FROM fassungen) QUALIFY row_number() OVER (PARTITION BY regelwerk, regexp_replace(id, '\s', '', 'g') ORDER BY eingang DESC, zeile DESC) = 1)"
 _DIFF = f"""{_PASS}, c AS (SELECT regelwerk, fassung, lag(fassung) OVER (PARTITION BY regelwerk ORDER BY fassung) AS vorige FROM (SELECT DISTINCT regelwerk, fassung FROM p WHERE fassung IS NOT NULL AND regelwerk IS NOT NULL)),
   x AS (SELECT p.* FROM p JOIN c USING (regelwerk, fassung) WHERE c.vorige IS NOT NULL),
   y AS (SELECT p.regelwerk, c.fassung, p.id, p.hash FROM p JOIN c ON p.regelwerk = c.regelwerk AND p.fassung = c.vorige),
@@ -155,7 +165,12 @@ _TREE = f"""RECURSIVE {_NODES}, t AS (SELECT regelwerk, fassung, id AS oben, id,
 _KIND = "CASE art " + " ".join(f"WHEN '{k}' THEN '{de}'" for k, (de, _) in X.KIND_WORDS.items()) + " ELSE art END"
 
 
-def _state(n: int) -> str:
+#: The last delivery and the one before it.
+LAST = "(SELECT max(lieferung) FROM fassungen)"
+BEFORE = f"(SELECT max(lieferung) FROM fassungen WHERE lieferung < {LAST})"
+
+
+def _state(n: str) -> str:
     return f"""(SELECT regelwerk, arg_max_null(h, v) AS h FROM (SELECT regelwerk, regexp_replace(id, '\\s', '', 'g') AS v, regexp_replace(regexp_replace(lower(hash), '\\s', '', 'g'), '^sha256:', '') AS h FROM fassungen
         WHERE lieferung = {n} QUALIFY row_number() OVER (PARTITION BY regelwerk, regexp_replace(id, '\\s', '', 'g') ORDER BY eingang DESC, zeile DESC) = 1) GROUP BY regelwerk)"""
 
@@ -178,12 +193,12 @@ SQL = {
     "content_refs": "SELECT DISTINCT id, f.rw AS rw, f.pfad AS pfad FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))",
     "staleness_status": f"""WITH r AS (SELECT DISTINCT id, f.rw AS regelwerk FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen)))
         SELECT r.id, r.regelwerk, CASE WHEN n.h IS NULL THEN 'fehlt' WHEN k.h IS NULL THEN 'erfasst' WHEN n.h = k.h THEN 'aktuell' ELSE 'zu pruefen' END AS status, coalesce(n.h, '') AS hash
-        FROM r LEFT JOIN {_state(6)} n ON n.regelwerk = r.regelwerk LEFT JOIN {_state(4)} k ON k.regelwerk = r.regelwerk""",
-    "outline_labels": f"""WITH k AS (SELECT regelwerk, fassung, id, any_value(eltern) AS eltern, any_value(art) AS art, any_value(pfad) AS pfad, any_value(nummer) AS nummer, any_value(bez) AS bez, any_value(titel['de']) AS de FROM knoten GROUP BY ALL),
+        FROM r LEFT JOIN {_state(LAST)} n ON n.regelwerk = r.regelwerk LEFT JOIN {_state(BEFORE)} k ON k.regelwerk = r.regelwerk""",
+    "outline_labels": f"""WITH k AS (SELECT regelwerk, fassung, id, eltern, art, pfad, nummer, bez, titel['de'] AS de FROM ({_LATEST})),
         o AS (SELECT *, coalesce(bez, CASE WHEN nummer IS NOT NULL THEN {_KIND} || ' ' || nummer ELSE {_KIND} END) || coalesce(' – ' || de, '') AS eigen FROM k)
         SELECT o.regelwerk, o.fassung, o.id, o.pfad, CASE WHEN o.art = 'absatz' THEN trim(concat_ws(' ', p.eigen, o.eigen)) ELSE o.eigen END AS bezeichnung
         FROM o LEFT JOIN o p ON p.regelwerk = o.regelwerk AND p.fassung = o.fassung AND p.id = o.eltern WHERE o.pfad IS NOT NULL""",
-    "outline_counts": "SELECT regelwerk, fassung, art, count(*) AS knoten, count(*) FILTER (text) AS mit_text FROM (SELECT regelwerk, fassung, id, any_value(art) AS art, bool_or(text) AS text FROM knoten GROUP BY ALL) GROUP BY ALL",
+    "outline_counts": f"SELECT regelwerk, fassung, art, count(*) AS knoten, count(*) FILTER (text) AS mit_text FROM ({_LATEST}) GROUP BY ALL",
     "prev_next": f"WITH {_NODES} SELECT regelwerk, fassung, id, lag(id) OVER w AS vorher, lead(id) OVER w AS nachher FROM n WINDOW w AS (PARTITION BY regelwerk, fassung, art ORDER BY id)",
     "nearest_ancestor": f"WITH {_TREE} SELECT t.regelwerk, t.fassung, t.id, arg_min(t.oben, t.tiefe) AS oben FROM t JOIN n ON n.regelwerk = t.regelwerk AND n.fassung = t.fassung AND n.id = t.oben WHERE t.tiefe > 0 AND n.art <> 'absatz' GROUP BY ALL",
 }

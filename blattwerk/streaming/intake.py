@@ -41,7 +41,7 @@ def merge_months(batch: DataFrame, store: str, number: int) -> None:
     ranked = fresh.withColumn("_rang", F.struct("_neu", "zeit", "kennung"))
     order = F.concat_ws("|", F.col("_neu").cast("string"), F.date_format("zeit", "yyyyMMddHHmmssSSSSSS"), "kennung")
     keyed = ranked.drop("_rang").withColumn("_folge", order)
-    taken = S.greedy_selection(keyed.select("monat", "_folge", "titel"), "_folge", "titel", ["monat"])
+    taken = S.greedy_selection(keyed.select("monat", "_folge", "titel", (F.col("_neu") == 0).alias("_alt")), "_folge", "titel", ["monat"], "_alt")
     kept = keyed.join(taken, ["monat", "_folge"], "left_semi").where("_neu = 1").drop("_neu", "_folge")
     kept.write.mode("overwrite").parquet(own)
 

@@ -63,15 +63,21 @@ def test_addresses(spark):
     assert one(spark, lambda c: X.starts_a_word(c, "its"), "bereits") is False and one(spark, lambda c: X.starts_a_word(c, "risiko"), "ikt-risikorahmen") is True
 
 
-def test_ranking(spark):
-    docs = spark.createDataFrame([("a", 1, "Meldung der Meldungen"), ("a", 2, "Meldung und Prüfung"), ("b", 3, "Prüfung"), ("b", 4, None), ("b", 5, "")], "i string, d long, t string")
-    stemmed = Q.stems(docs, ["i", "d"], (F.col("t"), 1))
-    ranked = Q.rank(stemmed, ["i"], "d", ["meld", "pruf"], most=None).collect()
-    assert {r.d: r.treffer for r in ranked} == {1: 1, 2: 2, 3: 1}
+def test_ranking(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 1, "Meldung der Meldungen"), ("a", 2, "Meldung und Prüfung"), ("b", 3, "Prüfung"), ("b", 4, None), ("b", 5, ""), (None, 6, "Prüfung")], "i string, d long, t string")
+    stored = Q.StoredIndex(spark, f"file://{tmp_path}/index", ["i"], "d", dict(docs.dtypes), 8).build(Q.stems(docs, ["i", "d"], (F.col("t"), 1)))
+    ranked = Q.rank(stored, ["meld", "pruf"], most=None).collect()
+    assert {r.d: r.treffer for r in ranked} == {1: 1, 2: 2, 3: 1, 6: 1}
     assert max(ranked, key=lambda r: r.punkte).d == 2
-    all_, shown = (Q.rank(stemmed, ["i"], "d", ["pruf"], h, None).collect() for h in (None, F.col("i") == "b"))
-    assert {r.d: r.punkte for r in all_}[2] == shown[0].punkte and len(shown) == 1
-    assert Q.rank(stemmed, ["i"], "d", []).count() == 0
+    all_, shown, own = (Q.rank(stored, ["pruf"], o, h, None).collect() for o, h in ((None, None), (None, F.col("i") == "b"), (F.col("i") == "a", None)))
+    assert {r.d: r.punkte for r in all_}[2] == {r.d: r.punkte for r in shown}[2] and {r.d for r in shown} == {2} and {r.d for r in own} == {2}
+    assert Q.rank(stored, []).count() == 0 and Q.rank(stored, ["nirgends"]).count() == 0
+    assert {(r.i, r.dokumente, r.avgdl, r.eintraege) for r in stored.directory().collect()} == {("a", 2, 2.0, 3), ("b", 1, 1.0, 1), (None, 1, 1.0, 1)}
+    plan = spark._jvm.PythonSQLUtils.explainString(stored.postings(["pruf"])._jdf.queryExecution(), "formatted")
+    assert re.search(r"PartitionFilters: \[.*eimer", plan) and re.search(r"PushedFilters: \[.*stem", plan)
+    assert {r.stem for r in stored.postings(["pruf"]).collect()} == {"pruf"}
+    empty = Q.StoredIndex(spark, f"file://{tmp_path}/leer", ["i"], "d", dict(docs.dtypes)).build(Q.stems(docs.limit(0), ["i", "d"], (F.col("t"), 1)))
+    assert Q.rank(empty, ["pruf"]).count() == 0 and empty.directory().count() == 0
     assert Q.query_stems(spark, "Prüfungen der Prüfung und Meldung") == ["pruf", "meld"]
     assert one(spark, lambda c: Q.highlight(c, ["meld"]), "Die Meldung!") == "Die [Meldung]!"
 
@@ -107,9 +113,29 @@ def test_extract_and_category(spark):
     assert one(spark, S.category, "Konsultation zum Merkblatt", None) == "Konsultation" and one(spark, S.category, None, None) == "Fachartikel"
 
 
+def test_stored_titles_stay_and_known_ids_are_not_taken(spark):
+    """The sequential loop: what is stored stays; then item by item, against the ids stored at the start and all titles taken so far."""
+    rng = random.Random(11)
+    pool = ["Frist", "Bericht", "Stelle", "Auflage", "Quartal", "Gebühr", "Antrag", "Prüfung"]
+    rows = [(n, rng.choice("gh"), n < 25, f"id{rng.randint(0, 70)}" if rng.random() < 0.9 else None, " ".join(rng.sample(pool, rng.choice((2, 4, 5, 6, 7))))) for n in range(160)]
+    alike = lambda a, b: min(len(a), len(b)) >= 3 and 10 * len(a & b) > 7 * len(a | b)
+    words = lambda t: {w for w in t.lower().split() if len(w.encode()) > 3}
+    want = set()
+    for g in "gh":
+        known, titles = {i for _, x, da, i, _ in rows if x == g and da}, []
+        for n, x, da, i, t in rows:
+            if x == g and (da or (i is None or i not in known) and not any(alike(words(t), o) for o in titles)):
+                titles.append(words(t))
+                want.add((g, n))
+    df = spark.createDataFrame(rows, "n long, g string, da boolean, id string, t string")
+    got = {(r.g, r.n) for r in S.greedy_selection(df, "n", "t", ["g"], "da", "id").collect()}
+    assert got == want and 60 < len(want) < 140
+
+
 def test_similar_titles_and_greedy_loop(spark):
     import itertools
     import random
+import re
 
     rng = random.Random(5)
     words = ["alpha", "bravo", "charlie", "delta", "echos", "foxtrot", "golfe", "hotel"]
