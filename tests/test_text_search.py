@@ -1,6 +1,8 @@
 """Literal cases of text functions, search, versions, screening, citations and state."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,8 +136,6 @@ def test_stored_titles_stay_and_known_ids_are_not_taken(spark):
 
 def test_similar_titles_and_greedy_loop(spark):
     import itertools
-    import random
-import re
 
     rng = random.Random(5)
     words = ["alpha", "bravo", "charlie", "delta", "echos", "foxtrot", "golfe", "hotel"]
