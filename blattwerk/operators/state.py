@@ -58,3 +58,18 @@ def gap_filled(given: Column, right: Column) -> Column:
     """A gap: equal without regard to case, or a beginning of more than three characters."""
     a, b = F.lower(F.trim(given)), F.lower(F.trim(right))
     return (a == b) | ((F.length(a) > 3) & F.startswith(b, a))
+
+
+def one_choice(given: Column, right: Column) -> Column:
+    """Single choice, and true or false: the right answer, nothing else; no answer is not right."""
+    return F.coalesce(given == right, F.lit(False))
+
+
+def paired(given: Column, right: Column) -> Column:
+    """Pairing: every left side with its right side, in any order; ``given`` and ``right`` are maps."""
+    return F.coalesce(F.array_sort(F.map_entries(given)) == F.array_sort(F.map_entries(right)), F.lit(False))
+
+
+def in_order(given: Column, right: Column) -> Column:
+    """Ordering: all parts in the right order."""
+    return F.coalesce(given == right, F.lit(False))

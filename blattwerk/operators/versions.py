@@ -58,28 +58,40 @@ def version_ids(rows: DataFrame, work: str, day: Column, order: list[str]) -> Da
     return rows.withColumn("_tag", day).withColumn("fassung", F.concat("_tag", F.repeat(F.lit("b"), F.row_number().over(w) - 1))).drop("_tag")
 
 
-def descendants(nodes: DataFrame, keys: list[str], id_: str = "id", parent: str = "eltern", most: int = 50) -> DataFrame:
-    """(*keys, oben, id, tiefe): every node with itself (depth 0) and all nodes above it.
+def outline_paths(nodes: DataFrame, keys: list[str], id_: str = "id", parent: str = "eltern") -> DataFrame:
+    """(*keys, id, weg): every node with the ids from the top of its outline down to itself. Sorted by it, nodes stand in outline order.
 
-    Climbs one level per round until no node has a parent left; ``most`` guards against cycles.
+    One round per level, each over the nodes of that level only. A parent that is no node opens the way of its children. Nodes
+    that no top leads to lie in a cycle, which is an error.
     """
-    step = nodes.select(*keys, F.col(id_).alias("_kind"), F.col(parent).alias("_oben")).distinct()
-    level = nodes.select(*keys, F.col(id_).alias("oben"), F.col(id_).alias("id")).distinct().withColumn("tiefe", F.lit(0))
-    out = level
-    for depth in range(1, most + 1):
-        level = level.alias("l").join(step.where("_oben is not null").alias("s"), [*[F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("l.oben") == F.col("s._kind")])
-        level = written(level.select(*[f"l.{k}" for k in keys], F.col("s._oben").alias("oben"), "l.id", F.lit(depth).alias("tiefe")), "ebene")
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"an outline is deeper than {most} levels or has a cycle")
+    same = lambda a, b, x, y: [*[F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.col(f"{a}.{x}") == F.col(f"{b}.{y}")]
+    rows = written(nodes.select(*keys, F.col(id_).alias("id"), F.col(parent).alias("_oben")).where("id is not null"), "knoten")
+    tops = rows.alias("n").join(rows.alias("o"), same("n", "o", "_oben", "id"), "left_anti")
+    level = written(tops.select(*keys, "id", F.array_compact(F.array("_oben", "id")).alias("weg")), "ebene")
+    out, found = level, level.count()
+    while True:
+        level = rows.alias("n").join(level.alias("l"), same("n", "l", "_oben", "id")).select(*[f"n.{k}" for k in keys], "n.id", F.array_append("l.weg", F.col("n.id")).alias("weg"))
+        level = written(level, "ebene")
+        more = level.count()
+        if not more:
+            break
+        out, found = out.unionByName(level), found + more
+    if found < rows.count():
+        raise ValueError("an outline has a cycle")
+    return out
+
+
+def descendants(nodes: DataFrame, keys: list[str], id_: str = "id", parent: str = "eltern") -> DataFrame:
+    """(*keys, oben, id, tiefe, weg): every node with itself (depth 0) and all nodes above it; ``weg``: its way from the top."""
+    ways = outline_paths(nodes, keys, id_, parent)
+    return ways.select(*keys, "id", "weg", F.posexplode("weg").alias("_p", "oben")).select(*keys, "oben", "id", (F.size("weg") - 1 - F.col("_p")).alias("tiefe"), "weg")
 
 
 def subtree_hash(nodes: DataFrame, passages: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, id, hash): per node the digest of its own and its descendants' hashes in outline order."""
+    """(*keys, id, hash, stellen): per node the digest of its own and its descendants' hashes in outline order; nodes above no passage have none."""
     below = descendants(nodes, keys).alias("b")
     joined = below.join(passages.alias("p"), [*[F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys], F.col("b.id") == F.col("p.id")])
-    listed = F.array_sort(F.collect_list(F.struct(F.col("b.tiefe").alias("d"), F.col("b.id").alias("i"), F.col("p.hash").alias("h"))))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("b.weg").alias("w"), F.col("p.hash").alias("h"))))
     chain = F.array_join(F.transform(listed, lambda x: x["h"]), "|")
     return joined.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b.oben").alias("id")).agg(passage_hash(chain).alias("hash"), F.count("*").alias("stellen"))
 

@@ -175,8 +175,14 @@ def last_note(spark, folder):
 
 
 def answer_checks(spark, folder):
-    rows = table(spark, folder, "lektionen").select("id", "themen", "titel", "stufe").distinct()
-    return rows.select("id", Z.same_choice(F.col("themen"), F.reverse("themen")).alias("mehrfach"), Z.gap_filled(F.substring("titel", 1, 5), F.col("titel")).alias("luecke"), (F.col("stufe") == "Grundkurs").alias("einfach"))
+    """The six kinds of answers, each with one that is right for some lessons only: what is asked is the lesson, what is answered is derived from it."""
+    rows = table(spark, folder, "lektionen").select("id", "themen", "titel", "stufe", "dauer", F.transform("abschnitte", lambda a: a["titel"]).alias("teile")).distinct()
+    numbered = lambda order: F.map_from_entries(F.transform(F.filter(F.array_distinct(F.coalesce(order, F.array())), lambda t: t.isNotNull()), lambda t, i: F.struct(t, i)))
+    return rows.select(
+        "id", Z.one_choice(F.col("stufe"), F.lit("Grundkurs")).alias("einfach"), Z.same_choice(F.slice("themen", 1, 2), F.col("themen")).alias("mehrfach"),
+        Z.one_choice(F.col("dauer") >= 30, F.col("stufe") != "Grundkurs").alias("wahr_falsch"), Z.gap_filled(F.substring("titel", 1, 5), F.col("titel")).alias("luecke"),
+        Z.paired(numbered(F.array_sort(F.col("teile"))), numbered(F.col("teile"))).alias("zuordnung"), Z.in_order(F.array_sort("themen"), F.col("themen")).alias("reihenfolge"),
+    ).distinct()
 
 
 def volume_counts(spark, folder):
@@ -271,8 +277,11 @@ SQL = {
         SELECT user_id, count(*) AS versuche, round(max(q), 6) AS bester, max(q) >= 0.7 AS bestanden FROM t GROUP BY user_id""",
     "toggle_state": "SELECT user_id, k FROM (SELECT user_id, json_extract_string(props, '$.k') AS k FROM events) GROUP BY ALL HAVING count(*) % 2 = 1",
     "last_note": "SELECT user_id, arg_max(props, (ts, event_id)) AS props FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING trim(arg_max(props, (ts, event_id))) <> ''",
-    "answer_checks": """SELECT DISTINCT id, list_sort(list_distinct(themen)) = list_sort(list_distinct(list_reverse(themen))) AS mehrfach,
-        lower(trim(left(titel, 5))) = lower(trim(titel)) OR (length(trim(left(titel, 5))) > 3 AND starts_with(lower(trim(titel)), lower(trim(left(titel, 5))))) AS luecke, stufe = 'Grundkurs' AS einfach FROM lektionen""",
+    "answer_checks": """WITH l AS (SELECT DISTINCT id, themen, titel, stufe, dauer, list_filter(list_transform(coalesce(abschnitte, []), lambda a: a.titel), lambda t: t IS NOT NULL) AS teile FROM lektionen),
+        d AS (SELECT *, list_filter(teile, lambda t, i: list_position(teile, t) = i) AS eigene FROM l)
+        SELECT DISTINCT id, coalesce(stufe = 'Grundkurs', false) AS einfach, list_sort(list_distinct(themen[1:2])) = list_sort(list_distinct(themen)) AS mehrfach, coalesce((dauer >= 30) = (stufe <> 'Grundkurs'), false) AS wahr_falsch,
+        lower(trim(left(titel, 5))) = lower(trim(titel)) OR (length(trim(left(titel, 5))) > 3 AND starts_with(lower(trim(titel)), lower(trim(left(titel, 5))))) AS luecke,
+        list_sort(eigene) = eigene AS zuordnung, coalesce(list_sort(themen) = themen, false) AS reihenfolge FROM d""",
     "volume_counts": "SELECT event_type, count(*) AS ereignisse, count(DISTINCT user_id) AS nutzer FROM events GROUP BY event_type",
     "integrity_duplicates": " UNION ALL ".join((_double("verweise", "verweis_nr"), _double("lektionen", "id"), _double("meldungen", "id"))),
     "integrity_required": _missing("meldungen", "nr", ["titel", "url", "datum", "zusammenfassung", "herausgeber"]) + " UNION ALL " + _missing("geparst", "nr", ["titel", "stand", "version", "typ"]),

@@ -93,9 +93,14 @@ def title_merge(spark, folder):
 
 
 def subtree_hash(spark, folder):
+    passages = _passages(spark, folder).select("regelwerk", "fassung", "id", "hash")
+    return V.subtree_hash(_nodes(spark, folder), passages, ["regelwerk", "fassung"])
+
+
+def outline_hash(spark, folder):
+    """As ``subtree_hash``, over what the outline itself says of each node."""
     nodes = _nodes(spark, folder)
-    own = nodes.select("regelwerk", "fassung", "id", V.passage_hash(F.concat_ws("|", "pfad", "art", "nummer")).alias("hash"))
-    return V.subtree_hash(nodes, own, ["regelwerk", "fassung"])
+    return V.subtree_hash(nodes, nodes.select("regelwerk", "fassung", "id", V.passage_hash(F.concat_ws("|", "pfad", "art", "nummer")).alias("hash")), ["regelwerk", "fassung"])
 
 
 def content_refs(spark, folder):
@@ -143,7 +148,7 @@ def nearest_ancestor(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     locus_text, locus_hash, version_total_hash, version_diff, version_validity, version_current, version_registry, version_ids, change_log,
-    title_merge, subtree_hash, content_refs, staleness_status, outline_labels, outline_counts, prev_next, nearest_ancestor,
+    title_merge, subtree_hash, outline_hash, content_refs, staleness_status, outline_labels, outline_counts, prev_next, nearest_ancestor,
 )}
 
 # --- SQL --------------------------------------------------------------------------------------------------
@@ -188,8 +193,12 @@ SQL = {
         SELECT erst[2] AS zeile, regelwerk, left(id, 10) || repeat('b', CAST(row_number() OVER (PARTITION BY regelwerk, left(id, 10) ORDER BY erst) - 1 AS INT)) AS fassung FROM v""",
     "change_log": f"WITH {_DIFF} SELECT regelwerk, fassung, count(*) FILTER (art = 'neu') AS neu, count(*) FILTER (art = 'geaendert') AS geaendert, count(*) FILTER (art = 'entfallen') AS entfallen FROM d GROUP BY ALL",
     "title_merge": "SELECT regelwerk, id, min(titel['de']) AS de, min(titel['en']) AS en FROM knoten WHERE titel IS NOT NULL AND cardinality(titel) > 0 GROUP BY ALL",
-    "subtree_hash": f"""WITH {_TREE}, h AS (SELECT regelwerk, fassung, id, left(sha256(concat_ws('|', pfad, art, nummer)), 32) AS h FROM n)
-        SELECT t.regelwerk, t.fassung, t.oben AS id, left(sha256(string_agg(h.h, '|' ORDER BY t.tiefe, t.id)), 32) AS hash, count(*) AS stellen FROM t JOIN h ON h.regelwerk = t.regelwerk AND h.fassung = t.fassung AND h.id = t.id GROUP BY ALL""",
+    "subtree_hash": f"""WITH {_TREE}, {_PASS}, w AS (SELECT regelwerk, fassung, id, list(oben ORDER BY tiefe DESC) AS weg FROM t GROUP BY ALL)
+        SELECT t.regelwerk, t.fassung, t.oben AS id, left(sha256(string_agg(p.hash, '|' ORDER BY w.weg)), 32) AS hash, count(*) AS stellen FROM t JOIN w ON w.regelwerk = t.regelwerk AND w.fassung = t.fassung AND w.id = t.id
+        JOIN p ON p.regelwerk = t.regelwerk AND p.fassung = t.fassung AND p.id = t.id GROUP BY ALL""",
+    "outline_hash": f"""WITH {_TREE}, h AS (SELECT regelwerk, fassung, id, left(sha256(concat_ws('|', pfad, art, nummer)), 32) AS h FROM n), w AS (SELECT regelwerk, fassung, id, list(oben ORDER BY tiefe DESC) AS weg FROM t GROUP BY ALL)
+        SELECT t.regelwerk, t.fassung, t.oben AS id, left(sha256(string_agg(h.h, '|' ORDER BY w.weg)), 32) AS hash, count(*) AS stellen FROM t JOIN w ON w.regelwerk = t.regelwerk AND w.fassung = t.fassung AND w.id = t.id
+        JOIN h ON h.regelwerk = t.regelwerk AND h.fassung = t.fassung AND h.id = t.id GROUP BY ALL""",
     "content_refs": "SELECT DISTINCT id, f.rw AS rw, f.pfad AS pfad FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen))",
     "staleness_status": f"""WITH r AS (SELECT DISTINCT id, f.rw AS regelwerk FROM (SELECT id, unnest(a.fundstellen) AS f FROM (SELECT id, unnest(abschnitte) AS a FROM lektionen)))
         SELECT r.id, r.regelwerk, CASE WHEN n.h IS NULL THEN 'fehlt' WHEN k.h IS NULL THEN 'erfasst' WHEN n.h = k.h THEN 'aktuell' ELSE 'zu pruefen' END AS status, coalesce(n.h, '') AS hash

@@ -92,7 +92,7 @@ def test_versions(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", None)], "id string, eltern string")
     assert {(r.oben, r.id, r.tiefe) for r in V.descendants(nodes, []).collect()} == {(x, x, 0) for x in "abcd"} | {("a", "b", 1), ("b", "c", 1), ("a", "c", 2)}
     with pytest.raises(ValueError):
-        V.descendants(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, eltern string"), [], most=5)
+        V.descendants(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, eltern string"), [])
     refs = spark.createDataFrame([("l", k) for k in "1234"], "l string, id string")
     assert {r.id: r.status for r in V.staleness(refs, new.drop("w"), old.drop("w"), ["id"]).collect()} == {"1": "aktuell", "2": "zu pruefen", "3": "fehlt", "4": "erfasst"}
     days = spark.createDataFrame([(1, "w", "2024-01-01"), (2, "w", "2024-01-01"), (3, "w", "2024-02-01")], "n int, w string, t string")
@@ -198,3 +198,28 @@ def test_stream_equals_batch(spark, tmp_path):
     before = {tuple(r) for r in stored.select("monat", "kennung").collect()}
     intake.start(spark, f"file://{land}", store, check, LEX, 8).trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(store).select("monat", "kennung").collect()} == before
+
+
+def test_answers_of_every_kind(spark):
+    rows = [(1, "a", "a", [1, 2], [2, 1, 2], {"x": 1, "y": 2}, {"y": 2, "x": 1}), (2, "a", "b", [1], [1, 2], {"x": 1}, {"x": 2}), (3, None, "b", None, [1], None, {"x": 1})]
+    df = spark.createDataFrame(rows, "n int, g string, r string, gm array<int>, rm array<int>, gp map<string,int>, rp map<string,int>")
+    got = df.select("n", Z.one_choice(F.col("g"), F.col("r")).alias("e"), Z.same_choice(F.col("gm"), F.col("rm")).alias("m"), Z.paired(F.col("gp"), F.col("rp")).alias("p"), Z.in_order(F.col("gm"), F.col("rm")).alias("o")).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [(True, True, True, False), (False, False, False, False), (False, None, False, False)]
+
+
+def test_content_references_of_all_shapes(spark):
+    from blattwerk.operators import content
+
+    f = "struct<rw string, pfad string>"
+    tables = {
+        "lektionen": spark.createDataFrame([("l", [([("w", "a/1"), ("w", None)],), (None,), ([("v", "b"), ("v", "b")],)]), (None, None)], f"id string, abschnitte array<struct<fundstellen array<{f}>>>"),
+        "quizzes": spark.createDataFrame([("q", [(None,), (("w", "a/2"),)])], f"id string, fragen array<struct<fundstelle {f}>>"),
+        "karten": spark.createDataFrame([(None, ("w", "a/3")), ("k", (None, "x"))], f"id string, fundstelle {f}"),
+        "fallstudien": spark.createDataFrame([("c", [("s1", [(("w", "a/4"),), (None,)], [("w", "a/5")]), (None, None, [("w", "a/6")])])], f"id string, schritte array<struct<id string, optionen array<struct<fundstelle {f}>>, fundstellen array<{f}>>>"),
+        "cheatsheets": spark.createDataFrame([("s", [([("w", "a/7"), (None, None)],)])], f"id string, bloecke array<struct<punkte array<{f}>>>"),
+    }
+    got = sorted(tuple(r) for r in content.references(tables).collect())
+    assert got == sorted([
+        ("lektionen", "l/abschnitt-1", "w", "a/1"), ("lektionen", "l/abschnitt-3", "v", "b"), ("lektionen", "l/abschnitt-3", "v", "b"), ("quizzes", "q/frage-2", "w", "a/2"), ("karten", "?", "w", "a/3"),
+        ("fallstudien", "c/s1", "w", "a/4"), ("fallstudien", "c/s1", "w", "a/5"), ("fallstudien", "c/?", "w", "a/6"), ("cheatsheets", "s", "w", "a/7"),
+    ])
