@@ -43,6 +43,8 @@ PER_RANGE = 100_000
 LEAST_PER_RANGE = 2_000
 #: Keys per range that are looked at for placing the borders, chosen by hash. They decide the layout, not the result.
 PER_BORDER = 16
+#: Borders up to which a key's range is found in generated code; the outcome is the same beyond.
+TREE = 256
 #: Characters of a sort key; the number of the entry follows, so that no two keys are equal.
 KEY_LENGTH = 180
 
@@ -396,14 +398,20 @@ class Runs:
         self.borders = sorted({some[len(some) * k // wanted] for k in range(1, wanted)})
 
     def placed(self, keyed: DataFrame) -> DataFrame:
-        """Rows with the number of the range their key lies in."""
-        borders = self.borders
+        """Rows with the number of the range their key lies in: by a tree of comparisons in generated code, or by bisection where it would be too large."""
+        borders, key = self.borders, F.col("schluessel")
+
+        def tree(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(key < F.lit(borders[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
 
         @F.pandas_udf("int")
         def place(keys: pd.Series) -> pd.Series:
             return pd.Series([bisect_right(borders, k) for k in keys], dtype="int32")
 
-        return keyed.withColumn("bereich", place("schluessel"))
+        return keyed.withColumn("bereich", tree(0, len(borders)) if len(borders) <= TREE else place("schluessel"))
 
     def rows(self, touched: list[int] | None = None) -> DataFrame:
         """The entries of the given ranges, or of all."""

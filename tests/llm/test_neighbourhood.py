@@ -155,3 +155,14 @@ def test_a_missing_kind_hides_no_repeat(spark, blank):
     rows += [item(103, 3, "Meldung", "Rondo Bank Seehof", 9), item(104, 4, "Sanktion", "Rondo Bank Seehof", 9)]
     got = {r.nr: r.erste for r in N.deduplicate(spark, spark.createDataFrame(rows, schema), backlog=1).collect()}
     assert got[100] == 1 and got[101] == 2 and got[103] == 103 and got[104] == 104
+
+
+def test_ranges_by_tree_or_bisection(spark, monkeypatch):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("aäz|\x1f🙂 ") for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    runs, found = N.Runs(spark), []
+    runs.borders = sorted(set(rng.sample(keys, 12)))
+    for limit in (256, 0):
+        monkeypatch.setattr(N, "TREE", limit)
+        found.append([r.bereich for r in runs.placed(spark.createDataFrame([(k,) for k in keys], "schluessel string")).collect()])
+    assert found[0] == found[1] == [sum(b <= k for b in runs.borders) for k in keys]
