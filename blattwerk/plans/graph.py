@@ -237,6 +237,24 @@ s AS (SELECT k.user_id, CAST(least(4, CASE WHEN any_value(l.f) IS NULL THEN -1 E
 _TOUCH = " OR ".join(f"(e.{s}.rw = p.regelwerk AND (e.{s}.pfad IS NULL OR p.pfad = e.{s}.pfad OR (starts_with(p.pfad, e.{s}.pfad || '/') AND len(string_split(e.{s}.pfad, '/')) % 2 = 0)))" for s in ("von", "nach"))
 
 
+def _re2(pattern: str) -> str:
+    """A pattern of the miner in the notation of the other engine, whose classes know ASCII only."""
+    return pattern.replace(r"\s", r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]").replace(r"\d", r"\p{Nd}")
+
+
+# every match with the wording before it gives its place; from there the snippet and the window in which an act may follow
+_MINED = " UNION ALL ".join(
+    f"""SELECT doc_id, regelwerk, text, '{kind}' AS art, ms[i] AS m, regexp_extract(ms[i], '{_re2(pattern)}', 1) AS nummer, nullif(regexp_extract(ms[i], '{_re2(pattern)}', 2), '') AS absatz,
+      CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regelwerk, text, regexp_extract_all(text, '{_re2(pattern)}') AS ms, string_split_regex(text, '{_re2(pattern)}') AS parts FROM documents WHERE length(text) > 0) WHERE len(ms) > 0)"""
+    for kind, pattern in (("art", C.ARTICLE), ("par", C.SECTION))
+)
+_CITED = rf"""x AS ({_MINED}), y AS (SELECT *, a + length(m) AS e, length(text) AS n FROM x),
+  z AS (SELECT *, CASE WHEN art = 'art' THEN left(substr(text, e + 1, {C.REACH}), list_max(list_filter(range(0, {C.REACH} + 1), lambda k: strlen(left(substr(text, e + 1, {C.REACH}), CAST(k AS BIGINT))) <= {C.REACH}))) END AS f, greatest(0, a - 45) AS l, e + greatest(0, least(55, n - e) - 1) AS r FROM y),
+  c AS (SELECT doc_id, regelwerk, art, nummer, absatz, CASE WHEN regexp_matches(f, '{_re2(C.ACT)}') AND strlen(split_part(f, regexp_extract(f, '{_re2(C.ACT)}'), 1)) <= {C.BEGIN} THEN regexp_extract(f, '{_re2(C.ACT)}', 1) END AS akt,
+    CASE WHEN l > 0 THEN '…' ELSE '' END || regexp_replace(substr(text, l + 1, r - l), '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g') || CASE WHEN r < n THEN '…' ELSE '' END AS beleg FROM z)"""
+
+
 def _missing(name: str, key: str, fields: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT 'pflichtfeld' AS pruefung, '{name}' AS tabelle, CAST({key} AS VARCHAR) AS schluessel, '{f}' AS befund FROM {name} WHERE coalesce(trim({f}, ' '), '') = ''" for f in fields)
 
@@ -246,6 +264,10 @@ def _double(name: str, key: str) -> str:
 
 
 SQL = {
+    "citation_extract": f"WITH {_CITED} SELECT doc_id, art, nummer, absatz, akt, beleg FROM c",
+    "citation_resolve": rf"""WITH {_CITED}, g AS (SELECT substr(k, 2, 4) || '/' || CAST(CAST(substr(k, 7, 4) AS INT) AS VARCHAR) AS nr, min(regelwerk) AS rw FROM (SELECT regelwerk, regexp_replace(quelle.celex, '^9(\\d{{4}})X', '3\1R') AS k FROM fassungen) WHERE regexp_matches(k, '^3\\d{{4}}[RLD]\\d{{4}}$') GROUP BY 1),
+        p AS (SELECT DISTINCT regelwerk AS rw, pfad FROM knoten WHERE pfad IS NOT NULL), d AS (SELECT c.doc_id, c.regelwerk, CASE WHEN art = 'art' THEN coalesce(g.rw, c.regelwerk) ELSE c.regelwerk END AS nach_rw, art || '/' || nummer AS grob, art || '/' || nummer || '/abs/' || absatz AS fein FROM c LEFT JOIN g ON g.nr = c.akt WHERE c.regelwerk IS NOT NULL)
+        SELECT DISTINCT d.doc_id, d.regelwerk, d.nach_rw, coalesce(f.pfad, o.pfad) AS nach_pfad FROM d LEFT JOIN p f ON f.rw = d.nach_rw AND f.pfad = d.fein LEFT JOIN p o ON o.rw = d.nach_rw AND o.pfad = d.grob WHERE coalesce(f.pfad, o.pfad) IS NOT NULL""",
     "citation_counts": f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{C.ARTICLE}')) AS m FROM documents)
         SELECT doc_id, count(*) AS artikel, count(*) FILTER (contains(m, 'Absatz')) AS mit_absatz FROM a GROUP BY doc_id""",
     "pair_counts_directed": f"WITH {_E} SELECT von_rw, nach_rw, count(*) AS anzahl FROM e GROUP BY ALL",
