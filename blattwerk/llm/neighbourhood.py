@@ -70,7 +70,7 @@ def clean(text: str | None) -> str:
     """Readable text: UTF-8 that was read as Latin-1 put right, tags and entities resolved, umlauts in base letters, single blanks."""
     if not text:
         return ""
-    if _TWICE.search(text):
+    if not text.isascii() and _TWICE.search(text):
         text = _TWICE.sub(lambda m: m[0].translate(_TO_BYTES).encode("latin-1", "replace").decode("utf-8", "replace"), text)
     if "<" in text:
         text = re.sub(r"<[^>]*>", " ", text)
@@ -79,7 +79,7 @@ def clean(text: str | None) -> str:
     if not text.isascii():
         text = fold(unicodedata.normalize("NFC", text))
         if not text.isascii():
-            text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+            text = "".join([c for c in unicodedata.normalize("NFKD", text) if c < "\u0300" or not unicodedata.combining(c)])
     return " ".join(text.split())
 
 
@@ -111,12 +111,14 @@ def _longest_run(text: str) -> list[str]:
     """
     best, words = "", []
     for m in _RUN.finditer(text):
+        if m[0].count(" ") < len(words):
+            continue
         run = m[0].split()
         if len(run) > 3 and (m.start() == 0 or text[: m.start()].rstrip(' "(')[-1:] in ("", ".", "!", "?", ":", ")")):
             run = run[1:]
         if len(run) > len(words):
             best, words = m[0], run
-    if len(words) > _LONGEST_NAME or 2 * sum(w[1:2].isupper() for w in best.split()) > len(words):
+    if len(words) > _LONGEST_NAME or 2 * sum([w[1:2].isupper() for w in best.split()]) > len(words):
         return []
     return [w.lower() for w in words]
 
@@ -139,12 +141,14 @@ def _name(title: str, t_low: str, summary: str, s_low: str, matter: str) -> str:
     return name.removesuffix(" " + matter) if matter and len(words) > 2 else name
 
 
-def _figures(lower: str) -> tuple[str, str, str, str]:
-    """Notice, number, amount and period a text in lower case names; a pattern runs only where what it needs occurs."""
-    notice = _NOTICE.search(lower) if "nr." in lower or "no." in lower else None
-    number = _NUMBER.search(lower) if "/" in lower else None
-    amount = _AMOUNT.search(lower) if "eur" in lower or "€" in lower else None
-    period = _PERIOD.search(lower) if "q" in lower or "h1" in lower or "h2" in lower or "halbjahr" in lower else None
+def _figures(lower: str, other: str) -> tuple[str, str, str, str]:
+    """Notice, number, amount and period a text in lower case names, else the other text; a pattern runs only where what it needs occurs."""
+    notice = number = amount = period = None
+    for text in (lower, other):
+        notice = notice or ("nr." in text or "no." in text) and _NOTICE.search(text)
+        number = number or "/" in text and _NUMBER.search(text)
+        amount = amount or ("eur" in text or "€" in text) and _AMOUNT.search(text)
+        period = period or ("q" in text or "h1" in text or "h2" in text or "halbjahr" in text) and _PERIOD.search(text)
     return (
         notice[1] if notice else "",
         number[1].lstrip("0") if number else "",
@@ -165,7 +169,7 @@ def read_item(title: str | None, summary: str | None, kind: str | None, reasons:
     """
     t, s = whole_part(clean(title)), whole_part(clean(summary))
     t_low, s_low = t.lower(), s.lower()
-    notice, number, amount, period = (x or y for x, y in zip(_figures(s_low), _figures(t_low), strict=True))
+    notice, number, amount, period = _figures(s_low, t_low)
     matter = next((_label(r) for r in reasons if r), "") if reasons is not None else ""
     name = "" if notice else _name(t, t_low, s, s_low, matter)
     subject = f"nr {notice}" if notice else name
@@ -237,11 +241,13 @@ def records(items: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [read_item(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            title, summary, kind, reason = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
+            rows = [read_item(t, s, k, (r,)) for t, s, k, r in zip(title, summary, kind, reason, strict=True)]
             columns = zip(*rows, strict=True) if rows else [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns, types)], names=["nr", "_stapel", *FIELDS])
 
-    return items.select("nr", "_stapel", "titel", "zusammenfassung", "kategorie", "begruendung").mapInArrow(read, f"nr bigint, _stapel int, {_ENTRY}")
+    reason = F.expr("try_element_at(filter(begruendung, r -> r <> ''), 1)")  # the others are not read
+    return items.select("nr", "_stapel", "titel", "zusammenfassung", "kategorie", reason).mapInArrow(read, f"nr bigint, _stapel int, {_ENTRY}")
 
 
 #: A record that names nobody and has no wording: it tells nothing that another could repeat.
@@ -260,7 +266,7 @@ _PART = "\x1f"
 
 
 def sort_keys() -> str:
-    """The keys under which an entry is sorted in, each opened by the number of its order, as an SQL expression of an array.
+    """What an entry is sorted in by, each text opened by the number of its order, as an SQL expression of an array of distinct texts.
 
     An entry without a name also stands under every two or three neighbouring words of its wording, one without a matter
     under every word and every two neighbouring words of its core.
@@ -272,8 +278,7 @@ def sort_keys() -> str:
     usual = f"array({by_name('gegenstand', 'sache')}, {by_matter(1, 'gegenstand')}, {by_matter(2, 'reverse(gegenstand)')})"
     names = f"transform(array_distinct(concat({grams('wortlaut', 2)}, {grams('wortlaut', 3)})), g -> {by_name('g', 'sache')})"
     matters = f"transform(array_distinct(concat({grams('kern', 1)}, {grams('kern', 2)})), g -> {by_name('gegenstand', 'g')})"
-    extra = f"CASE WHEN gegenstand = '' THEN concat({usual}, {names}) WHEN sache = '' THEN concat({usual}, {matters}) ELSE {usual} END"
-    return f"transform(array_distinct({extra}), k -> concat_ws('{_PART}', substring(k, 1, {KEY_LENGTH}), lpad(CAST(nr AS string), 20, '0')))"
+    return f"CASE WHEN gegenstand = '' THEN array_distinct(concat({usual}, {names})) WHEN sache = '' THEN array_distinct(concat({usual}, {matters})) ELSE {usual} END"
 
 
 #: Per row besides its key: hashes of what must be equal, so that windows are compared as numbers (0: a kind that is not given), and the
@@ -282,6 +287,8 @@ _CODES = {
     "figuren": "xxhash64(nummer, betrag, zeitraum)", "wer": "xxhash64(gegenstand)", "was": "xxhash64(sache)", "wie": "CASE WHEN art = '' THEN 0L ELSE xxhash64(art) END",
     "sicher": "sicher", "satz": f"CASE WHEN wortlaut <> '' OR length(concat(gegenstand, sache, nummer, betrag, zeitraum, art)) > {KEY_LENGTH - 10} THEN array({', '.join(FIELDS[:-1])}) END",
 }
+#: One sort key of an entry, of a text of ``sort_keys``.
+_KEY = f"concat_ws('{_PART}', substring(_text, 1, {KEY_LENGTH}), lpad(CAST(nr AS string), 20, '0')) AS schluessel"
 _ROW = ["bereich", "schluessel", "nr", "erste", *_CODES]
 _ROW_TYPES = "bereich int, schluessel string, nr bigint, erste bigint, figuren bigint, wer bigint, was bigint, wie bigint, sicher boolean, satz array<string>"
 _PAIR = {"neu": pa.int64(), "alt": pa.int64(), "alt_neu": pa.bool_(), "alt_erste": pa.int64(), "rand": pa.int32(), "frisch": pa.bool_()}
@@ -297,6 +304,14 @@ def record_of(key: str, whole: list[str] | None, sure: bool) -> tuple:
     return (kind, who, what, number, amount, period, "", "", sure)
 
 
+def _records(rows: pa.Table) -> list[tuple]:
+    """The records of rows."""
+    whole = rows.column("satz").combine_chunks()
+    fields = iter(whole.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FIELDS) - 1).tolist())
+    told = [next(fields) if there else None for there in pc.is_valid(whole).to_pylist()]
+    return list(map(record_of, rows.column("schluessel").to_numpy(), told, rows.column("sicher").to_numpy().tolist()))
+
+
 def _candidates(rows: pa.Table, fresh: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (new, other) of pairs within the window around new entries that may tell the same: nothing certain differs."""
     order = pc.utf8_slice_codeunits(rows.column("schluessel"), 0, 1).cast(pa.int32()).to_numpy()
@@ -324,10 +339,14 @@ def _compare(rows: pa.Table, window: int) -> list[tuple[int, int, bool, int]]:
     if not len(one):
         return []
     used, at = np.unique(np.concatenate([one, other]), return_inverse=True)
-    small = rows.select(["schluessel", "satz", "sicher", "nr", "erste", "frisch"]).take(pa.array(used)).to_pydict()
-    recs = list(map(record_of, small["schluessel"], small["satz"], small["sicher"]))
-    pairs = set(zip(at[: len(one)].tolist(), at[len(one) :].tolist(), strict=True))
-    return sorted({(small["nr"][i], small["nr"][j], small["frisch"][j], small["erste"][j]) for i, j in pairs if same_news(recs[i], recs[j])})
+    numbers: dict[tuple, int] = {}
+    number = np.array([numbers.setdefault(r, len(numbers)) for r in _records(rows.select(["schluessel", "satz", "sicher"]).take(pa.array(used)))])[at]
+    recs, n = list(numbers), len(numbers)
+    # an entry stands under many keys: what meets again is not compared again
+    met, place = np.unique(number[: len(one)] * n + number[len(one) :], return_inverse=True)
+    same = np.array([same_news(recs[m // n], recs[m % n]) for m in met.tolist()], bool)[place]
+    new, old = (rows.select(["nr", "frisch", "erste"]).take(pa.array(k[same])) for k in (one, other))
+    return sorted(set(zip(new["nr"].to_pylist(), *(old[c].to_pylist() for c in ("nr", "frisch", "erste")), strict=True)))
 
 
 def _shaped(rows: pa.Table, given: dict[str, pa.Array]) -> pa.Table:
@@ -507,22 +526,23 @@ def merge_batch(runs: Runs, recs: DataFrame, window: int = WINDOW) -> DataFrame:
     Wordless records have none: they are news of their own. Nulls in any column are gaps, not differences; an empty batch
     changes nothing.
     """
-    spark, batch, begun = runs.spark, entries(recs), ""
-    if runs.name is None:
-        begun = new_place(spark, "eintraege")
-        batch = written(batch, "eintraege", begun)
-    elif runs.runs > runs.most:
-        runs.compact()
-    keyed = batch.selectExpr(f"explode({sort_keys()}) AS schluessel", "nr", "nr AS erste", *[f"{e} AS {c}" for c, e in _CODES.items()], *_CONTENT)
-    if begun:
+    spark, place = runs.spark, new_place(runs.spark, "schluessel")
+    texts = entries(recs).selectExpr(f"{sort_keys()} AS _texts", "nr", *[f"{e} AS {c}" for c, e in _CODES.items()], *_CONTENT)
+    keyed = texts.selectExpr("explode(_texts) AS _text", "nr", *_CODES, *_CONTENT).selectExpr(_KEY, "nr", "nr AS erste", *_CODES, *_CONTENT)
+    if runs.name is None:  # no history to read; the keys are written first, as the borders are placed by them
+        keyed, touched = written(keyed, "schluessel", place), set()
         runs.cut(keyed)
-    keyed, seen = _observed(runs.placed(keyed), "schluessel", place := new_place(spark, "schluessel"), touched=F.collect_set("bereich"))
+        keyed = runs.placed(keyed)
+    else:
+        if runs.runs > runs.most:
+            runs.compact()
+        keyed, seen = _observed(runs.placed(keyed), "schluessel", place, touched=F.collect_set("bereich"))
+        touched = set(seen["touched"])
     batch = keyed.where(F.col("schluessel").startswith("1")).select("nr", *_CONTENT)  # every entry has one key of that order
-    roots = _roots(batch, *neighbours(runs, keyed, set(seen["touched"]), window))
+    roots = _roots(batch, *neighbours(runs, keyed, touched, window))
     runs.append(keyed.drop("erste").join(roots, "nr"))
     known = written(batch.join(roots, "nr").select(*_CONTENT, "erste"), "bekannt")
-    for done in filter(None, (place, begun)):
-        remove(spark, done)
+    remove(spark, place)
     return known
 
 

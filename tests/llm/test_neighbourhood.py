@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from blattwerk.llm import neighbourhood as N
@@ -166,3 +167,32 @@ def test_ranges_by_tree_or_bisection(spark, monkeypatch):
         monkeypatch.setattr(N, "TREE", limit)
         found.append([r.bereich for r in runs.placed(spark.createDataFrame([(k,) for k in keys], "schluessel string")).collect()])
     assert found[0] == found[1] == [sum(b <= k for b in runs.borders) for k in keys]
+
+
+def test_what_meets_again_is_not_compared_again(monkeypatch):
+    """Two entries without a name stand side by side under five keys: one comparison."""
+    types = {"bereich": pa.int32(), "schluessel": pa.string(), "sicher": pa.bool_(), "satz": pa.list_(pa.string())}
+    schema = pa.schema([(c, types.get(c, pa.int64())) for c in N._ROW])
+    row = lambda nr, gram: {"bereich": 0, "schluessel": f"0\x1f{gram}\x1f\x1f\x1f\x1fbetrug\x1fk\x1f\x1f{nr:020}", "nr": nr, "erste": nr, "figuren": 1, "wer": 2, "was": 3, "wie": 4, "sicher": False}
+    rows = lambda nr: pa.Table.from_pylist([row(nr, gram) | {"satz": ["k", "", "betrug", "", "", "", "a b c d", ""]} for gram in ("a b", "a b c", "b c", "b c d", "c d")], schema)
+    calls, plain = [], N.same_news
+    monkeypatch.setattr(N, "same_news", lambda a, b: calls.append((a, b)) or plain(a, b))
+    found = N.range_search(12)((pa.scalar(0),), rows(1), rows(2)).to_pylist()
+    assert [(f["neu"], f["alt"], f["alt_neu"], f["alt_erste"]) for f in found if f["neu"] is not None] == [(2, 1, False, 1)]
+    assert calls == [(("k", "", "betrug", "", "", "", "a b c d", "", False),) * 2]
+
+
+def test_keys_of_the_history_are_made_once(spark, monkeypatch):
+    """Borders are placed by keys that are written, not by keys that are made anew for counting, for looking and for writing."""
+    plans, plain = [], N.Runs.cut
+    monkeypatch.setattr(N.Runs, "cut", lambda self, keyed: plans.append(spark._jvm.PythonSQLUtils.explainString(keyed._jdf.queryExecution(), "formatted")) or plain(self, keyed))
+    got = N.deduplicate(spark, spark.createDataFrame([item(n, f"Jas{chr(97 + n)}ant Bank Seehof", 100, n // 20) for n in range(26)] + [item(30, "Jasbant Bank Seehof", 100, 2)], ITEMS))
+    assert {(r.nr, r.erste) for r in got.collect()} == {(n, n) for n in range(26)} | {(30, 1)}
+    assert len(plans) == 1 and "Generate" not in plans[0] and "Scan parquet" in plans[0]
+
+
+def test_the_first_reason_counts(spark):
+    reasons = [None, [], [None], [""], ["", None, "Betrug (+1)", "Anderes"], ["Anderes (+2)", None]]
+    df = spark.createDataFrame([(n, 0, "Bußgeld gegen Müller AG", None, "Sanktion", r) for n, r in enumerate(reasons)], ITEMS).withColumnRenamed("charge", "_stapel")
+    got = {r.nr: tuple(r)[2:] for r in N.records(df).collect()}
+    assert got == {n: N.read_item("Bußgeld gegen Müller AG", None, "Sanktion", r) for n, r in enumerate(reasons)}
