@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import written
+from . import likeness
 
 EXCLUDED = -12
 
@@ -113,6 +114,26 @@ def title_words(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(X.words(F.lower(title)), lambda w: F.octet_length(w) > 3)))
 
 
+def _alike(reps: DataFrame, above: int = 0) -> DataFrame:
+    """Pairs (a, b) of alike sets (klasse, w, k, g) of one group g; with ``above``, those of which one has more elements."""
+    words = reps.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    ordered = reps.select("klasse", "g", "k", F.explode("w").alias("t")).join(words, ["g", "t"])
+    # Jaccard > 7/10 needs more than 7k/10 common words; sets with o common words share three of their k - o + 3 rarest ones
+    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 3
+    rare = ordered.groupBy("klasse", "g", "k").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_a")).withColumn("_a", F.transform("_a", lambda x: x["t"]))
+    rare = rare.select("klasse", "g", "k", F.slice("_a", 1, keep.cast("int")).alias("p"))
+    three = F.flatten(F.transform("p", lambda a, i: F.flatten(F.transform(F.slice("p", i + 2, F.size("p")), lambda b, j: F.transform(F.slice("p", i + j + 3, F.size("p")), lambda c: F.xxhash64(a, b, c))))))
+    signed = written(rare.select("klasse", "g", "k", F.explode(F.array_distinct(three)).alias("t")), "seltene")
+    x, y = signed.alias("x"), signed.alias("y")
+    fits = (10 * F.least("x.k", "y.k") > 7 * F.greatest("x.k", "y.k")) & (F.col("x.klasse") < F.col("y.klasse"))
+    if above:
+        fits &= F.greatest("x.k", "y.k") > above
+    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
+    sides = near.join(reps.select(F.col("klasse").alias("a"), F.col("g").alias("_ga"), F.col("w").alias("wa")), "a").join(reps.select(F.col("klasse").alias("b"), F.col("g").alias("_gb"), F.col("w").alias("wb")), "b")
+    alike = (F.col("_ga") == F.col("_gb")) & (10 * F.size(F.array_intersect("wa", "wb")) > 7 * F.size(F.array_union("wa", "wb")))
+    return sides.where(alike).select("a", "b")
+
+
 def similar_titles(items: DataFrame, key: str, title: str, within: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Titles whose word sets are alike: Jaccard above 0.7, at least three words each.
 
@@ -128,20 +149,28 @@ def similar_titles(items: DataFrame, key: str, title: str, within: list[str] | N
     membership = sets.alias("s").join(reps.alias("r"), same([*within, "w"])).select("s.*", "r.klasse")
     group = F.xxhash64(*within) if within else F.lit(0).cast("bigint")  # groups as numbers; null is a group like any other
     reps = written(reps.where(F.size("w") >= 3).select("klasse", "w", F.size("w").alias("k"), group.alias("g")), "titel")
-    words = reps.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
-    ordered = reps.select("klasse", "g", "k", F.explode("w").alias("t")).join(words, ["g", "t"])
-    # Jaccard > 7/10 needs more than 7k/10 common words; sets with o common words share three of their k - o + 3 rarest ones
-    keep = F.col("k") - (F.floor(F.col("k") * 7 / 10) + 1) + 3
-    rare = ordered.groupBy("klasse", "g", "k").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("_a")).withColumn("_a", F.transform("_a", lambda x: x["t"]))
-    rare = rare.select("klasse", "g", "k", F.slice("_a", 1, keep.cast("int")).alias("p"))
-    three = F.flatten(F.transform("p", lambda a, i: F.flatten(F.transform(F.slice("p", i + 2, F.size("p")), lambda b, j: F.transform(F.slice("p", i + j + 3, F.size("p")), lambda c: F.xxhash64(a, b, c))))))
-    signed = written(rare.select("klasse", "g", "k", F.explode(F.array_distinct(three)).alias("t")), "seltene")
-    x, y = signed.alias("x"), signed.alias("y")
-    fits = (10 * F.least("x.k", "y.k") > 7 * F.greatest("x.k", "y.k")) & (F.col("x.klasse") < F.col("y.klasse"))
-    near = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.klasse").alias("a"), F.col("y.klasse").alias("b")).distinct()
-    sides = near.join(reps.select(F.col("klasse").alias("a"), F.col("g").alias("_ga"), F.col("w").alias("wa")), "a").join(reps.select(F.col("klasse").alias("b"), F.col("g").alias("_gb"), F.col("w").alias("wb")), "b")
-    alike = (F.col("_ga") == F.col("_gb")) & (10 * F.size(F.array_intersect("wa", "wb")) > 7 * F.size(F.array_union("wa", "wb")))
-    return sides.where(alike).select("a", "b"), membership.select(*within, key, "klasse", (F.size("w") >= 3).alias("vergleichbar"))
+    return _alike(reps), membership.select(*within, key, "klasse", (F.size("w") >= 3).alias("vergleichbar"))
+
+
+def similar_counts(items: DataFrame, key: str, title: str, rare: int | None = None, most: int = 16) -> DataFrame:
+    """(key, klasse, verbindungen) of every item: the first item with the same set of title words, and how many other sets are alike.
+
+    As the pairs of ``similar_titles`` give it, but sets of up to ``most`` words are counted without listing pairs, which are
+    quadratic where titles are made after a pattern. Pairs with a longer set are listed. Sets are told apart by 128 bits.
+    """
+    w = title_words(F.col(title))
+    which = [F.xxhash64("w").alias("_lo"), F.xxhash64(F.lit(1), "w").alias("_hi")]
+    sets = items.select(key, w.alias("w"))
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    reps = written(sets.select(key, *which, hashes.alias("w")).groupBy("_lo", "_hi", "w").agg(F.min(key).alias("klasse")), "titel")
+    parts = likeness.alike_counts(reps.select("klasse", "w"), rare, most)
+    if not reps.where(F.size("w") > most).isEmpty():
+        near = reps.where(10 * F.size("w") > 7 * (most + 1)).select("klasse", "w", F.size("w").alias("k"), F.lit(0).cast("bigint").alias("g"))
+        ends = _alike(near, most).select(F.explode(F.array("a", "b")).alias("klasse"), F.lit(1).cast("bigint").alias("n"))
+        parts = parts.unionByName(ends)
+    sums = parts.groupBy("klasse").agg(F.sum("n").alias("verbindungen"))
+    classes = reps.select("_lo", "_hi", "klasse").join(sums, "klasse", "left").withColumn("verbindungen", F.coalesce("verbindungen", F.lit(0)))
+    return sets.select(key, *which).join(classes, ["_lo", "_hi"]).select(key, "klasse", "verbindungen")
 
 
 def greedy_selection(items: DataFrame, key: str, title: str, within: list[str], stored: str | None = None, id_: str | None = None) -> DataFrame:

@@ -60,9 +60,7 @@ def extractive_summary(spark, folder):
 
 
 def title_similarity_links(spark, folder):
-    pairs, membership = S.similar_titles(_news(spark, folder).select("nr", "titel"), "nr", "titel")
-    ends = pairs.select(F.col("a").alias("klasse")).unionByName(pairs.select(F.col("b").alias("klasse"))).groupBy("klasse").agg(F.count("*").alias("verbindungen"))
-    return membership.join(ends, "klasse", "left").select("nr", "klasse", F.coalesce("verbindungen", F.lit(0)).alias("verbindungen"))
+    return S.similar_counts(_news(spark, folder).select("nr", "titel"), "nr", "titel")
 
 
 def greedy_dedup_month(spark, folder):

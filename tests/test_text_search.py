@@ -155,6 +155,46 @@ def test_similar_titles_and_greedy_loop(spark):
     assert {(r.n, r.g) for r in S.greedy_selection(df, "n", "t", ["g"]).collect()} == set(taken)
 
 
+@pytest.mark.parametrize("rare,most,at_once", [(None, 16, 4_000_000), (20, 16, 300), (3, 8, 4_000_000), (60, 12, 300)])
+def test_similar_counts_as_by_pairs(spark, monkeypatch, rare, most, at_once):
+    """Words all rare, some frequent, nearly all frequent; sets longer than what is counted; groups larger than what is held at a time."""
+    import itertools
+
+    monkeypatch.setattr(S.likeness, "AT_ONCE", at_once)
+    rng = random.Random(3)
+    words = [f"wort{i}" for i in range(24)]
+    pools = [words[:12], words[4:22], words[9:]]
+    titles = [" ".join(rng.sample(p, rng.randint(2, min(len(p), 18)))) for p in rng.choices(pools, k=250)]
+    titles += [f"Neue Vorgaben bekannt gemacht {rng.choice(['alpha', 'bravo'])} {rng.randint(1000, 1100)}{rng.choice(['', ' eins', ' zwei drei', ' hier nach dort'])}" for _ in range(150)]
+    titles += ["", None, "abc de", titles[0], titles[-1].upper()]
+    sets = {n: frozenset(w for w in (t or "").lower().split() if len(w) > 3) for n, t in enumerate(titles)}
+    first = {n: min(m for m in sets if sets[m] == sets[n]) for n in sets}
+    links = dict.fromkeys(first.values(), 0)
+    for a, b in itertools.combinations(links, 2):
+        if min(len(sets[a]), len(sets[b])) >= 3 and 10 * len(sets[a] & sets[b]) > 7 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    got = {tuple(r) for r in S.similar_counts(spark.createDataFrame([*enumerate(titles)], "n long, t string"), "n", "t", rare, most).collect()}
+    assert got == {(n, first[n], links[first[n]]) for n in sets} and sum(links.values()) > 1000
+
+
+def test_titles_of_one_pattern_are_counted_without_their_pairs(spark, tmp_path):
+    """20,000 titles that are all alike have 200 million pairs."""
+    import threading
+
+    from blattwerk.plans import screens
+
+    n = 20_000
+    spark.range(n).select(F.col("id").alias("nr"), F.format_string("Neue Vorgaben zur Meldepflicht bekannt gemacht (Nr. %d)", F.col("id") + 100_000).alias("titel")).write.parquet(f"{tmp_path}/meldungen.parquet")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = screens.title_similarity_links(spark, str(tmp_path)).groupBy("verbindungen").agg(F.count("*"), F.count_if(F.col("nr") == F.col("klasse"))).collect()
+    finally:
+        late.cancel()
+    assert [tuple(r) for r in got] == [(n - 1, n, n)]
+
+
 def test_citations(spark):
     text = "Nach Artikel 6 Absatz 1 der Verordnung (EU) 2022/2554 und Artikel 9 gilt § 23 Absatz 2. " + "x" * 60
     found = C.mine(spark.createDataFrame([(1, "w", text), (2, "w", None), (3, "w", "")], "d long, regelwerk string, t string"), ["d", "regelwerk"], "t")
